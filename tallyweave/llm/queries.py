@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from tallyweave.llm.bpe_codec import op6_bpe_codec
 from tallyweave.llm.token_count import op8_token_counts
 
-QUERIES = {"op8_token_counts": op8_token_counts}
+QUERIES = {"op6_bpe_codec": op6_bpe_codec, "op8_token_counts": op8_token_counts}
 
 ORACLES: dict[str, str] = {}
