@@ -7,12 +7,14 @@ from tallyweave.llm.exact_dedup import OP3_SQL, op3_exact_dedup
 from tallyweave.llm.language_id import op1_language_id
 from tallyweave.llm.mixing import op4_source_mix
 from tallyweave.llm.token_count import op8_token_counts
+from tallyweave.llm.toxicity import op7_toxicity
 
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_source_mix": op4_source_mix,
     "op6_bpe_codec": op6_bpe_codec,
+    "op7_toxicity": op7_toxicity,
     "op8_token_counts": op8_token_counts,
 }
 
