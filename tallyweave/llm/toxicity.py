@@ -34,8 +34,8 @@ from tallyweave.llm.common import crc_mod, small_batches, stored, table, unit_ha
 SAMPLE_DOCS = 12_000
 #: Words of the Dirichlet prior, in documents.
 ALPHA = 0.5
-MIN_Z = 2.8
-DRIFT = 0.5
+MIN_Z = 2.2
+DRIFT = 1.0
 #: A segment is a significant passage if as good ones are expected less often than this in such a text by chance.
 MAX_EXPECTED = 0.05
 
