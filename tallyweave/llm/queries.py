@@ -6,11 +6,13 @@ from tallyweave.llm.bpe_codec import op6_bpe_codec
 from tallyweave.llm.exact_dedup import OP3_SQL, op3_exact_dedup
 from tallyweave.llm.language_id import op1_language_id
 from tallyweave.llm.mixing import op4_source_mix
+from tallyweave.llm.near_dedup import op2_near_dedup
 from tallyweave.llm.token_count import op8_token_counts
 from tallyweave.llm.toxicity import op7_toxicity
 
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op2_near_dedup": op2_near_dedup,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_source_mix": op4_source_mix,
     "op6_bpe_codec": op6_bpe_codec,
