@@ -18,6 +18,7 @@ import struct
 import uuid
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from itertools import repeat
 
 import pyarrow as pa
 from pyspark import SparkFiles, StorageLevel
@@ -27,6 +28,8 @@ from pyspark.sql import functions as F
 from tallyweave.llm.bpe_core import MergeTable, TwoAges, load_merges, merge_list, pieces, special_splitter
 from tallyweave.llm.common import scratch_dir, small_batches, table
 
+_letter = [bytes([b]) for b in range(256)]
+_no_merge = 1 << 60
 #: A word is compiled into the lexicon from this share of all words on.
 MIN_SHARE = 2e-6
 
@@ -109,26 +112,46 @@ class Lexicon:
         self.arcs, self.targets, self.outputs = part(n_states + 1), part(n_arcs), part(n_arcs)
         self.firsts, self.ids = part(n_firsts), part(n_ids)
         self.letters, self.finals = at, at + n_arcs
+        self.find = data.find
 
     def get(self, word: bytes) -> bytes | None:
         """The word's ids as little-endian unsigned 32-bit numbers; None if it isn't in the lexicon."""
-        state, total, base, find = self.root, 0, self.letters, self.data.find
-        for i in range(len(word)):
-            at = find(word[i : i + 1], base + self.arcs[state], base + self.arcs[state + 1]) - base
+        arcs, targets, outputs, base, find = self.arcs, self.targets, self.outputs, self.letters, self.find
+        state, total = self.root, 0
+        for letter in word:
+            at = find(_letter[letter], base + arcs[state], base + arcs[state + 1]) - base
             if at < 0:
                 return None
-            total += self.outputs[at]
-            state = self.targets[at]
+            total += outputs[at]
+            state = targets[at]
         return bytes(self.ids[self.firsts[total] : self.firsts[total + 1]]) if self.data[self.finals + state] else None
 
 
-def merged_ids(word: bytes, merges: MergeTable) -> list[int]:
-    symbols, right, _ = merge_list(word, merges)
-    out, i = [], 0
-    while i < len(symbols):
-        out.append(symbols[i])
-        i = right[i]
-    return out
+def merged_ids(word: bytes, table: MergeTable) -> list[int]:
+    """The word's ids: short words by scanning the ranks of their pairs, long ones with a heap."""
+    if len(word) > 40:
+        symbols, right, _ = merge_list(word, table)
+        out, i = [], 0
+        while i < len(symbols):
+            out.append(symbols[i])
+            i = right[i]
+        return out
+    get, none = table.pairs.get, _no_merge
+    ids = list(map(table.first.__getitem__, word))
+    ranks = list(map(get, zip(ids, ids[1:]), repeat(none)))
+    while ranks:
+        best = min(ranks)
+        if best == none:
+            break
+        i = ranks.index(best)
+        merged = best & 0xFFFFF
+        ids[i : i + 2] = (merged,)
+        del ranks[i]
+        if i < len(ranks):
+            ranks[i] = get((merged, ids[i + 1]), none)
+        if i:
+            ranks[i - 1] = get((ids[i - 1], merged), none)
+    return ids
 
 
 class Encoder:
@@ -136,7 +159,7 @@ class Encoder:
         self.merges, self.lexicon = merges, lexicon
         self.split = special_splitter(merges.special)
         self.special = {s: struct.pack("<I", i) for s, i in merges.special.items()}
-        self.words = TwoAges(self.word, 250_000)
+        self.words = TwoAges(self.word, 300_000)
 
     def word(self, word: str) -> bytes:
         data = word.encode()

@@ -8,6 +8,7 @@ from __future__ import annotations
 import json
 import re
 from dataclasses import dataclass
+from functools import cached_property
 from heapq import heapify, heappop, heappush
 
 import regex
@@ -49,6 +50,11 @@ class MergeTable:
     bytes_of: dict[int, bytes]
     special: dict[str, int]
 
+    @cached_property
+    def pairs(self) -> dict[tuple[int, int], int]:
+        """merges by pair."""
+        return {(k >> 20, k & 0xFFFFF): v for k, v in self.merges.items()}
+
 
 def load_merges(path: str) -> MergeTable:
     with open(path, encoding="utf-8") as f:
