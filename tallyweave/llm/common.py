@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,3 +49,42 @@ def small_batches(spark: SparkSession) -> None:
     """Arrow batches of a few MB however long the texts are: bounded memory in Python workers."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+
+
+def bit_table(hashes: DataFrame, bits: int = 26) -> np.ndarray:
+    """A table of 2 ** bits bits (8 MB for 26, whatever the input) that has the bits of all hashes (one long column)."""
+    chunk = 1 << min(20, bits)
+    at = hashes.select(F.col(hashes.columns[0]).bitwiseAND(F.lit((1 << bits) - 1)).alias("at")).distinct()
+
+    def fill(group: pa.Table) -> pa.Table:
+        marks = np.zeros(chunk, np.uint8)
+        marks[group.column("at").to_numpy() % chunk] = 1
+        return pa.table({"chunk": group.column("chunk")[:1], "bits": pa.array([np.packbits(marks, bitorder="little").tobytes()], pa.binary())})
+
+    out = np.zeros(1 << max(0, bits - 3), np.uint8)
+    parts = at.withColumn("chunk", F.floor(F.col("at") / chunk).cast("long")).groupBy("chunk").applyInArrow(fill, "chunk long, bits binary")
+    for r in parts.toLocalIterator():
+        out[r.chunk * (chunk // 8) : (r.chunk + 1) * (chunk // 8)] = np.frombuffer(r.bits, np.uint8)
+    return out
+
+
+def in_table(table_bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Whether each hash's bit is set: all that went in, and some that share a bit."""
+    at = hashes & (len(table_bits) * 8 - 1)
+    return (table_bits[at >> 3] >> (at & 7).astype(np.uint8) & 1) == 1
+
+
+def where_maybe_in(rows: DataFrame, key: Column, table_bits: np.ndarray) -> DataFrame:
+    """The rows whose key's hash has its bit in the table: no row that is wanted is missing, some more may come along.
+
+    Spares the shuffle of long rows of which few are wanted; a full table only makes it let more through.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast(table_bits)  # fixed size
+    last = len(rows.columns)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            marked = pa.array(in_table(shared.value, b.column(last).to_numpy()))
+            yield pa.RecordBatch.from_arrays(b.columns[:last], names=b.schema.names[:last]).filter(marked)
+
+    return rows.withColumn("__hash", F.xxhash64(key)).mapInArrow(keep, rows.schema)

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweave.llm.common import small_batches, stored, table
+from tallyweave.llm.common import bit_table, small_batches, stored, table, where_maybe_in
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -233,7 +233,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = filed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     rows = stored(filed.join(shared.hint("merge"), "key"), "buckets")
     needed = rows.select(F.col("id").alias("needed")).distinct()
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(needed.hint("merge"), F.col("id") == F.col("needed"), "left_semi")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    texts = where_maybe_in(texts, F.col("id"), bit_table(needed.select(F.xxhash64("needed"))))
     arrays = stored(_arrays(texts.groupBy("id").agg(F.max("text").alias("text")), "id", "text"), "arrays")
 
     buckets = rows.where(F.col("size") <= CROWD).select("key", "id", "n")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from tallyweave.llm.bpe_codec import op6_bpe_codec
 from tallyweave.llm.exact_dedup import OP3_SQL, op3_exact_dedup
 from tallyweave.llm.language_id import op1_language_id
+from tallyweave.llm.line_dedup import op5_line_dedup
 from tallyweave.llm.mixing import op4_source_mix
 from tallyweave.llm.near_dedup import op2_near_dedup
 from tallyweave.llm.token_count import op8_token_counts
@@ -15,6 +16,7 @@ QUERIES = {
     "op2_near_dedup": op2_near_dedup,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_source_mix": op4_source_mix,
+    "op5_line_dedup": op5_line_dedup,
     "op6_bpe_codec": op6_bpe_codec,
     "op7_toxicity": op7_toxicity,
     "op8_token_counts": op8_token_counts,
