@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import random
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -128,6 +128,13 @@ def _fly(part: pd.DataFrame, seed: int, last: bool) -> pd.DataFrame:
     return part
 
 
+def _flown(seed: int, last: bool) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    def fly(part: pd.DataFrame) -> pd.DataFrame:
+        return _fly(part, seed, last)
+
+    return fly
+
+
 def mix(
     docs: DataFrame,
     weights: Sequence[float] = WEIGHTS,
@@ -173,7 +180,7 @@ def mix(
             blocks = -(-blocks // (block // 2))
             left = left.withColumn("group", F.floor(F.col("group") / (block // 2)))
             last = blocks == 1
-            left = stored(left.groupBy("source", "group").applyInPandas(lambda part, last=last: _fly(part, seed, last), open_shape), "mix-rest")
+            left = stored(left.groupBy("source", "group").applyInPandas(_flown(seed, last), open_shape), "mix-rest")
             done = left.where("p = 0 OR p = 1")
             decided = done if decided is None else decided.unionByName(done)
             left = left.where("p > 0 AND p < 1")
