@@ -8,6 +8,7 @@ from tallyweave.llm.language_id import op1_language_id
 from tallyweave.llm.line_dedup import op5_line_dedup
 from tallyweave.llm.mixing import op4_source_mix
 from tallyweave.llm.near_dedup import op2_near_dedup
+from tallyweave.llm.nearest_neighbours import op9_nearest_neighbours
 from tallyweave.llm.substring_dedup import op10_substring_dedup
 from tallyweave.llm.token_count import op8_token_counts
 from tallyweave.llm.toxicity import op7_toxicity
@@ -21,6 +22,7 @@ QUERIES = {
     "op6_bpe_codec": op6_bpe_codec,
     "op7_toxicity": op7_toxicity,
     "op8_token_counts": op8_token_counts,
+    "op9_nearest_neighbours": op9_nearest_neighbours,
     "op10_substring_dedup": op10_substring_dedup,
 }
 
