@@ -1,3 +1,3 @@
 """Registered queries: fixture views put through the operators, with SQL for comparison."""
 
-from tallyweave.plans import q_ledger  # noqa: F401
+from tallyweave.plans import q_ledger, q_records  # noqa: F401

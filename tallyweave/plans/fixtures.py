@@ -68,8 +68,27 @@ VIEWS: dict[str, str] = {
         SELECT bill_id, charge_idx, CASE WHEN bill_id % 7 = 0 AND charge_idx = 0 THEN 'OTHER' ELSE type END AS type, amount_cents FROM bill_charges""",
     "pred_bills": """
         SELECT bill_id, source, split, subtotal_cents, grand_cents + CASE WHEN bill_id % 23 = 0 THEN 100 ELSE 0 END AS grand_cents FROM bills""",
-    "overrides": """
-        SELECT bill_id, person FROM people WHERE person_ord = 0 AND bill_id % 5 = 0""",
+    "overrides": "SELECT bill_id, person, CAST(1000 + bill_id * 37 % 5000 AS BIGINT) AS new_final FROM people WHERE person_ord = 0 AND bill_id % 5 = 0",
+    # Typed readings with unreadable numbers as null.
+    "read_items": """
+        SELECT bill_id, item_idx, name, CASE WHEN (bill_id * 3 + item_idx) % 89 = 0 THEN NULL ELSE qty END AS qty, unit_cents,
+               CASE WHEN (bill_id * 7 + item_idx) % 101 = 0 THEN NULL ELSE total_cents END AS total_cents FROM pred_items""",
+    "read_charges": """
+        SELECT bill_id, charge_idx, type, CASE WHEN (bill_id * 5 + charge_idx) % 97 = 0 THEN NULL ELSE amount_cents END AS amount_cents FROM pred_charges""",
+    "field_rows": """
+        SELECT bill_id, item_idx, 0 AS ford, 'name' AS field, CASE WHEN (bill_id + item_idx) % 17 = 0 THEN 0 ELSE 1 END AS correct FROM pred_items
+        UNION ALL SELECT bill_id, item_idx, 1 AS ford, 'qty' AS field, 1 AS correct FROM pred_items
+        UNION ALL SELECT bill_id, item_idx, 2 AS ford, 'unit_price' AS field, CASE WHEN (bill_id * 31 + item_idx) % 13 = 1 THEN 0 ELSE 1 END AS correct FROM pred_items
+        UNION ALL SELECT bill_id, item_idx, 3 AS ford, 'total' AS field, 1 AS correct FROM pred_items
+        UNION ALL SELECT bill_id, 0 AS item_idx, 4 AS ford, 'grand_total' AS field, CASE WHEN bill_id % 23 = 0 THEN 0 ELSE 1 END AS correct FROM pred_bills""",
+    "field_hash": "SELECT *, (bill_id * 7919 + item_idx * 104729 + ford * 1299709) % 1000 AS h FROM field_rows",
+    "field_min": """
+        SELECT bill_id, item_idx, field, correct, h,
+               CAST(1 AS DOUBLE) - CAST(h AS DOUBLE) / CAST(1000 AS DOUBLE) * CASE WHEN correct = 1 THEN CAST(0.05 AS DOUBLE) ELSE CAST(0.6 AS DOUBLE) END AS p_min FROM field_hash""",
+    "field_conf": """
+        SELECT bill_id, CASE WHEN field = 'grand_total' THEN 'grand_total' ELSE concat('items[', CAST(item_idx AS STRING), '].', field) END AS path, field, correct,
+               round(p_min, 6) AS p_min, round((CAST(1 AS DOUBLE) + p_min) / 2, 6) AS p_mean, CASE WHEN h % 2 = 0 THEN CAST(1 AS DOUBLE) ELSE round((CAST(1 AS DOUBLE) + p_min) / 2, 6) END AS p_first
+        FROM field_min""",
     "manifest": """
         SELECT doc_id AS id, source, text, md5(text) AS content_hash,
                CASE WHEN substr(md5(CAST(doc_id AS STRING)), 1, 1) IN ('0', '1') THEN 'test' WHEN substr(md5(CAST(doc_id AS STRING)), 1, 1) IN ('2', '3') THEN 'val' ELSE 'train' END AS split
