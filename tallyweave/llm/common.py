@@ -53,6 +53,7 @@ def small_batches(spark: SparkSession) -> None:
 
 def bit_table(hashes: DataFrame, bits: int = 26) -> np.ndarray:
     """A table of 2 ** bits bits (8 MB for 26, whatever the input) that has the bits of all hashes (one long column)."""
+    bits = max(3, bits)
     chunk = 1 << min(20, bits)
     at = hashes.select(F.col(hashes.columns[0]).bitwiseAND(F.lit((1 << bits) - 1)).alias("at")).distinct()
 
@@ -61,7 +62,7 @@ def bit_table(hashes: DataFrame, bits: int = 26) -> np.ndarray:
         marks[group.column("at").to_numpy() % chunk] = 1
         return pa.table({"chunk": group.column("chunk")[:1], "bits": pa.array([np.packbits(marks, bitorder="little").tobytes()], pa.binary())})
 
-    out = np.zeros(1 << max(0, bits - 3), np.uint8)
+    out = np.zeros(1 << (bits - 3), np.uint8)
     parts = at.withColumn("chunk", F.floor(F.col("at") / chunk).cast("long")).groupBy("chunk").applyInArrow(fill, "chunk long, bits binary")
     for r in parts.toLocalIterator():
         out[r.chunk * (chunk // 8) : (r.chunk + 1) * (chunk // 8)] = np.frombuffer(r.bits, np.uint8)
