@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweave.llm.common import small_batches, stored, table
+from tallyweave.llm.common import bit_table, in_table, small_batches, stored, table
 
 FINGERPRINT_BITS = 48
 #: Fingerprints a sender holds before it sends: bounds a task's memory.
@@ -111,28 +111,17 @@ def answer_bitmaps(messages: DataFrame) -> DataFrame:
 def suspect_filter(messages: DataFrame, owners: int, filter_bits: int) -> np.ndarray:
     """The bit table of all fingerprints that occur more than once; 2 ** filter_bits bits whatever the input."""
     width = -(-(1 << FINGERPRINT_BITS) // owners)
-    chunk = 1 << min(20, filter_bits)
 
     def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for owner, n, k, code, own, others in zip(*(c.to_pylist() for c in b.columns)):
                 marked = np.unpackbits(np.frombuffer(own, np.uint8) | np.frombuffer(others, np.uint8), count=n, bitorder="little")
-                values = golomb_decode(n, k, code)[marked == 1] + np.uint64(owner * width)
-                at = np.unique(values & np.uint64((1 << filter_bits) - 1)).astype(np.int64)
-                if len(at):
-                    yield pa.RecordBatch.from_arrays([pa.array(at // chunk, pa.int32()), pa.array(at % chunk, pa.int32())], names=["chunk", "at"])
-
-    def bits(group: pa.Table) -> pa.Table:
-        marks = np.zeros(chunk, np.uint8)
-        marks[group.column("at").to_numpy()] = 1
-        return pa.table({"chunk": group.column("chunk")[:1], "bits": pa.array([np.packbits(marks, bitorder="little").tobytes()], pa.binary())})
+                values = golomb_decode(n, k, code)[marked == 1].astype(np.int64) + owner * width
+                if len(values):
+                    yield pa.RecordBatch.from_arrays([pa.array(values, pa.int64())], names=["fp"])
 
     answered = messages.join(answer_bitmaps(messages).hint("merge"), ["sender", "owner"])
-    positions = answered.select("owner", "n", "k", "code", "own", "others").mapInArrow(suspects, "chunk int, at int").distinct()
-    out = np.zeros(1 << max(0, filter_bits - 3), np.uint8)
-    for r in positions.groupBy("chunk").applyInArrow(bits, "chunk int, bits binary").toLocalIterator():
-        out[r.chunk * (chunk // 8) : (r.chunk + 1) * (chunk // 8)] = np.frombuffer(r.bits, np.uint8)
-    return out
+    return bit_table(answered.select("owner", "n", "k", "code", "own", "others").mapInArrow(suspects, "fp long"), filter_bits)
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", filter_bits: int = FILTER_BITS) -> DataFrame:
@@ -147,10 +136,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     marks = spark.sparkContext.broadcast(suspect_filter(messages, owners, filter_bits))
 
     def set_aside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = marks.value
         for b in batches:
-            at = b.column(3).to_numpy() & ((1 << filter_bits) - 1)
-            marked = pa.array((bits[at >> 3] >> (at & 7).astype(np.uint8) & 1) == 1)
+            marked = pa.array(in_table(marks.value, b.column(3).to_numpy()))
             texts = pc.if_else(marked, b.column(1), pa.scalar(None, b.column(1).type))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), texts], names=["doc_id", "sha", "text"])
 
@@ -159,6 +146,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     single = aside.where(F.col("text").isNull()).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "sha")
     suspects = aside.where(F.col("text").isNotNull())
     groups = suspects.groupBy("sha", "text").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    groups = stored(groups, "groups")  # read back, so that both sides of the join are shuffled and a hot text can be split
     same = suspects.join(groups.hint("merge"), ["sha", "text"]).select("doc_id", "keep_id", "group_size", "sha")
     return single.unionByName(same).select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256")
