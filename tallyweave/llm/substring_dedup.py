@@ -137,7 +137,9 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str =
     first = shared.where("id = source").groupBy("h").agg(F.min("at").alias("from"))
     repeats = shared.where("id > source").join(first.hint("merge"), "h")
     diagonals = repeats.groupBy("id", "source", (F.col("from") - F.col("at")).alias("shift")).agg(F.collect_list(F.struct("at", "size")).alias("own"), F.sum("size").alias("bytes"))
-    diagonals = stored(diagonals.where(F.col("bytes") >= MIN_CHUNK_BYTES).drop("bytes"), "diagonals")  # lists within one document
+    # All diagonals of a pair in one row, so that its texts travel once; the lists are within one document.
+    pairs = diagonals.where(F.col("bytes") >= MIN_CHUNK_BYTES).groupBy("id", "source").agg(F.collect_list(F.struct("shift", "own")).alias("own"))
+    diagonals = stored(pairs, "diagonals")
 
     ids = diagonals.select(F.xxhash64("id")).union(diagonals.select(F.xxhash64("source")))
     texts = where_maybe_in(rows, F.col("id"), bit_table(ids))
@@ -148,17 +150,20 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str =
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             which, found = [], []
-            for i, (shift, at, size, later, earlier) in enumerate(zip(*(b.column(c).to_pylist() for c in range(2, 7)))):
-                for start, n, w in common_passages(later.encode(), earlier.encode(), shift, at, size, min_words):
-                    which.append(i)
-                    found.append((start, n, w, start + shift))
+            for i, (own, later, earlier) in enumerate(zip(*(b.column(c).to_pylist() for c in range(2, 5)))):
+                later, earlier = later.encode(), earlier.encode()
+                for d in own:
+                    places, sizes = [c["at"] for c in d["own"]], [c["size"] for c in d["own"]]
+                    for start, n, w in common_passages(later, earlier, d["shift"], places, sizes, min_words):
+                        which.append(i)
+                        found.append((start, n, w, start + d["shift"]))
             pick = pa.array(which, pa.int64())
             numbers = [pa.array([f[c] for f in found], pa.int64()) for c in range(4)]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0).take(pick), *numbers[:3], b.column(1).take(pick), numbers[3]], names=["doc_id", "start", "size", "words", "source_id", "source_start"]
             )
 
-    both = both.select("id", "source", "shift", F.col("own.at").alias("at"), F.col("own.size").alias("size"), "later", "earlier")
+    both = both.select("id", "source", "own", "later", "earlier")
     found = both.mapInArrow(check, f"doc_id {kind}, start long, size long, words long, source_id {kind}, source_start long")
     return found.distinct()
 
