@@ -7,7 +7,8 @@ width. A query visits a table's buckets in the order of their estimated chance t
 
 Only the step width is fitted, on at most about `SAMPLE` vectors drawn by a hash: it is the distance within which the
 sample's own k-th neighbours lie, so at least that of the whole table. Every vector is indexed. Buckets are dealt out in
-chunks, so a bucket that holds a third of all vectors is spread over many tasks; nothing in it is skipped.
+chunks, so a bucket that holds a third of all vectors is spread over many tasks; nothing in it is skipped. A query that meets fewer
+than k vectors is held against all vectors of its length.
 
 Vectors that are null, zero, or hold null or non-finite components take no part; vectors of another length are no
 candidates. Ties go to the smaller vec_id. Rows that repeat a vec_id are candidates once (the nearest of them counts) and
@@ -104,8 +105,9 @@ def fit(vectors: DataFrame, k: int, tables: int = TABLES, functions: int = FUNCT
     for n, (_, x) in _matrix([r.v for r in drawn]).items():
         some = x[:500]
         d = np.sort(np.maximum(0, (some**2).sum(1)[:, None] + (x**2).sum(1) - 2 * some @ x.T), axis=1)
-        r = math.sqrt(float(np.quantile(d[:, min(k, d.shape[1] - 1)], 0.9)))
-        reach[n] = r if r > 1e-9 else max(1e-6, float(np.abs(x).max()) * 1e-3)
+        own = np.sqrt(d[:, min(k, d.shape[1] - 1)])
+        own = own[own > 1e-9]  # copies are in one bucket anyway
+        reach[n] = float(np.quantile(own, 0.9)) if len(own) else max(1e-6, float(np.abs(x).max()))
     return Hashing(reach, tables, functions, success, seed)
 
 
@@ -137,6 +139,22 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, hashing: Hashing
     shape = f"bucket long, id {kind}, v array<double>"
     filed = stored(own.mapInArrow(index, shape), "vectors-by-bucket")
     probed = stored(asked.mapInArrow(probe, shape), "probes")
+    found = _nearest_by_bucket(filed, probed, k)
+    merged = stored(found.groupBy("query_id", "id").agg(F.min("distance").alias("distance")), "candidates")
+    # Queries that met fewer than k vectors are held against all vectors of their length, in blocks.
+    enough = merged.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k)
+    short = stored(asked.join(enough.hint("merge"), F.col("id") == F.col("query_id"), "left_anti"), "short-queries")
+    if not short.isEmpty():
+        by_length = lambda rows: rows.select(F.size("v").cast("long").alias("bucket"), "id", "v")
+        rest = _nearest_by_bucket(by_length(own), by_length(short), k).groupBy("query_id", "id").agg(F.min("distance").alias("distance"))
+        merged = merged.join(short.select(F.col("id").alias("query_id")).distinct().hint("merge"), "query_id", "left_anti").unionByName(rest)
+    order = Window.partitionBy("query_id").orderBy("distance", "id")  # a query's rows: k for each bucket it visits
+    return merged.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "id", "distance")
+
+
+def _nearest_by_bucket(filed: DataFrame, probed: DataFrame, k: int) -> DataFrame:
+    """(query_id, id, distance): the k nearest vectors of every chunk of every bucket that a query visits."""
+    kind = filed.schema["id"].dataType.simpleString()
     sizes = filed.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("parts"))
     asks = probed.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("askers"))
     both = stored(sizes.join(asks.hint("merge"), "bucket"), "bucket-sizes")  # only buckets that are visited
@@ -145,36 +163,33 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, hashing: Hashing
         rows = rows.join(both.hint("merge"), "bucket").withColumn(me, F.pmod(F.xxhash64("id"), F.col(mine)))
         return rows.withColumn(them, F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1))).select("bucket", "part", "asker", "id", "v")
 
-    candidates = dealt(filed, "parts", "askers", "part", "asker")
-    askers = dealt(probed, "askers", "parts", "asker", "part")
-
     def nearest(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        nothing = pd.DataFrame({"query_id": [], "id": [], "distance": []})
         if left.empty or right.empty:
-            return pd.DataFrame({"query_id": [], "id": [], "distance": []})
+            return nothing
         x, q = np.stack(left["v"].to_numpy()), np.stack(right["v"].to_numpy())
-        ids, askers_ = left["id"].to_numpy(), right["id"].to_numpy()
+        ids, askers = left["id"].to_numpy(), right["id"].to_numpy()
         norms, out = (x**2).sum(1), []
         for a in range(0, len(q), 256):
-            part, who = q[a : a + 256], askers_[a : a + 256]
+            part, who = q[a : a + 256], askers[a : a + 256]
             rough = (part**2).sum(1)[:, None] + norms - 2 * part @ x.T
             rough[who[:, None] == ids[None, :]] = np.inf
             for i, row in enumerate(rough):
                 if len(row) > k:  # all that may be among the k nearest, rounding of the rough distance allowed for
                     bound = np.partition(row, k - 1)[k - 1]
-                    at = np.flatnonzero(row <= bound + 1e-9 * (1 + abs(bound)))
+                    at = np.flatnonzero(row <= bound + 1e-9 * (1 + abs(bound) + norms.max()))
                 else:
                     at = np.arange(len(row))
                 at = at[np.isfinite(row[at])]
                 d = np.sqrt(((x[at] - part[i]) ** 2).sum(1))
                 best = np.lexsort((ids[at], d))[:k]
                 out.append(pd.DataFrame({"query_id": who[i], "id": ids[at][best], "distance": d[best]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "id": [], "distance": []})
+        return pd.concat(out) if out else nothing
 
     key = ("bucket", "part", "asker")
-    found = candidates.groupBy(*key).cogroup(askers.groupBy(*key)).applyInPandas(nearest, f"query_id {kind}, id {kind}, distance double")
-    merged = found.groupBy("query_id", "id").agg(F.min("distance").alias("distance"))
-    order = Window.partitionBy("query_id").orderBy("distance", "id")  # a query's rows: k for each bucket it visits
-    return merged.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "id", "distance")
+    candidates = dealt(filed, "parts", "askers", "part", "asker")
+    askers = dealt(probed, "askers", "parts", "asker", "part")
+    return candidates.groupBy(*key).cogroup(askers.groupBy(*key)).applyInPandas(nearest, f"query_id {kind}, id {kind}, distance double")
 
 
 def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
