@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tallyweave.sources.readers import shared_path
+
 TABLES = ("nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages")
 
 VIEWS: dict[str, str] = {
@@ -140,13 +142,27 @@ def oracle(sql: str) -> str:
     return with_views(sql).replace("AS STRING)", "AS VARCHAR)")
 
 
+#: Views that many queries start from: written once for a session and data folder, then read as tables.
+STORED = ("bill_items", "bill_charges", "bills", "assignments", "people", "pred_items", "pred_charges", "pred_bills", "field_conf")
+_stored: dict[tuple[str, str, str], str] = {}
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A view (or a driver's table) as a DataFrame."""
     if name in TABLES and name not in VIEWS:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key in _stored:
+        return spark.read.parquet(_stored[key])
     sql = with_views(f"SELECT * FROM {name}")
     words = set(sql.replace("(", " ").replace(")", " ").replace(",", " ").split())
     for t in TABLES:
         if t in words:
             spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
-    return spark.sql(sql)
+    rows = spark.sql(sql)
+    if name in STORED:
+        path = shared_path(spark, name)
+        rows.write.parquet(path)
+        _stored[key] = path
+        return spark.read.parquet(path)
+    return rows
