@@ -9,11 +9,11 @@ good enough.
 2. Order MinHash: each of `SKETCHES` hash functions picks the `LENGTH` least occurrence-labelled shingles of a text and
    lists them in text order; the list is a bucket's key. A pair 0.8 alike shares a given bucket with probability
    0.8 ** LENGTH or about that, so it shares none with (1 - 0.8 ** 3) ** 20, below one in a million.
-3. A bucket compares its texts with its first text only (a star). Linked texts become classes. Then, in buckets that
-   still hold several classes, all texts outside the largest class are compared with the bucket's other classes, so every
-   pair of a bucket is either in one class or compared (or its lengths rule a link out). Buckets of more than `CROWD`
-   texts are filed anew by longer sketches (three shingles more each time), which texts that merely have a common passage
-   do not share; their own star is kept.
+3. A bucket compares its texts with two of them only, its first and one drawn by a hash (stars). Linked texts become
+   classes; a crowd whose members are alike only in part meets many drawn texts over its buckets. Then, of buckets that
+   still hold several classes, all texts outside the largest class are compared with the texts of other classes, unless
+   prefix and position filters on the shingles (exact bounds, rarest shingles first) rule a link out. So every pair of a
+   bucket is in one class, compared, or impossible, and texts that merely have a common passage are not paired.
 4. Classes are the connected components of all links, found by joins with alternating star contractions.
 
 A class id is the smallest doc_id of the class (the doc_id itself for a text without links). Null and empty texts have no
@@ -29,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyweave.llm.common import bit_table, small_batches, stored, table, where_maybe_in
@@ -38,10 +38,6 @@ SHINGLE = 5
 SIMILARITY = 0.8
 SKETCHES = 20
 LENGTH = 3
-#: Texts in a bucket from which on longer sketches split it.
-CROWD = 64
-#: Rounds of splitting; each adds three shingles to a sketch.
-DEPTH = 3
 
 _word = re.compile(r"[^\W_]+")
 _mix = np.uint64(0x9E3779B97F4A7C15)
@@ -165,19 +161,40 @@ def _arrays(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.mapInArrow(to_bytes, f"id {rows.schema['id'].dataType.simpleString()}, shingles binary")
 
 
-def _split(crowded: DataFrame, arrays: DataFrame, length: int, seed: int) -> DataFrame:
-    """(key, id, n): the texts of crowded buckets filed by longer sketches inside their bucket."""
-    kind = crowded.schema["id"].dataType.simpleString()
+def _elements(pool: DataFrame, arrays: DataFrame) -> DataFrame:
+    """(e, id, n): every occurrence-labelled shingle of the pool's texts."""
+    kind = pool.schema["id"].dataType.simpleString()
 
-    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            parents = b.column(0).to_numpy().view(np.uint64)
-            keys = [(order_sketches(np.frombuffer(x, np.uint64), length, seed=seed) ^ parents[i]) * _mix for i, x in enumerate(b.column(3).to_pylist())]
-            at = pa.array(np.repeat(np.arange(b.num_rows), SKETCHES))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys or [np.empty(0, np.uint64)]).view(np.int64)), b.column(1).take(at), b.column(2).take(at)], names=["key", "id", "n"])
+            for i, data in enumerate(b.column(1).to_pylist()):
+                s = np.frombuffer(data, np.uint64)
+                e = (s ^ (occurrences(s) + np.uint64(1)) * _mix) * np.uint64(0xBF58476D1CE4E5B9)
+                at = pa.array(np.full(len(s), i))
+                yield pa.RecordBatch.from_arrays([pa.array(e.view(np.int64)), b.column(0).take(at), pa.array(np.full(len(s), len(s)))], names=["e", "id", "n"])
+
+    rows = pool.select("id").join(arrays.hint("merge"), "id").select("id", "shingles")
+    return rows.mapInArrow(explode, f"e long, id {kind}, n long")
 
-    rows = crowded.join(arrays.hint("merge"), "id").select("key", "id", "n", "shingles")
-    return rows.mapInArrow(sketch, f"key long, id {kind}, n long")
+
+def _prefix_pairs(pool: DataFrame, arrays: DataFrame) -> DataFrame:
+    """(a, b): all pairs of a minority text and another class's text that could be linked, by prefix and position filters.
+
+    Each text's shingles are put in one order, the rarest in the pool first. Linked texts have a shingle in common among
+    the first n - ceil(0.8 n) + 1, and at the first common one enough shingles are still to come in both. The filters
+    lose no link, and shingles of a passage that many texts share come last, so they propose nothing.
+    """
+    elements = stored(_elements(pool, arrays), "elements")
+    times = elements.groupBy("e").agg(F.count(F.lit(1)).alias("times"))
+    order = Window.partitionBy("id").orderBy("times", "e")  # one text's shingles
+    ranked = elements.join(times.hint("merge"), "e").withColumn("pos", F.row_number().over(order))
+    prefix = ranked.where((F.col("times") > 1) & (F.col("pos") <= F.col("n") - F.ceil(SIMILARITY * F.col("n") - 1e-9) + 1)).select("e", "id", "n", "pos")
+    prefix = stored(prefix.join(pool.hint("merge"), "id"), "prefixes")
+    x = prefix.where("minority").select("e", F.col("id").alias("x"), "n", "pos", F.col("root").alias("rx"))
+    y = prefix.select("e", F.col("id").alias("y"), F.col("n").alias("m"), F.col("pos").alias("at"), F.col("root").alias("ry"))
+    enough = 1 + F.least(F.col("n") - F.col("pos"), F.col("m") - F.col("at")) >= F.ceil(SIMILARITY / (1 + SIMILARITY) * (F.col("n") + F.col("m")) - 1e-9)
+    pairs = x.join(y.hint("merge"), "e").where((F.col("rx") != F.col("ry")) & _alike("n", "m") & enough)
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def _verified(pairs: DataFrame, arrays: DataFrame) -> DataFrame:
@@ -202,6 +219,7 @@ def components(links: DataFrame) -> DataFrame:
     Each round is two joins by key and halves chains; its result is stored, and it ends when nothing changes.
     """
     edges = stored(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
+    before = None
     while True:
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # Large star: all larger neighbours of a node are hung on its smallest neighbour or itself.
@@ -211,10 +229,11 @@ def components(links: DataFrame) -> DataFrame:
         small_least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(small_least.hint("merge"), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         new = stored(small.unionByName(small_least.select("u", F.col("m").alias("v"))).distinct(), "stars")
-        same = new.count() == edges.count() and new.join(edges.hint("merge"), ["u", "v"], "left_anti").isEmpty()
+        after = new.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(u, v))")).first()
         edges = new
-        if same:
+        if after == before:
             return edges.select(F.col("u").alias("id"), F.col("v").alias("root"))
+        before = after
 
 
 def _alike(n: str, m: str) -> Column:
@@ -229,45 +248,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     heads = stored(sketched.groupBy("copy").agg(F.min(F.struct("id", "n", "keys")).alias("h")).select("copy", "h.*"), "heads")
     member = stored(sketched.select("id", "copy").distinct().join(heads.select("copy", F.col("id").alias("head")).hint("merge"), "copy").select("id", "head"), "members")
 
-    filed = heads.select(F.explode("keys").alias("key"), "id", "n").distinct()
-    shared = filed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    rows = stored(filed.join(shared.hint("merge"), "key"), "buckets")
+    filed = heads.select(F.explode(F.array_distinct("keys")).alias("key"), "id", "n")
+    text = F.struct("id", "n")
+    pivots = F.array(F.min(text), F.min_by(text, F.xxhash64("key", "id"))).alias("pivots")
+    shared = filed.groupBy("key").agg(F.count(F.lit(1)).alias("size"), pivots).where("size > 1")
+    rows = stored(filed.join(shared.hint("merge"), "key").drop("size"), "buckets")
     needed = rows.select(F.col("id").alias("needed")).distinct()
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     texts = where_maybe_in(texts, F.col("id"), bit_table(needed.select(F.xxhash64("needed"))))
     arrays = stored(_arrays(texts.groupBy("id").agg(F.max("text").alias("text")), "id", "text"), "arrays")
 
-    buckets = rows.where(F.col("size") <= CROWD).select("key", "id", "n")
-    star_pairs = None
-    for depth in range(1, DEPTH + 1):
-        crowded = rows.where(F.col("size") > CROWD).select("key", "id", "n")
-        if crowded.isEmpty():
-            break
-        if depth == DEPTH:
-            buckets = buckets.unionByName(crowded)
-            break
-        star = _stars(crowded)
-        star_pairs = star if star_pairs is None else star_pairs.unionByName(star)
-        filed = stored(_split(crowded, arrays, LENGTH + 3 * depth, depth).distinct(), "split")
-        shared = filed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-        rows = stored(filed.join(shared.hint("merge"), "key"), "buckets")
-        buckets = buckets.unionByName(rows.where(F.col("size") <= CROWD).select("key", "id", "n"))
-    buckets = stored(buckets, "buckets")
-    star = _stars(buckets)
-    star = stored((star if star_pairs is None else star.unionByName(star_pairs)).distinct(), "pairs")
+    buckets = rows.select("key", "id")
+    star = rows.select("id", "n", F.explode("pivots").alias("p")).where((F.col("id") != F.col("p.id")) & _alike("n", "p.n"))
+    star = star.select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b"))
+    star = stored(star.distinct(), "pairs")
     links = stored(_verified(star, arrays), "links")
     roots = components(links)
 
-    # Buckets with several classes: texts outside the largest class against the other classes.
-    rooted = buckets.join(roots.hint("merge"), "id", "left").select("key", "id", "n", F.coalesce("root", "id").alias("root"))
+    # Buckets with several classes: their texts outside the largest class against all such buckets' texts.
+    rooted = buckets.join(roots.hint("merge"), "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
     per = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("times"))
     largest = per.groupBy("key").agg(F.max(F.struct("times", "root")).alias("top"), F.count(F.lit(1)).alias("classes")).where("classes > 1")
-    mixed = stored(rooted.join(largest.select("key", F.col("top.root").alias("top")).hint("merge"), "key"), "mixed")
-    minority = mixed.where("root <> top").select("key", F.col("id").alias("y"), F.col("root").alias("ry"), F.col("n").alias("m"))
-    others = mixed.select("key", F.col("id").alias("x"), F.col("root").alias("rx"), "n")
-    rest = others.join(minority.hint("merge"), "key").where((F.col("rx") != F.col("ry")) & _alike("n", "m"))
-    rest = rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    rest = stored(rest.join(star.hint("merge"), ["a", "b"], "left_anti"), "rest")
+    mixed = rooted.join(largest.select("key", F.col("top.root").alias("top")).hint("merge"), "key")
+    pool = stored(mixed.groupBy("id").agg(F.min("root").alias("root"), F.max(F.col("root") != F.col("top")).alias("minority")), "pool")
+    rest = stored(_prefix_pairs(pool, arrays).join(star.hint("merge"), ["a", "b"], "left_anti"), "rest")
     if not rest.isEmpty():
         links = stored(links.unionByName(_verified(rest, arrays)), "links")
     roots = components(links.unionByName(member.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b"))))
@@ -280,13 +284,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select("doc_id", F.coalesce("root", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
-def _stars(buckets: DataFrame) -> DataFrame:
-    """(a, b): every text of a bucket with the bucket's first, where their lengths allow a link; a < b."""
-    first = buckets.groupBy("key").agg(F.min(F.struct("id", "n")).alias("first"))
-    pairs = buckets.join(first.hint("merge"), "key").where(F.col("id") != F.col("first.id"))
-    return pairs.where(_alike("n", "first.n")).select(F.col("first.id").alias("a"), F.col("id").alias("b")).distinct()
-
-
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """docs with one document of each class, the one with the smallest doc_id, its columns as they were; rows without
     doc_id stay."""
