@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyweave.llm.bpe_core import MergeTable, TwoAges, load_merges, merge_list, pieces, special_splitter
-from tallyweave.llm.common import scratch_dir, small_batches, table
+from tallyweave.llm.common import free_worker_memos, scratch_dir, small_batches, table, worker_memo
 
 _letter = [bytes([b]) for b in range(256)]
 _no_merge = 1 << 60
@@ -185,12 +185,13 @@ def count_words(docs: DataFrame, tokenizer: str, text_col: str = "text") -> Data
             yield pa.RecordBatch.from_arrays([pa.array(words[i : i + 50_000], pa.string()), pa.array(ns[i : i + 50_000], pa.int64())], names=["word", "n"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_worker_memos()
         counts: Counter = Counter()
         for b in batches:
             for text in b.column(0).to_pylist():
                 for part in (split.split(text) if split else [text])[::2] if text else ():
                     counts.update(pieces(part))
-                if len(counts) > 500_000:  # memory, not a cap: the sum is taken after the shuffle
+                if len(counts) > 300_000:  # memory, not a cap: the sum is taken after the shuffle
                     yield from counted(counts)
                     counts.clear()
         yield from counted(counts)
@@ -223,7 +224,7 @@ def share_file(spark: SparkSession, data: bytes, name: str) -> str:
     return name
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[str, Encoder] = worker_memo()
 
 
 def encode(docs: DataFrame, tokenizer: str | None = None, min_share: float = MIN_SHARE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -89,3 +89,18 @@ def where_maybe_in(rows: DataFrame, key: Column, table_bits: np.ndarray) -> Data
             yield pa.RecordBatch.from_arrays(b.columns[:last], names=b.schema.names[:last]).filter(marked)
 
     return rows.withColumn("__hash", F.xxhash64(key)).mapInArrow(keep, rows.schema)
+
+
+_worker_memos: list[dict] = []
+
+
+def worker_memo() -> dict:
+    """A dictionary that a Python worker keeps between tasks, until another operator needs the memory."""
+    memo: dict = {}
+    _worker_memos.append(memo)
+    return memo
+
+
+def free_worker_memos() -> None:
+    for memo in _worker_memos:
+        memo.clear()

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweave.llm.common import bit_table, in_table, small_batches, stored, table
+from tallyweave.llm.common import bit_table, free_worker_memos, in_table, small_batches, stored, table
 
 FINGERPRINT_BITS = 48
 #: Fingerprints a sender holds before it sends: bounds a task's memory.
@@ -81,6 +81,7 @@ def send_fingerprints(fingerprints: DataFrame, owners: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(rows.values(), types)], names=list(rows))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_worker_memos()
         parts, held, sent = [], 0, 0
         task = TaskContext.get().partitionId() << 24
         for b in batches:

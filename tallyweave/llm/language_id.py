@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweave.llm.common import crc_mod, small_batches, table, unit_hash
+from tallyweave.llm.common import crc_mod, free_worker_memos, small_batches, table, unit_hash
 
 #: Characters of an n-gram.
 N = 4
@@ -187,6 +187,7 @@ def keep_identified(docs: DataFrame, model: LanguageFilter, min_score: float = M
     at = docs.columns.index("text")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_worker_memos()
         for b in batches:
             got = [shared.value.predict(t) for t in b.column(at).to_pylist()]
             yield b.filter(pa.array([lang != "und" and score >= min_score for lang, score in got], pa.bool_()))

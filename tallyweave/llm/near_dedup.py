@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyweave.llm.common import bit_table, small_batches, stored, table, where_maybe_in
+from tallyweave.llm.common import bit_table, free_worker_memos, small_batches, stored, table, where_maybe_in
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -131,6 +131,7 @@ def _sketched(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, copy, n, keys) of the rows that can have links; copy is a digest of the word sequence, n its shingles."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_worker_memos()
         for b in batches:
             at, copies, ns, keys = [], [], [], []
             for i, text in enumerate(b.column(1).to_pylist()):
