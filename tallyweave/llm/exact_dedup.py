@@ -8,8 +8,8 @@
    A false suspect forms a group of one, so the size of the bit table changes the cost but never the result.
 
 Texts are equal when identical after lower-casing A-Z only; null counts as empty. Of equal texts the largest doc_id
-stays. Rows that repeat a doc_id count in group_size; kept is decided by doc_id alone, so repeats of the row that
-stays are all marked kept (drop_exact_duplicates keeps one of them). A null doc_id stays only in a group without any
+stays. Rows that repeat a doc_id count in group_size; inside a group kept is decided by doc_id alone, so repeats of the
+row that stays are all marked kept (drop_exact_duplicates keeps one of them, of each text). A null doc_id stays only in a group without any
 other id. No rows give no rows.
 """
 
@@ -60,6 +60,10 @@ def normalised(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def _sha(text: Column) -> Column:
+    return F.sha2(F.encode(text, "UTF-8"), 256)
+
+
 def _fingerprint(sha: Column) -> Column:
     return F.conv(F.substring(sha, 1, FINGERPRINT_BITS // 4), 16, 10).cast("long")
 
@@ -131,7 +135,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     small_batches(spark)
     owners = int(spark.conf.get("spark.sql.shuffle.partitions"))
     text = normalised(F.col(text_col))
-    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.sha2(F.encode(text, "UTF-8"), 256).alias("sha"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), _sha(text).alias("sha"))
     rows = rows.withColumn("fp", _fingerprint(F.col("sha")))
     messages = stored(send_fingerprints(rows.select("fp"), owners), "fingerprints")
     marks = spark.sparkContext.broadcast(suspect_filter(messages, owners, filter_bits))
@@ -156,10 +160,11 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
     """docs without the rows that are copies of another: one row of every group of equal texts, its columns as they were."""
-    kept = exact_duplicates(docs).where("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("__times"))
-    left = docs.join(kept.withColumnRenamed("doc_id", "__id").hint("merge"), F.col("doc_id").eqNullSafe(F.col("__id")))
+    kept = exact_duplicates(docs).where("kept").groupBy(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__kept_sha")).agg(F.count(F.lit(1)).alias("__times"))
+    rows = docs.withColumn("__sha", _sha(normalised(F.col("text"))))
+    left = rows.join(kept.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__sha") == F.col("__kept_sha")))
     once = left.where("__times = 1").select(docs.columns)
-    return once.unionByName(left.where("__times > 1").select(docs.columns).dropDuplicates(["doc_id"]))
+    return once.unionByName(left.where("__times > 1").dropDuplicates(["doc_id", "__sha"]).select(docs.columns))
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -52,6 +52,12 @@ def test_exact_keeps_one_row_of_each_group(spark, edge, empty):
     assert E.drop_exact_duplicates(empty).count() == 0 and E.exact_duplicates(empty).count() == 0
 
 
+def test_exact_keeps_every_text_of_null_and_repeated_ids(spark):
+    docs = [(None, "a"), (None, "b"), (None, "A"), (None, "c"), (1, "one"), (1, "two"), (1, "TWO"), (2, "x"), (2, "y"), (3, "X"), (None, "y")]
+    kept = sorted(((r.doc_id, r.text.lower()) for r in E.drop_exact_duplicates(make(spark, docs).repartition(3)).collect()), key=str)
+    assert kept == sorted([(None, "a"), (None, "b"), (None, "c"), (1, "one"), (1, "two"), (2, "y"), (3, "x")], key=str)
+
+
 # Near-dedup
 
 
