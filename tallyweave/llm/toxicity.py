@@ -11,7 +11,8 @@
    curve fitted to training documents that had no part in step 1; the outcome is the score.
 
 Fitting uses at most about `sample_docs` labelled rows of each class (drawn by a hash; whole texts); the bound is on the
-classifier's training alone. Rows without a label or text teach nothing. With one class only, the score is that class's
+classifier's training alone. The curve weights each row by 1 / the drawn share of its class, so its intercept has the
+proportion of all labelled rows whatever the size of a class. Rows without a label or text teach nothing. With one class only, the score is that class's
 share, smoothed. Null and empty texts are scored as texts without words; repeated rows and null doc_ids give a row each;
 no rows give no rows.
 """
@@ -108,14 +109,14 @@ class ToxicityModel:
 
 
 def _training_rows(docs: DataFrame, labels: DataFrame, sample_docs: int) -> DataFrame:
-    """(text, toxic, fold): a bounded sample of the labelled documents, stored."""
+    """(text, toxic, fold, weight): a bounded sample of the labelled documents, stored; weight is 1 / the drawn share."""
     own = labels.where(F.col("toxic").isin(0, 1)).groupBy(F.col("doc_id").alias("id")).agg(F.max("toxic").alias("toxic"))
     sizes = {r.toxic: r.n for r in own.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     share = F.when(F.col("toxic") == 1, min(1.0, sample_docs / max(1, sizes.get(1, 0)))).otherwise(min(1.0, sample_docs / max(1, sizes.get(0, 0))))
-    drawn = own.where(unit_hash(F.lit("toxicity sample"), "id") < share)
+    drawn = own.withColumn("share", share).where(unit_hash(F.lit("toxicity sample"), "id") < F.col("share"))
     texts = docs.where(F.col("text").isNotNull()).select("doc_id", "text")
     # The drawn ids are bounded (2 x sample_docs in expectation), so they may be sent to all tasks.
-    return stored(texts.join(F.broadcast(drawn), F.col("doc_id") == F.col("id")).select("text", "toxic", unit_hash(F.lit("fold"), "doc_id").alias("fold")), "toxicity-sample")
+    return stored(texts.join(F.broadcast(drawn), F.col("doc_id") == F.col("id")).select("text", "toxic", unit_hash(F.lit("fold"), "doc_id").alias("fold"), (1 / F.col("share")).alias("weight")), "toxicity-sample")
 
 
 def _document_counts(rows: DataFrame) -> DataFrame:
@@ -185,10 +186,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, alph
                 segments = maximal_segments(shared.value.marks(tokens), drift)
                 out.append((max(1, len(tokens)), [s for _, _, s in segments]))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(1), pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.list_(pa.float64()))], names=["toxic", "n", "best"]
+                [batch.column(1), batch.column(2), pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.list_(pa.float64()))],
+                names=["toxic", "weight", "n", "best"],
             )
 
-    seen = rows.where("fold >= 0.6").select("text", "toxic").mapInArrow(features, "toxic int, n long, best array<double>").collect()  # a few numbers of each row of the bounded sample
+    seen = rows.where("fold >= 0.6").select("text", "toxic", "weight").mapInArrow(features, "toxic int, weight double, n long, best array<double>").collect()  # a few numbers of each row of the bounded sample
     clean = [r for r in seen if r.toxic == 0]
     k = len(clean) / max(1e-9, sum(r.n * math.exp(-lam * max(r.best, default=0.0)) for r in clean)) if clean else 1.0
     least = -math.log(MAX_EXPECTED)
@@ -196,7 +198,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, alph
     for r in seen:
         evidence = [lam * s - math.log(k * r.n) for s in r.best] or [-math.log(k * r.n)]
         xs.append((1.0, min(30.0, max(-10.0, max(evidence))), min(60.0, sum(x for x in evidence if x >= least))))
-    curve = _logistic(np.array(xs).reshape(-1, 3), np.array([float(r.toxic) for r in seen]))
+    curve = _logistic(np.array(xs).reshape(-1, 3), np.array([float(r.toxic) for r in seen]), np.array([r.weight for r in seen]))
     return ToxicityModel(scores, drift, lam, k, curve)
 
 
@@ -216,14 +218,14 @@ def _lambda(positive: list[tuple[float, float]], drift: float) -> float:
     return low
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> tuple[float, float, float]:
-    """Newton's method with a small ridge on the slopes."""
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.05) -> tuple[float, float, float]:
+    """Newton's method with a small ridge on the slopes; a row counts weight times."""
     w = np.zeros(x.shape[1])
     if len(y):
         for _ in range(50):
             p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
             penalty = ridge * np.r_[1e-3, np.ones(len(w) - 1)]
-            step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty + 1e-6), x.T @ (y - p) - penalty * w)
+            step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + np.diag(penalty + 1e-6), x.T @ (weight * (y - p)) - penalty * w)
             w = w + np.clip(step, -2, 2)
             if np.abs(step).max() < 1e-8:
                 break

@@ -155,6 +155,21 @@ def test_toxicity_edges(spark, edge, empty):
     assert T.score_documents(empty, T.fit(edge, labels)).count() == 0
 
 
+def test_curve_keeps_the_proportion_of_classes(spark):
+    """A sample of the larger class alone must not move the 0.5 threshold: words of both classes, toxic ones likelier."""
+    r = np.random.RandomState(5)
+    clean = [(i, " ".join(r.choice([f"w{x}" for x in range(300)], 30))) for i in range(1600)]
+    toxic = [(5000 + i, " ".join([*r.choice([f"w{x}" for x in range(300)], 27 + i % 3), *["vile"] * (i % 2)])) for i in range(200)]
+    some = [(i, t + " vile") if i % 8 == 0 else (i, t) for i, t in clean]
+    labels = spark.createDataFrame([(i, int(i >= 5000)) for i, _ in some + toxic], "doc_id long, toxic int")
+    docs = make(spark, some + toxic)
+    shares = []
+    for sample_docs in (5000, 300):  # above and below the size of the clean class
+        got = T.score_documents(docs, T.fit(docs, labels, sample_docs)).collect()
+        shares.append((sum(x.score >= 0.5 for x in got) / len(got), float(np.mean([x.score for x in got]))))
+    assert abs(shares[0][1] - 200 / 1800) < 0.05 and abs(shares[1][1] - shares[0][1]) < 0.05 and abs(shares[0][0] - shares[1][0]) < 0.02
+
+
 # Nearest neighbours
 
 
