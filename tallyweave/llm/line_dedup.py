@@ -1,8 +1,10 @@
 """Line dedup by pairwise alignment.
 
-1. Lines are compared without case and outer white space; blank lines take no part. Documents that hold the same line
-   overlap. Each document is paired with the earliest document that holds one of its lines, and by rare lines (in at most
-   `RARE` documents) also with the nearest earlier one. Pairs grow with the lines, not with the square of a line's holders.
+1. Lines are compared without case and outer white space; blank lines take no part. From each line on, the fewest adjoining
+   lines with at least `min_words` words together are a window; a block to delete holds at least one whole window. Each
+   document is paired with the earliest document that holds one of its windows, and by rare windows (in at most `RARE`
+   documents) also with the nearest earlier one. A partner holds the whole window, and pairs grow with the lines, not with
+   the square of a window's holders.
 2. Each pair is aligned by patience diff: lines that are unique in both and keep their order are the anchors; between
    them equal beginnings, equal ends and further unique lines are matched.
 3. Blocks of adjoining matched lines with at least `min_words` words together are deleted from the later document, the one
@@ -14,11 +16,13 @@ one document, each row with the same result. No rows give no rows.
 
 from __future__ import annotations
 
+from array import array
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -81,6 +85,22 @@ def common_blocks(a: list[int], b: list[int], words: list[int], min_words: int)
     return out
 
 
+def line_windows(lines: list[int], words: list[int], min_words: int) -> list[int]:
+    """Distinct hashes of the windows: from each line on, the fewest adjoining lines with at least min_words words."""
+    out: set[int] = set()
+    end, total = 0, 0
+    for start, n in enumerate(words):
+        while end < len(words) and (end <= start or total < min_words):
+            total += words[end]
+            end += 1
+        if total < min_words:
+            break
+        part = lines[start:end]
+        out.add(part[0] if len(part) == 1 else xxhash.xxh3_64_intdigest(array("q", part).tobytes()) - (1 << 63))
+        total -= n
+    return sorted(out)
+
+
 def _line_hash(line: Column, salt: str) -> Column:
     return F.xxhash64(F.lower(F.trim(line)), F.lit(salt))
 
@@ -97,7 +117,14 @@ def deleted_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         F.transform("lines", lambda s: _line_hash(s["line"], "align")).alias("align"),  # with the other hash, 128 bits
     )
     rows = stored(rows.dropDuplicates(["k"]), "lines")
-    held = rows.select("k", F.explode(F.array_distinct("find")).alias("line"))
+    key = rows.schema["k"].dataType.simpleString()
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [line_windows(find, words, min_words) for words, find in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["k", "windows"])
+
+    held = rows.select("k", "words", "find").mapInArrow(windows, f"k {key}, windows array<long>").select("k", F.explode("windows").alias("line"))
     per = held.groupBy("line").agg(F.min("k").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = stored(held.join(per.hint("merge"), "line"), "shared-lines")
     earliest = shared.where(F.col("k") != F.col("first")).select("k", F.col("first").alias("e"))
@@ -105,7 +132,6 @@ def deleted_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     nearest = shared.where(F.col("n") <= RARE).select("k", F.lag("k").over(before).alias("e")).where("e IS NOT NULL")
     pairs = stored(earliest.unionByName(nearest).distinct(), "pairs")
 
-    kind = rows.select("k").schema["k"].dataType
     needed = rows.select(F.col("k").alias("e"), F.col("align").alias("a"))
     both = pairs.join(rows.select("k", "at", "words", F.col("align").alias("b")).hint("merge"), "k").join(needed.hint("merge"), "e")
 
@@ -116,7 +142,7 @@ def deleted_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                 places.append([at[j] for j in common_blocks(a, b, words, min_words)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(places, pa.list_(pa.int32()))], names=["k", "places"])
 
-    found = both.select("k", "at", "words", "b", "a").mapInArrow(align, f"k {kind.simpleString()}, places array<int>").where(F.size("places") > 0)
+    found = both.select("k", "at", "words", "b", "a").mapInArrow(align, f"k {key}, places array<int>").where(F.size("places") > 0)
     # A document's pairs are at most twice its lines.
     return stored(found.groupBy("k").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("places")))).alias("places")), "deleted")
 

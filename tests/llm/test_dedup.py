@@ -162,6 +162,27 @@ def test_lines_go_from_the_later_document(spark):
     assert all(got[10 + i].deleted == [1] for i in range(200))
 
 
+def test_windows_are_the_fewest_adjoining_lines():
+    r = random.Random(8)
+    for _ in range(300):
+        words = [r.randint(1, 7) for _ in range(r.randint(0, 12))]
+        runs = set()
+        for i in range(len(words)):
+            end = next((e for e in range(i + 1, len(words) + 1) if sum(words[i:e]) >= 5), None)
+            runs |= {(i, end)} if end else set()
+        assert len(L.line_windows(list(range(len(words))), words, 5)) == len(runs)
+
+
+def test_blocks_of_short_lines_are_found_although_each_line_is_common(spark):
+    """The lines of a block also stand alone in earlier documents, before the first copy of the block and between the copies."""
+    block = ["alpha one", "beta two", "gamma three"]
+    docs = [(i, f"own words {i}\n{line}\nmore {i}") for at in (1, 20) for i, line in enumerate(block, at)]
+    docs += [(10, "\n".join(["first holder", *block])), (30, "\n".join(["second holder", *block, "end"]))]
+    docs += [(100 + i, f"own text {i}\n{block[i % 3]}") for i in range(180)] + [(400, "\n".join(["third", *block]))]
+    got = {r.doc_id: r.deleted for r in L.remove_repeated_lines(make(spark, docs)).collect()}
+    assert {i: d for i, d in got.items() if d} == {30: [1, 2, 3], 400: [1, 2, 3]}
+
+
 def test_line_edges(edge, empty):
     got = [(r.doc_id, r.n_lines, r.deleted, r.text) for r in L.remove_repeated_lines(edge).collect()]
     assert len(got) == edge.count()
