@@ -1,12 +1,16 @@
-"""Substring dedup by content-defined chunking with a gear rolling hash.
+"""Substring dedup by word windows that a winnowed rolling hash picks out.
 
-1. Every whole text (UTF-8 bytes) is cut where the gear hash of the last bytes is the largest within `REACH` bytes on both
-   sides, so cuts depend on nearby content only and insertions elsewhere don't move them; chunks over `MAX_CHUNK` bytes
-   are cut further from their start.
-2. Chunks are deduplicated by digest: the earliest document of each digest (smallest doc_id) is its source, later documents
-   repeat it.
-3. A later document's repeated chunks that lie at the same distance from their source (a diagonal) are checked byte by
-   byte and extended in both directions to the whole common passage. Passages of at least `min_words` words are the result.
+A window is `min_words` successive words of a text (UTF-8 bytes, words parted by white space), from the first byte of its
+first word to the last byte of its last one.
+
+1. Runs of a third as many words get a rolling hash of their bytes; each window is marked by the least of its runs'
+   hashes (winnowing), which depends on the window's bytes alone. Marks that several documents have go to a bit table of
+   fixed size (filter_bits): a window whose mark is not in it occurs in one document only. A false mark costs work only.
+2. The other windows are keyed by the hash of all their bytes. The earliest document of each key (smallest doc_id) is its
+   source and holds the whole window; later documents with the key are held against it.
+3. The common windows of such a pair are checked byte by byte and extended in both directions to the whole common passage.
+
+So every window that an earlier document holds is inside a passage of the result, however short or long its words are.
 
 Offsets count bytes of the UTF-8 text; passages begin and end at character boundaries. Null and empty texts have none, nor
 do rows with null doc_ids. Rows that repeat a doc_id are one document; of its different texts the one that sorts last
@@ -20,17 +24,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweave.llm.common import bit_table, small_batches, stored, table, where_maybe_in
+from tallyweave.llm.common import bit_table, in_table, small_batches, stored, table, where_maybe_in
 
 REACH = 32
 MAX_CHUNK = 1024
 MIN_WORDS = 50
-#: A diagonal is looked at from this many bytes of repeated chunks on; a passage of fifty words has more.
-MIN_CHUNK_BYTES = 40
+#: Bits of the table of shared marks, 32 MB as broadcast.
+FILTER_BITS = 28
 
 _gear = np.random.RandomState(20240501).randint(0, 2**16, 256).astype(np.uint16)
 
@@ -54,7 +57,7 @@ def _window_max(x: np.ndarray, n: int) -> np.ndarray:
 
 
 def cut_points(data: np.ndarray, reach: int = REACH, max_chunk: int = MAX_CHUNK) -> np.ndarray:
-    """Chunk boundaries, 0 and len(data) included."""
+    """Chunk boundaries, 0 and len(data) included. The query keys word windows instead, as chunks promise no count of words."""
     n = len(data)
     if n <= 1:
         return np.array([0, n][: n + 1])
@@ -70,100 +73,137 @@ def cut_points(data: np.ndarray, reach: int = REACH, max_chunk: int = MAX_CHUNK)
     return cuts
 
 
-def chunks_of(docs: DataFrame) -> DataFrame:
-    """(h, id, at, size): the chunks of docs (id, text)."""
+_values = np.random.RandomState(20240502).randint(0, 2**63, 256).astype(np.uint64)
+_BASE = 0x9E3779B97F4A7C15
+_is_space = np.zeros(256, bool)
+_is_space[list(b" \t\n\r\f\v")] = True
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.cumprod(out)
+
+
+class Words:
+    """The words of a text, and hashes of runs of them with the white space between."""
 
-    def chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = xxhash.xxh3_64_intdigest
+    def __init__(self, data: np.ndarray):
+        word = np.concatenate([[False], ~_is_space[data], [False]])
+        self.starts = np.flatnonzero(word[1:] & ~word[:-1])[: len(data)]
+        self.ends = np.flatnonzero(word[:-1] & ~word[1:])
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_values[data] * _powers(_BASE, len(data)))])
+        self.inverse = _powers(pow(_BASE, -1, 1 << 64), len(data))[self.starts]
+
+    def hashes(self, run: int) -> np.ndarray:
+        """The hash of each run of so many words, in order."""
+        n = max(0, len(self.starts) - run + 1)
+        x = (self.sums[self.ends[run - 1 :]] - self.sums[self.starts[:n]]) * self.inverse[:n] if n else np.zeros(0, np.uint64)
+        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        return (x ^ (x >> np.uint64(29))).view(np.int64)
+
+    def marks(self, min_words: int) -> np.ndarray:
+        """The mark of each window of min_words words."""
+        run = max(1, min_words // 3)
+        x = self.hashes(run)
+        span = min_words - run + 1
+        return _window_min(x, span) if len(x) >= span else x[:0]
+
+
+def _window_min(x: np.ndarray, n: int) -> np.ndarray:
+    """Least of x[i : i + n] for each i where there are n."""
+    out, have = x, 1
+    while have < n:
+        step = min(have, n - have)
+        out = np.minimum(out[:-step], out[step:])
+        have += step
+    return out
+
+
+def _keyed(docs: DataFrame, keys) -> DataFrame:
+    """(h, id): the distinct keys of each text of docs (id, text); keys: Words -> hashes."""
+
+    def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            which, at, size, hashes = [], [], [], []
-            for i, text in enumerate(b.column(1).to_pylist()):
-                if text:
-                    data = text.encode()
-                    cuts = cut_points(np.frombuffer(data, np.uint8))
-                    places = cuts.tolist()
-                    hashes += [digest(data[a:z]) for a, z in zip(places, places[1:])]
-                    which.append(np.full(len(cuts) - 1, i))
-                    at.append(cuts[:-1])
-                    size.append(np.diff(cuts))
-            if hashes:
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.array(hashes, np.uint64).view(np.int64)),
-                        b.column(0).take(pa.array(np.concatenate(which))),
-                        pa.array(np.concatenate(at).astype(np.int32)),
-                        pa.array(np.concatenate(size).astype(np.int32)),
-                    ],
-                    names=["h", "id", "at", "size"],
-                )
-
-    return docs.select("id", "text").mapInArrow(chunk, f"h long, id {docs.schema['id'].dataType.simpleString()}, at int, size int")
+            found = [np.unique(keys(Words(np.frombuffer(text.encode(), np.uint8)))) for text in b.column(1).to_pylist()]
+            which = np.repeat(np.arange(len(found)), [len(x) for x in found])
+            if len(which):
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), b.column(0).take(pa.array(which))], names=["h", "id"])
+
+    return docs.select("id", "text").mapInArrow(key, f"h long, id {docs.schema['id'].dataType.simpleString()}")
 
 
 _space = re.compile(rb"\s+")
 
 
-def common_passages(later: bytes, earlier: bytes, shift: int, places: list[int], sizes: list[int], min_words: int) -> list[tuple[int, int, int]]:
-    """(start, size, words) in later of the passages that are in earlier shift bytes further on, around the given chunks."""
-    low, high = max(0, -shift), min(len(later), len(earlier) - shift)
-    a = np.frombuffer(later, np.uint8)[low:high]
-    b = np.frombuffer(earlier, np.uint8)[low + shift : high + shift]
-    breaks = np.concatenate([[low - 1], np.flatnonzero(a != b) + low, [high]])
+def _common_length(a: np.ndarray, b: np.ndarray) -> int:
+    """Length of the common beginning."""
+    n, i, step = min(len(a), len(b)), 0, 256
+    while i < n:
+        differ = np.flatnonzero(a[i : min(n, i + step)] != b[i : min(n, i + step)])
+        if len(differ):
+            return i + int(differ[0])
+        i, step = i + step, step * 2
+    return n
+
+
+def common_passages(later: bytes, earlier: bytes, min_words: int) -> list[tuple[int, int, int, int]]:
+    """(start, size, words, start in earlier) of passages of later that are in earlier; they cover all common windows."""
+    a, b = np.frombuffer(later, np.uint8), np.frombuffer(earlier, np.uint8)
+    own, other = Words(a), Words(b)
+    keys, first = np.unique(other.hashes(min_words), return_index=True)
+    wanted = own.hashes(min_words)
+    at = np.minimum(np.searchsorted(keys, wanted), max(0, len(keys) - 1))
     out, done = [], -1
-    for at, size in sorted(zip(places, sizes)):
-        if at < done or later[at : at + size] != earlier[at + shift : at + shift + size]:
+    for i in np.flatnonzero(keys[at] == wanted).tolist() if len(keys) else []:
+        x, end = int(own.starts[i]), int(own.ends[i + min_words - 1])
+        y = int(other.starts[first[at[i]]])
+        if end <= done or later[x:end] != earlier[y : y + end - x]:
             continue
-        i = int(np.searchsorted(breaks, at, side="right"))
-        start, end = int(breaks[i - 1]) + 1, int(breaks[i])
-        while start < end and later[start] & 0xC0 == 0x80:
+        start, end = x - _common_length(a[:x][::-1], b[:y][::-1]), x + _common_length(a[x:], b[y:])
+        while later[start] & 0xC0 == 0x80:
             start += 1
-        while end < len(later) and end > start and later[end] & 0xC0 == 0x80:
+        while end < len(later) and later[end] & 0xC0 == 0x80:
             end -= 1
         done = end
-        words = len(_space.split(later[start:end].strip()))
-        if words >= min_words:
-            out.append((start, end - start, words))
+        out.append((start, end - start, len(_space.split(later[start:end].strip())), start + y - x))
     return out
 
 
-def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text", filter_bits: int = FILTER_BITS) -> DataFrame:
     """(doc_id, start, size, words, source_id, source_start): every passage that repeats one of an earlier document."""
     small_batches(docs.sparkSession)
     rows = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    chunks = stored(chunks_of(rows), "chunks")
-    sources = chunks.groupBy("h").agg(F.min("id").alias("source"), F.max("id").alias("last")).where("source < last").select("h", "source")
-    shared = stored(chunks.join(sources.hint("merge"), "h"), "shared-chunks")
-    first = shared.where("id = source").groupBy("h").agg(F.min("at").alias("from"))
-    repeats = shared.where("id > source").join(first.hint("merge"), "h")
-    diagonals = repeats.groupBy("id", "source", (F.col("from") - F.col("at")).alias("shift")).agg(F.collect_list(F.struct("at", "size")).alias("own"), F.sum("size").alias("bytes"))
-    # All diagonals of a pair in one row, so that its texts travel once; the lists are within one document.
-    pairs = diagonals.where(F.col("bytes") >= MIN_CHUNK_BYTES).groupBy("id", "source").agg(F.collect_list(F.struct("shift", "own")).alias("own"))
-    diagonals = stored(pairs, "diagonals")
-
-    ids = diagonals.select(F.xxhash64("id")).union(diagonals.select(F.xxhash64("source")))
+
+    def several(keyed: DataFrame) -> DataFrame:
+        return keyed.groupBy("h").agg(F.min("id").alias("source"), F.max("id").alias("last")).where("source < last").select("h", "source")
+
+    marked = docs.sparkSession.sparkContext.broadcast(bit_table(several(_keyed(rows, lambda w: w.marks(min_words))).select("h"), filter_bits))  # fixed size
+    windows = stored(_keyed(rows, lambda w: w.hashes(min_words)[in_table(marked.value, w.marks(min_words))]), "windows")
+    repeats = windows.join(several(windows).hint("merge"), "h").where("id > source")
+    pairs = stored(repeats.select("id", "source").distinct(), "pairs")
+
+    ids = pairs.select(F.xxhash64("id")).union(pairs.select(F.xxhash64("source")))
     texts = where_maybe_in(rows, F.col("id"), bit_table(ids))
     texts = stored(texts.groupBy("id").agg(F.max("text").alias("text")), "texts")
-    both = diagonals.join(texts.withColumnRenamed("text", "later").hint("merge"), "id")
+    both = pairs.join(texts.withColumnRenamed("text", "later").hint("merge"), "id")
     both = both.join(texts.select(F.col("id").alias("source"), F.col("text").alias("earlier")).hint("merge"), "source")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             which, found = [], []
-            for i, (own, later, earlier) in enumerate(zip(*(b.column(c).to_pylist() for c in range(2, 5)))):
-                later, earlier = later.encode(), earlier.encode()
-                for d in own:
-                    places, sizes = [c["at"] for c in d["own"]], [c["size"] for c in d["own"]]
-                    for start, n, w in common_passages(later, earlier, d["shift"], places, sizes, min_words):
-                        which.append(i)
-                        found.append((start, n, w, start + d["shift"]))
+            for i, (later, earlier) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist())):
+                for passage in common_passages(later.encode(), earlier.encode(), min_words):
+                    which.append(i)
+                    found.append(passage)
             pick = pa.array(which, pa.int64())
             numbers = [pa.array([f[c] for f in found], pa.int64()) for c in range(4)]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0).take(pick), *numbers[:3], b.column(1).take(pick), numbers[3]], names=["doc_id", "start", "size", "words", "source_id", "source_start"]
             )
 
-    both = both.select("id", "source", "own", "later", "earlier")
+    both = both.select("id", "source", "later", "earlier")
     found = both.mapInArrow(check, f"doc_id {kind}, start long, size long, words long, source_id {kind}, source_start long")
     return found.distinct()
 

@@ -239,6 +239,33 @@ def test_passages_match_brute_force(spark):
     assert " ".join(passage[3:-3]) not in left[7] and " ".join(passage) in left[3] and left[50].strip() == "" and left[0] == by[0]
 
 
+def test_every_passage_of_fifty_words_is_found_whatever_its_words():
+    """The bound is in words: short ones, long ones, one letter only, other bytes on both sides."""
+    r = random.Random(12)
+    for longest in (1, 2, 3, 5, 40):
+        for _ in range(60):
+            passage = " ".join("".join(r.choice("abcdefghij") for _ in range(r.randint(1, longest))) for _ in range(50))
+            a, b = (" ".join([*prose(r, r.randint(0, 40)), "|", passage, "|", *prose(r, r.randint(0, 40))]) for _ in range(2))
+            a, b = a.replace("| ", f"{r.random()} ", 1), b.replace(" |", " Ω", 1)
+            x, y = (S.Words(np.frombuffer(t.encode(), np.uint8)) for t in (a, b))
+            both = set(x.hashes(50).tolist()) & set(y.hashes(50).tolist())
+            assert both and all(m in set(y.marks(50).tolist()) for h, m in zip(x.hashes(50).tolist(), x.marks(50).tolist()) if h in both)
+            at = b.encode().index(passage.encode())
+            assert any(s <= at and s + n >= at + len(passage) and w >= 50 for s, n, w, _ in S.common_passages(b.encode(), a.encode(), 50))
+    assert len(S.common_passages(b"ha " * 500, b"ha " * 400, 50)) <= 11
+
+
+@pytest.mark.parametrize("bits", [S.FILTER_BITS, 3])
+def test_passages_of_short_words_and_after_partial_copies(spark, bits):
+    """One-letter words; and a passage whose earlier holders have only its beginning or its end."""
+    r = random.Random(13)
+    short, whole = [r.choice("abcdefgh") for _ in range(50)], prose(r, 60)
+    parts = {1: whole[:45], 2: whole[15:], 3: whole, 4: whole, 5: whole, 10: short, 11: short}
+    docs = [(i, " ".join(prose(r, 30) + w + prose(r, 30))) for i, w in parts.items()] + [(i, " ".join(prose(r, 60))) for i in range(20, 40)]
+    got = {(g.doc_id, g.source_id) for g in S.repeated_passages(make(spark, docs), filter_bits=bits).collect()}
+    assert got == {(4, 3), (5, 3), (11, 10)}
+
+
 def test_substring_edges(edge, empty):
     got = {(r.doc_id, r.source_id) for r in S.repeated_passages(edge, min_words=10).collect()}
     assert got == {(6, 1), (9, 1)}  # upper case is other text
