@@ -31,7 +31,9 @@ from tallyweave.llm.common import free_worker_memos, scratch_dir, small_batches,
 _letter = [bytes([b]) for b in range(256)]
 _no_merge = 1 << 60
 #: A word is compiled into the lexicon from this share of all words on.
-MIN_SHARE = 2e-6
+MIN_SHARE = 1e-6
+#: Words (of the lexicon or not) that a worker keeps the ids of, twice at most: bounds its memory, not the result.
+MEMO_WORDS = 150_000
 
 
 def default_tokenizer() -> str:
@@ -136,7 +138,7 @@ def merged_ids(word: bytes, table: MergeTable) -> list[int]:
             out.append(symbols[i])
             i = right[i]
         return out
-    get, none = table.pairs.get, _no_merge
+    get, none = table.merges.get, _no_merge
     ids = list(map(table.first.__getitem__, word))
     ranks = list(map(get, zip(ids, ids[1:]), repeat(none)))
     while ranks:
@@ -159,7 +161,7 @@ class Encoder:
         self.merges, self.lexicon = merges, lexicon
         self.split = special_splitter(merges.special)
         self.special = {s: struct.pack("<I", i) for s, i in merges.special.items()}
-        self.words = TwoAges(self.word, 300_000)
+        self.words = TwoAges(self.word, MEMO_WORDS)
 
     def word(self, word: str) -> bytes:
         data = word.encode()
@@ -191,7 +193,7 @@ def count_words(docs: DataFrame, tokenizer: str, text_col: str = "text") -> Data
             for text in b.column(0).to_pylist():
                 for part in (split.split(text) if split else [text])[::2] if text else ():
                     counts.update(pieces(part))
-                if len(counts) > 300_000:  # memory, not a cap: the sum is taken after the shuffle
+                if len(counts) > 200_000:  # memory, not a cap: the sum is taken after the shuffle
                     yield from counted(counts)
                     counts.clear()
         yield from counted(counts)
@@ -227,47 +229,62 @@ def share_file(spark: SparkSession, data: bytes, name: str) -> str:
 _encoders: dict[str, Encoder] = worker_memo()
 
 
-def encode(docs: DataFrame, tokenizer: str | None = None, min_share: float = MIN_SHARE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids) of every whole text; ids are little-endian unsigned 32-bit numbers in a binary column."""
+def _coded(docs: DataFrame, tokenizer: str | None, min_share: float, id_col: str, text_col: str, both: bool) -> DataFrame:
+    """(doc_id, ids) of every whole text; with both also (text), decoded from the ids by the same worker."""
     spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(spark, mb=4)
     tokenizer = tokenizer or default_tokenizer()
     lexicon = share_file(spark, build_lexicon(docs, tokenizer, min_share, text_col), "lexicon")
     shared = spark.sparkContext.broadcast(load_merges(tokenizer))  # a vocabulary file: its size is fixed
 
-    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if lexicon not in _encoders:
-            _encoders.clear()
+            free_worker_memos()
             with open(SparkFiles.get(lexicon), "rb") as f:
                 _encoders[lexicon] = Encoder(shared.value, Lexicon(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)))
         encoder = _encoders[lexicon]
         for b in batches:
             ids = [encoder.text(t) if t else b"" for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+            columns = {"doc_id": b.column(0), "ids": pa.array(ids, pa.binary())}
+            if both:
+                columns["text"] = pa.array([decoded(x, encoder.merges.bytes_of) for x in ids], pa.string())
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(encoded, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids binary")
+    return rows.mapInArrow(coded, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids binary" + ", text string" * both)
+
+
+def encode(docs: DataFrame, tokenizer: str | None = None, min_share: float = MIN_SHARE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, ids) of every whole text; ids are little-endian unsigned 32-bit numbers in a binary column."""
+    return _coded(docs, tokenizer, min_share, id_col, text_col, both=False)
+
+
+def round_trip(docs: DataFrame, tokenizer: str | None = None, min_share: float = MIN_SHARE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, ids, text): every whole text's ids, and the text decoded from them, in one pass of one worker."""
+    return _coded(docs, tokenizer, min_share, id_col, text_col, both=True)
+
+
+def decoded(ids: bytes, bytes_of: dict[int, bytes]) -> str:
+    return b"".join(map(bytes_of.__getitem__, memoryview(ids).cast("I"))).decode(errors="replace")
 
 
 def decode(coded: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """(doc_id, ids, text): the text of each row's ids, special strings included."""
-    small_batches(coded.sparkSession)
+    small_batches(coded.sparkSession, mb=4)
     shared = coded.sparkSession.sparkContext.broadcast(load_merges(tokenizer or default_tokenizer()).bytes_of)
 
-    def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bytes_of = shared.value.__getitem__
+    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [b"".join(map(bytes_of, memoryview(ids).cast("I"))).decode(errors="replace") for ids in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], names=["doc_id", "ids", "text"])
+            out = [decoded(ids, shared.value) for ids in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string())], names=["doc_id", "ids", "text"])
 
     rows = coded.select("doc_id", "ids")
-    return rows.mapInArrow(decoded, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids binary, text string")
+    return rows.mapInArrow(texts, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids binary, text string")
 
 
 def digests(docs: DataFrame) -> DataFrame:
     """Encodes and decodes every row; lengths and digests of both results."""
-    done = decode(encode(docs))
-    return done.select(
+    return round_trip(docs).select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),

@@ -8,7 +8,6 @@ from __future__ import annotations
 import json
 import re
 from dataclasses import dataclass
-from functools import cached_property
 from heapq import heapify, heappop, heappush
 
 import regex
@@ -43,18 +42,13 @@ def byte_letters() -> dict[int, str]:
 
 @dataclass(frozen=True)
 class MergeTable:
-    """first: id of each byte; merges: left id << 20 | right id -> (rank << 20 | merged id); special: whole-text strings."""
+    """first: id of each byte; merges: (left id, right id) -> rank << 20 | merged id; special: whole-text strings."""
 
     first: list[int]
-    merges: dict[int, int]
+    merges: dict[tuple[int, int], int]
     bytes_of: dict[int, bytes]
     special: dict[str, int]
 
-    @cached_property
-    def pairs(self) -> dict[tuple[int, int], int]:
-        """merges by pair."""
-        return {(k >> 20, k & 0xFFFFF): v for k, v in self.merges.items()}
-
 
 def load_merges(path: str) -> MergeTable:
     with open(path, encoding="utf-8") as f:
@@ -66,7 +60,7 @@ def load_merges(path: str) -> MergeTable:
     special = {t["content"]: t["id"] for t in model["added_tokens"]}
     return MergeTable(
         first=[vocab[letters[b]] for b in range(256)],
-        merges={vocab[a] << 20 | vocab[b]: r << 20 | vocab[a + b] for r, (a, b) in enumerate(pairs)},
+        merges={(vocab[a], vocab[b]): r << 20 | vocab[a + b] for r, (a, b) in enumerate(pairs)},
         bytes_of={i: bytes(back[c] for c in w) for w, i in vocab.items()} | {i: s.encode() for s, i in special.items()},
         special=special,
     )
@@ -112,7 +106,7 @@ def merge_list(word: bytes, table: MergeTable) -> tuple[list[int], list[int], in
     right, left = list(range(1, n + 1)), list(range(-1, n))
     heap = []
     for i in range(n - 1):
-        v = merges.get(symbols[i] << 20 | symbols[i + 1])
+        v = merges.get((symbols[i], symbols[i + 1]))
         if v is not None:
             heap.append(v >> 20 << 52 | i << 20 | v & 0xFFFFF)
     heapify(heap)
@@ -121,19 +115,19 @@ def merge_list(word: bytes, table: MergeTable) -> tuple[list[int], list[int], in
         e = heappop(heap)
         i = e >> 20 & 0xFFFFFFFF
         j = right[i]
-        if symbols[i] < 0 or j >= n or merges.get(symbols[i] << 20 | symbols[j], -1) != e >> 52 << 20 | e & 0xFFFFF:
+        if symbols[i] < 0 or j >= n or merges.get((symbols[i], symbols[j]), -1) != e >> 52 << 20 | e & 0xFFFFF:
             continue
         symbols[i], symbols[j] = e & 0xFFFFF, -1
         k = right[i] = right[j]
         left[k] = i
         done += 1
         if k < n:
-            v = merges.get(symbols[i] << 20 | symbols[k])
+            v = merges.get((symbols[i], symbols[k]))
             if v is not None:
                 heappush(heap, v >> 20 << 52 | i << 20 | v & 0xFFFFF)
         h = left[i]
         if h >= 0:
-            v = merges.get(symbols[h] << 20 | symbols[i])
+            v = merges.get((symbols[h], symbols[i]))
             if v is not None:
                 heappush(heap, v >> 20 << 52 | h << 20 | v & 0xFFFFF)
     return symbols, right, done

@@ -45,10 +45,13 @@ def crc_mod(doc_id: Column, m: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % m
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of a few MB however long the texts are: bounded memory in Python workers."""
+def small_batches(spark: SparkSession, mb: int = 8) -> None:
+    """Arrow batches of a few MB however long the texts are: bounded memory in Python workers.
+
+    The setting stays with the session, as plans that are returned read it only when they run.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mb << 20))
 
 
 def bit_table(hashes: DataFrame, bits: int = 26) -> np.ndarray:

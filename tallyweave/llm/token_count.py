@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyweave.llm.bpe_core import MergeTable, TwoAges, load_merges, merge_list, pieces, special_splitter
-from tallyweave.llm.common import small_batches, table
+from tallyweave.llm.common import free_worker_memos, small_batches, table, worker_memo
 
 
 def default_tokenizer() -> str:
@@ -29,8 +29,6 @@ def default_tokenizer() -> str:
 class Counter:
     """Counts tokens of texts; one per Python worker, kept between batches and tasks."""
 
-    kept: dict[str, Counter] = {}
-
     def __init__(self, merges: MergeTable):
         self.merges = merges
         self.split = special_splitter(merges.special)
@@ -45,6 +43,9 @@ class Counter:
         return len(parts) // 2 + sum(sum(map(self.words.__getitem__, pieces(p))) for p in parts[::2] if p)
 
 
+_counters: dict[str, Counter] = worker_memo()
+
+
 def count_tokens(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_tokens) of every row's whole text."""
     small_batches(docs.sparkSession)
@@ -52,7 +53,10 @@ def count_tokens(docs: DataFrame, tokenizer: str | None = None, id_col: str = "d
     shared = docs.sparkSession.sparkContext.broadcast(load_merges(tokenizer))  # a vocabulary file: its size is fixed
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter.kept.get(tokenizer) or Counter.kept.setdefault(tokenizer, Counter(shared.value))
+        if tokenizer not in _counters:
+            free_worker_memos()
+            _counters[tokenizer] = Counter(shared.value)
+        counter = _counters[tokenizer]
         for b in batches:
             texts = b.column(1).to_pylist()
             yield pa.RecordBatch.from_arrays(
