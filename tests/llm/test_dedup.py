@@ -99,7 +99,7 @@ def brute_classes(docs):
     rows = {}
     for i, text in docs:
         if i is not None and N.words(text):
-            rows[i] = N.shingles(N.words(text)).tolist()
+            rows[i] = N.words(text)
     root = {i: i for i, _ in docs if i is not None}
 
     def find(x):
@@ -132,9 +132,41 @@ def test_near_classes_match_brute_force(spark):
     assert got == brute_classes(docs)
 
 
+def test_near_copies_with_a_tenth_of_their_words_edited_are_found(spark):
+    r = random.Random(21)
+    docs = []
+    for i in range(0, 300, 2):
+        a = prose(r, r.randint(80, 400))
+        b = edited(r, a, len(a) * (2 + i % 9) // 100)
+        docs += [(i, " ".join(a)), (i + 1, " ".join(b))]
+    got = {x.doc_id: x.class_id for x in N.near_duplicates(make(spark, docs)).collect()}
+    assert sum(got[i + 1] == i for i in range(0, 300, 2)) >= 0.98 * 150 and set(got.values()) <= set(range(300))
+    assert all(got[i] == i for i in range(0, 300, 2))
+
+
+def test_one_doc_id_with_different_texts_is_one_document(spark):
+    r = random.Random(22)
+    a, b = " ".join(prose(r, 60)), " ".join(prose(r, 60))
+    got = {x.doc_id: x.class_id for x in N.near_duplicates(make(spark, [(1, a), (2, a), (2, b), (3, b), (4, "x")])).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 4}
+
+
+def test_alignment_of_long_texts_holds_its_band_only():
+    import tracemalloc
+
+    r = np.random.RandomState(1)
+    a = r.zipf(1.3, 100_000).astype(np.uint32)
+    b = np.delete(a, r.choice(len(a), 4000, replace=False))
+    tracemalloc.start()
+    s = N.aligned(a, b)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert s == pytest.approx(0.96) and peak < 150e6
+
+
 def test_near_edges(spark, edge, empty):
-    rows = {r.doc_id: (r.class_id, r.n_links) for r in N.near_duplicates(edge).collect()}
-    assert rows[1][0] == rows[2][0] == rows[9][0] == rows[6][0] == 1 and rows[3] == (3, 0) and rows[4] == (4, 0) and rows[None] == (None, 0)
+    rows = {r.doc_id: r.class_id for r in N.near_duplicates(edge).collect()}
+    assert rows[1] == rows[2] == rows[9] == rows[6] == 1 and rows[3] == 3 and rows[4] == 4 and rows[None] is None
     kept = N.drop_near_duplicates(edge)
     assert kept.columns == edge.columns and sorted((r.doc_id for r in kept.collect()), key=str) == sorted([1, 3, 4, None, 5, 7, 8], key=str)
     assert N.near_duplicates(empty).count() == 0
