@@ -72,6 +72,25 @@ def bit_table(hashes: DataFrame, bits: int = 26) -> np.ndarray:
     return out
 
 
+def level_table(levels: DataFrame, slots: int = 24) -> np.ndarray:
+    """For rows (key long, level int): a table of 2 ** slots bytes (16 MB for 24, whatever the input) with the highest level
+    of the keys of each slot, 0 where there is none."""
+    chunk = 1 << min(16, slots)
+    key, level = levels.columns
+    at = levels.groupBy(F.col(key).bitwiseAND(F.lit((1 << slots) - 1)).alias("at")).agg(F.max(level).alias("level"))
+
+    def fill(group: pa.Table) -> pa.Table:
+        out = np.zeros(chunk, np.uint8)
+        out[group.column("at").to_numpy() % chunk] = group.column("level").to_numpy()
+        return pa.table({"chunk": group.column("chunk")[:1], "levels": pa.array([out.tobytes()], pa.binary())})
+
+    table = np.zeros(1 << slots, np.uint8)
+    parts = at.withColumn("chunk", F.floor(F.col("at") / chunk).cast("long")).groupBy("chunk").applyInArrow(fill, "chunk long, levels binary")
+    for r in parts.toLocalIterator():
+        table[r.chunk * chunk : (r.chunk + 1) * chunk] = np.frombuffer(r.levels, np.uint8)
+    return table
+
+
 def in_table(table_bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """Whether each hash's bit is set: all that went in, and some that share a bit."""
     at = hashes & (len(table_bits) * 8 - 1)

@@ -13,7 +13,7 @@ Matching is exact in a band around the diagonal that holds every alignment good
 3. A bucket compares its texts with two of them only, its first and one drawn by a hash (stars). Linked texts become
    classes; a crowd whose members are alike only in part meets many drawn texts over its buckets. Then, of strict buckets
    that still hold several classes, all texts outside the largest class are compared with the texts of other classes,
-   unless prefix and position filters on the shingles (exact bounds, rarest shingles first) show that their shingles are
+   unless prefix and position filters on the shingles (exact bounds, rare shingles first) show that their shingles are
    not 0.8 alike. So every pair of a strict bucket with shingles 0.8 alike is in one class, and texts that merely have a
    common passage are not paired.
 4. Classes are the connected components of all links, found by joins with alternating star contractions.
@@ -32,10 +32,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweave.llm.common import bit_table, free_worker_memos, small_batches, stored, table, where_maybe_in
+from tallyweave.llm.common import bit_table, free_worker_memos, level_table, small_batches, stored, table, where_maybe_in
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -205,38 +205,54 @@ def _arrays(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.mapInArrow(to_bytes, f"id {rows.schema['id'].dataType.simpleString()}, words binary")
 
 
-def _elements(pool: DataFrame, arrays: DataFrame) -> DataFrame:
-    """(e, id, n): every occurrence-labelled shingle of the pool's texts, and how many a text has."""
-    kind = pool.schema["id"].dataType.simpleString()
+def _labelled(data: bytes) -> np.ndarray:
+    """The occurrence-labelled shingles of a text's words."""
+    s = shingles(np.frombuffer(data, np.uint32))
+    return ((s ^ (occurrences(s) + np.uint64(1)) * _mix) * np.uint64(0xBF58476D1CE4E5B9)).view(np.int64)
+
+
+def _elements(rows: DataFrame) -> DataFrame:
+    """(e, minority): every labelled shingle of the texts of rows (id, minority, words)."""
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i, data in enumerate(b.column(1).to_pylist()):
-                s = shingles(np.frombuffer(data, np.uint32))
-                e = (s ^ (occurrences(s) + np.uint64(1)) * _mix) * np.uint64(0xBF58476D1CE4E5B9)
-                at = pa.array(np.full(len(s), i))
-                yield pa.RecordBatch.from_arrays([pa.array(e.view(np.int64)), b.column(0).take(at), pa.array(np.full(len(s), len(s)))], names=["e", "id", "n"])
+            for minority, data in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+                e = _labelled(data)
+                yield pa.RecordBatch.from_arrays([pa.array(e), pa.array(np.full(len(e), minority))], names=["e", "minority"])
 
-    rows = pool.select("id").join(arrays.hint("merge"), "id").select("id", "words")
-    return rows.mapInArrow(explode, f"e long, id {kind}, n long")
+    return rows.select("id", "minority", "words").mapInArrow(explode, "e long, minority boolean")
 
 
 def _prefix_pairs(pool: DataFrame, arrays: DataFrame) -> DataFrame:
     """(a, b): all pairs of a minority text and another class's text whose shingles could be 0.8 alike, by prefix and
     position filters.
 
-    Each text's shingles are put in one order, the rarest in the pool first. Such texts have a shingle in common among
-    the first n - ceil(0.8 n) + 1, and at the first common one enough shingles are still to come in both. The filters
-    lose no link, and shingles of a passage that many texts share come last, so they propose nothing.
+    All shingles are put in one order: those that propose no pair first (in one text only, or in no minority text), then by
+    frequency class (powers of two; a table of fixed size, where shingles that share a slot share the higher class), so that
+    shingles of a passage that many texts share come last. Such texts have a shingle in common among the first
+    n - ceil(0.8 n) + 1, and at the first common one enough shingles are still to come in both. The filters lose no link.
     """
-    elements = stored(_elements(pool, arrays), "elements")
-    times = elements.groupBy("e").agg(F.count(F.lit(1)).alias("times"))
-    order = Window.partitionBy("id").orderBy("times", "e")  # one text's shingles
-    ranked = elements.join(times.hint("merge"), "e").withColumn("pos", F.row_number().over(order))
-    prefix = ranked.where((F.col("times") > 1) & (F.col("pos") <= F.col("n") - F.ceil(SIMILARITY * F.col("n") - 1e-9) + 1)).select("e", "id", "n", "pos")
-    prefix = stored(prefix.join(pool.hint("merge"), "id"), "prefixes")
-    x = prefix.where("minority").select("e", F.col("id").alias("x"), "n", "pos", F.col("root").alias("rx"))
-    y = prefix.select("e", F.col("id").alias("y"), F.col("n").alias("m"), F.col("pos").alias("at"), F.col("root").alias("ry"))
+    kind = pool.schema["id"].dataType.simpleString()
+    rows = stored(pool.join(arrays.hint("merge"), "id").select("id", "minority", "words", "root"), "pool-words")
+    times = _elements(rows).groupBy("e").agg(F.count(F.lit(1)).alias("times"), F.max("minority").alias("m")).where("times > 1 AND m")
+    classes = rows.sparkSession.sparkContext.broadcast(level_table(times.select("e", F.ceil(F.log2("times")).cast("int").alias("level"))))  # fixed size
+
+    def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = classes.value
+        for b in batches:
+            for i, data in enumerate(b.column(2).to_pylist()):
+                e = _labelled(data)
+                level = table[e & (len(table) - 1)]
+                order = np.lexsort((e, level))[: len(e) - int(np.ceil(SIMILARITY * len(e) - 1e-9)) + 1]
+                pos = np.flatnonzero(level[order])
+                same = b.slice(i, 1).select(["id", "minority", "root"]).columns
+                at = pa.array(np.zeros(len(pos), np.int64))
+                columns = [pa.array(e[order[pos]]), pa.array(np.full(len(pos), len(e))), pa.array(pos + 1), *(c.take(at) for c in same)]
+                yield pa.RecordBatch.from_arrays(columns, names=["e", "n", "pos", "id", "minority", "root"])
+
+    prefixes = stored(rows.mapInArrow(prefix, f"e long, n long, pos long, id {kind}, minority boolean, root {kind}"), "prefixes")
+    x = prefixes.where("minority").select("e", F.col("id").alias("x"), "n", "pos", F.col("root").alias("rx"))
+    y = prefixes.select("e", F.col("id").alias("y"), F.col("n").alias("m"), F.col("pos").alias("at"), F.col("root").alias("ry"))
     enough = 1 + F.least(F.col("n") - F.col("pos"), F.col("m") - F.col("at")) >= F.ceil(SIMILARITY / (1 + SIMILARITY) * (F.col("n") + F.col("m")) - 1e-9)
     pairs = x.join(y.hint("merge"), "e").where((F.col("rx") != F.col("ry")) & _alike("n", "m") & enough)
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
