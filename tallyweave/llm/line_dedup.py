@@ -101,18 +101,23 @@ def line_windows(lines: list[int], words: list[int], min_words: int) -> list[int
     return sorted(out)
 
 
+def _bare(line: Column) -> Column:
+    """The line without white space of any kind on its outer sides."""
+    return F.regexp_replace(line, r"^\s+|\s+$", "")
+
+
 def _line_hash(line: Column, salt: str) -> Column:
-    return F.xxhash64(F.lower(F.trim(line)), F.lit(salt))
+    return F.xxhash64(F.lower(line), F.lit(salt))
 
 
 def deleted_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(k, places): k is (doc_id, hash of the text), places the numbers of the lines to delete, from 0."""
     rows = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.struct("doc_id", F.xxhash64("text").alias("h")).alias("k"), F.split("text", "\n").alias("lines"))
-    lines = F.filter(F.transform("lines", lambda x, i: F.struct(i.alias("at"), x.alias("line"))), lambda s: F.trim(s["line"]) != "")
+    lines = F.filter(F.transform("lines", lambda x, i: F.struct(i.alias("at"), _bare(x).alias("line"))), lambda s: s["line"] != "")
     rows = rows.withColumn("lines", lines).where(F.size("lines") > 0).select(
         "k",
         F.transform("lines", lambda s: s["at"]).alias("at"),
-        F.transform("lines", lambda s: F.size(F.split(F.trim(s["line"]), r"\s+"))).alias("words"),
+        F.transform("lines", lambda s: F.size(F.split(s["line"], r"\s+"))).alias("words"),
         F.transform("lines", lambda s: _line_hash(s["line"], "find")).alias("find"),
         F.transform("lines", lambda s: _line_hash(s["line"], "align")).alias("align"),  # with the other hash, 128 bits
     )
@@ -125,7 +130,9 @@ def deleted_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["k", "windows"])
 
     held = rows.select("k", "words", "find").mapInArrow(windows, f"k {key}, windows array<long>").select("k", F.explode("windows").alias("line"))
-    per = held.groupBy("line").agg(F.min("k").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    held = stored(held, "line-windows")
+    # Stored, so that both sides of the join are shuffled and a window that very many documents hold can be split.
+    per = stored(held.groupBy("line").agg(F.min("k").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"), "holders")
     shared = stored(held.join(per.hint("merge"), "line"), "shared-lines")
     earliest = shared.where(F.col("k") != F.col("first")).select("k", F.col("first").alias("e"))
     before = Window.partitionBy("line").orderBy("k")  # at most RARE rows in a partition

@@ -1,16 +1,19 @@
-"""Substring dedup by word windows that a winnowed rolling hash picks out.
+"""Substring dedup by content-defined chunks with a gear rolling hash.
 
-A window is `min_words` successive words of a text (UTF-8 bytes, words parted by white space), from the first byte of its
-first word to the last byte of its last one.
+A word is a run of bytes other than white space. The gear hash of the bytes up to a word's end is rolled over the text; of
+every `span` successive words the one with the least hash ends a chunk. So cuts depend on a few bytes around them, chunks
+vary in length up to `span` words, and an insertion moves the cuts near it only.
 
-1. Runs of a third as many words get a rolling hash of their bytes; each window is marked by the least of its runs'
-   hashes (winnowing), which depends on the window's bytes alone. Marks that several documents have go to a bit table of
-   fixed size (filter_bits): a window whose mark is not in it occurs in one document only. A false mark costs work only.
-2. The other windows are keyed by the hash of all their bytes. The earliest document of each key (smallest doc_id) is its
+1. Chunks are deduplicated by digest: digests that several documents have go to a bit table of fixed size (filter_bits).
+   A false bit costs work only.
+2. A window is `min_words` successive words. `span` is so short that every window holds at least one whole chunk whose cuts
+   its own words decide, whatever stands around it. A window with such a chunk that one document alone has cannot repeat.
+   The other windows are keyed by the hash of all their bytes; the earliest document of each key (smallest doc_id) is its
    source and holds the whole window; later documents with the key are held against it.
 3. The common windows of such a pair are checked byte by byte and extended in both directions to the whole common passage.
 
-So every window that an earlier document holds is inside a passage of the result, however short or long its words are.
+So every window that an earlier document holds is inside a passage of the result, however short or long its words are, and
+also where still earlier documents hold parts of it.
 
 Offsets count bytes of the UTF-8 text; passages begin and end at character boundaries. Null and empty texts have none, nor
 do rows with null doc_ids. Rows that repeat a doc_id are one document; of its different texts the one that sorts last
@@ -29,48 +32,26 @@ from pyspark.sql import functions as F
 
 from tallyweave.llm.common import bit_table, in_table, small_batches, stored, table, where_maybe_in
 
-REACH = 32
-MAX_CHUNK = 1024
 MIN_WORDS = 50
-#: Bits of the table of shared marks, 32 MB as broadcast.
+#: Bits of the table of shared chunks, 32 MB as broadcast.
 FILTER_BITS = 28
+#: The gear hash reaches over so many bytes, and so over half as many words at most.
+REACH = 8
 
 _gear = np.random.RandomState(20240501).randint(0, 2**16, 256).astype(np.uint16)
 
 
 def gear_hashes(data: np.ndarray) -> np.ndarray:
-    """h[i] = sum of gear[data[i - j]] << j over the last 16 bytes, mod 2 ** 16: the rolling hash, in four doublings."""
+    """h[i] = sum of gear[data[i - j]] << 2 j over the last 8 bytes, mod 2 ** 16: the rolling hash, in three doublings."""
     h = _gear[data]
-    for shift in (1, 2, 4, 8):
-        h[shift:] = h[shift:] + (h[:-shift] << np.uint16(shift))
+    for step in (1, 2, 4):
+        h[step:] = h[step:] + (h[:-step] << np.uint16(2 * step))
     return h
 
 
-def _window_max(x: np.ndarray, n: int) -> np.ndarray:
-    """Largest of x[i : i + n] for each i, with the end padded by zeros."""
-    out, have = x, 1
-    while have < n:
-        step = min(have, n - have)
-        out = np.maximum(out, np.append(out[step:], np.zeros(step, x.dtype)))
-        have += step
-    return out
-
-
-def cut_points(data: np.ndarray, reach: int = REACH, max_chunk: int = MAX_CHUNK) -> np.ndarray:
-    """Chunk boundaries, 0 and len(data) included. The query keys word windows instead, as chunks promise no count of words."""
-    n = len(data)
-    if n <= 1:
-        return np.array([0, n][: n + 1])
-    padded = np.concatenate([np.zeros(reach, np.uint16), gear_hashes(data), np.zeros(reach, np.uint16)])
-    sides = _window_max(padded, reach)
-    here = padded[reach : reach + n]
-    cuts = np.flatnonzero((here > sides[:n]) & (here >= sides[reach + 1 : reach + 1 + n])) + 1
-    cuts = np.unique(np.concatenate([[0], cuts, [n]]))
-    gaps = np.diff(cuts)
-    if (gaps > max_chunk).any():
-        more = [np.arange(a + max_chunk, b, max_chunk) for a, b in zip(cuts[:-1][gaps > max_chunk], cuts[1:][gaps > max_chunk])]
-        cuts = np.unique(np.concatenate([cuts, *more]))
-    return cuts
+def chunk_span(min_words: int) -> int:
+    """Most words of a chunk, so that any min_words words hold a whole chunk whose cuts they decide."""
+    return max(1, (min_words - 2) // 4)
 
 
 _values = np.random.RandomState(20240502).randint(0, 2**63, 256).astype(np.uint64)
@@ -86,28 +67,49 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 
 class Words:
-    """The words of a text, and hashes of runs of them with the white space between."""
+    """The words of a text, its chunks, and hashes of runs of words with the white space between."""
 
     def __init__(self, data: np.ndarray):
+        self.data = data
         word = np.concatenate([[False], ~_is_space[data], [False]])
         self.starts = np.flatnonzero(word[1:] & ~word[:-1])[: len(data)]
         self.ends = np.flatnonzero(word[:-1] & ~word[1:])
         self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_values[data] * _powers(_BASE, len(data)))])
         self.inverse = _powers(pow(_BASE, -1, 1 << 64), len(data))[self.starts]
 
-    def hashes(self, run: int) -> np.ndarray:
-        """The hash of each run of so many words, in order."""
-        n = max(0, len(self.starts) - run + 1)
-        x = (self.sums[self.ends[run - 1 :]] - self.sums[self.starts[:n]]) * self.inverse[:n] if n else np.zeros(0, np.uint64)
+    def _hash(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Hashes of the bytes from the start of the words `first` to the end of the words `last`."""
+        x = (self.sums[self.ends[last]] - self.sums[self.starts[first]]) * self.inverse[first]
         x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
         return (x ^ (x >> np.uint64(29))).view(np.int64)
 
-    def marks(self, min_words: int) -> np.ndarray:
-        """The mark of each window of min_words words."""
-        run = max(1, min_words // 3)
-        x = self.hashes(run)
-        span = min_words - run + 1
-        return _window_min(x, span) if len(x) >= span else x[:0]
+    def hashes(self, run: int) -> np.ndarray:
+        """The hash of each run of so many words, in order."""
+        first = np.arange(max(0, len(self.starts) - run + 1))
+        return self._hash(first, first + run - 1)
+
+    def cuts(self, span: int) -> np.ndarray:
+        """The words that end a chunk: of every span successive words the one with the least gear hash, the last of equal ones."""
+        n = len(self.starts)
+        if n < span:
+            return np.zeros(0, np.int64)
+        key = gear_hashes(self.data)[self.ends - 1].astype(np.int64) << 32 | (0xFFFFFFFF - np.arange(n))
+        return np.unique(0xFFFFFFFF - (_window_min(key, span) & 0xFFFFFFFF))
+
+    def chunks(self, span: int) -> np.ndarray:
+        """Digests of the chunks between successive cuts."""
+        cuts = self.cuts(span)
+        return self._hash(cuts[:-1] + 1, cuts[1:])
+
+    def may_repeat(self, min_words: int, shared: np.ndarray) -> np.ndarray:
+        """For each window, whether all chunks whose cuts it decides are in the bit table."""
+        span = chunk_span(min_words)
+        start = np.arange(max(0, len(self.starts) - min_words + 1))
+        cuts = self.cuts(span)
+        alone = np.concatenate([np.zeros(1, np.int64), np.cumsum(~in_table(shared, self.chunks(span)))])
+        first = np.searchsorted(cuts, start + REACH // 2 + span - 1)
+        last = np.searchsorted(cuts, start + min_words - span, "right") - 1
+        return (last <= first) | (alone[np.maximum(last, 0)] == alone[np.minimum(first, len(alone) - 1)])
 
 
 def _window_min(x: np.ndarray, n: int) -> np.ndarray:
@@ -179,9 +181,11 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str =
     def several(keyed: DataFrame) -> DataFrame:
         return keyed.groupBy("h").agg(F.min("id").alias("source"), F.max("id").alias("last")).where("source < last").select("h", "source")
 
-    marked = docs.sparkSession.sparkContext.broadcast(bit_table(several(_keyed(rows, lambda w: w.marks(min_words))).select("h"), filter_bits))  # fixed size
-    windows = stored(_keyed(rows, lambda w: w.hashes(min_words)[in_table(marked.value, w.marks(min_words))]), "windows")
-    repeats = windows.join(several(windows).hint("merge"), "h").where("id > source")
+    chunks = several(_keyed(rows, lambda w: w.chunks(chunk_span(min_words))))
+    shared = docs.sparkSession.sparkContext.broadcast(bit_table(chunks.select("h"), filter_bits))  # fixed size
+    windows = stored(_keyed(rows, lambda w: w.hashes(min_words)[w.may_repeat(min_words, shared.value)]), "windows")
+    # Stored, so that both sides of the join are shuffled and a window that very many documents hold can be split.
+    repeats = windows.join(stored(several(windows), "sources").hint("merge"), "h").where("id > source")
     pairs = stored(repeats.select("id", "source").distinct(), "pairs")
 
     ids = pairs.select(F.xxhash64("id")).union(pairs.select(F.xxhash64("source")))

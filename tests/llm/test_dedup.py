@@ -226,15 +226,19 @@ def test_line_edges(edge, empty):
 # Substring dedup
 
 
-def test_cuts_depend_on_nearby_bytes_only():
+def words_of(text):
+    return S.Words(np.frombuffer(text.encode(), np.uint8))
+
+
+def test_cuts_depend_on_nearby_words_only():
     r = random.Random(2)
-    text = " ".join(prose(r, 400)).encode()
-    cuts = set(S.cut_points(np.frombuffer(text, np.uint8)).tolist())
-    moved = S.cut_points(np.frombuffer(b"some inserted words " + text, np.uint8)) - 20
-    near = {c for c in cuts if 200 < c < len(text)}
-    assert near <= set(moved.tolist()) and len(near) > 20
-    same = S.cut_points(np.zeros(5000, np.uint8))
-    assert same[0] == 0 and same[-1] == 5000 and np.diff(same).max() <= S.MAX_CHUNK
+    text = " ".join(prose(r, 400))
+    cuts = words_of(text).cuts(12)
+    assert np.diff(cuts).max() <= 12 and 40 < len(cuts) < 100
+    moved = words_of("some inserted words " + text).cuts(12) - 3
+    assert {c for c in cuts.tolist() if c > 16} <= set(moved.tolist())
+    assert len(set(words_of(text).chunks(12)) & set(words_of("some inserted words " + text).chunks(12))) > len(cuts) - 6
+    assert len(words_of("a a " * 300).cuts(12)) > 500 and len(words_of("").chunks(12)) == len(words_of("one two").chunks(12)) == 0
 
 
 def brute_passages(docs, min_words):
@@ -279,9 +283,13 @@ def test_every_passage_of_fifty_words_is_found_whatever_its_words():
             passage = " ".join("".join(r.choice("abcdefghij") for _ in range(r.randint(1, longest))) for _ in range(50))
             a, b = (" ".join([*prose(r, r.randint(0, 40)), "|", passage, "|", *prose(r, r.randint(0, 40))]) for _ in range(2))
             a, b = a.replace("| ", f"{r.random()} ", 1), b.replace(" |", " Ω", 1)
-            x, y = (S.Words(np.frombuffer(t.encode(), np.uint8)) for t in (a, b))
+            x, y = words_of(a), words_of(b)
             both = set(x.hashes(50).tolist()) & set(y.hashes(50).tolist())
-            assert both and all(m in set(y.marks(50).tolist()) for h, m in zip(x.hashes(50).tolist(), x.marks(50).tolist()) if h in both)
+            shared = np.zeros(1 << 17, np.uint8)  # chunks of both texts, as the bit table has them
+            for h in set(x.chunks(12).tolist()) & set(y.chunks(12).tolist()):
+                shared[(h & (1 << 20) - 1) >> 3] |= 1 << (h & 7)
+            assert both and all(may for h, may in zip(x.hashes(50).tolist(), x.may_repeat(50, shared).tolist()) if h in both)
+            assert not words_of(" ".join(prose(r, 60))).may_repeat(50, shared).any()
             at = b.encode().index(passage.encode())
             assert any(s <= at and s + n >= at + len(passage) and w >= 50 for s, n, w, _ in S.common_passages(b.encode(), a.encode(), 50))
     assert len(S.common_passages(b"ha " * 500, b"ha " * 400, 50)) <= 11
