@@ -5,7 +5,8 @@
 2. Each owner decodes its lists and returns to every sender a bitmap of the fingerprints that others sent as well.
 3. Senders' marked fingerprints become one bit table of fixed size (filter_bits); a second scan sets aside the rows
    whose bit is set. Only these suspects are shuffled, grouped by their bytes (not by a digest), and labelled.
-   A false suspect forms a group of one, so the size of the bit table changes the cost but never the result.
+   A false suspect forms a group of one, so the size of the bit table changes the cost but never the result (beyond some
+   60 million texts that repeat, all rows are suspects, and the job is a plain shuffle of all texts by their digest).
 
 Texts are equal when identical after lower-casing A-Z only; null counts as empty. Of equal texts the largest doc_id
 stays. Rows that repeat a doc_id count in group_size; inside a group kept is decided by doc_id alone, so repeats of the
@@ -29,6 +30,8 @@ from tallyweave.llm.common import bit_table, free_worker_memos, in_table, small_
 FINGERPRINT_BITS = 48
 #: Fingerprints a sender holds before it sends: bounds a task's memory.
 SENDER_ROWS = 1_000_000
+#: Fingerprints of an owner, on average: bounds the memory of its task, so owners grow with the rows.
+OWNER_ROWS = 1_000_000
 #: Bits of the suspects' table, 8 MB as broadcast.
 FILTER_BITS = 26
 
@@ -133,7 +136,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """(doc_id, keep_id, group_size, kept, text_sha256), a row for each row of docs."""
     spark = docs.sparkSession
     small_batches(spark)
-    owners = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    owners = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // OWNER_ROWS))
     text = normalised(F.col(text_col))
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), _sha(text).alias("sha"))
     rows = rows.withColumn("fp", _fingerprint(F.col("sha")))

@@ -161,9 +161,19 @@ def remove_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFr
     rows = docs.select("doc_id", "text", F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", F.xxhash64("text").alias("h"))).alias("k"))
     rows = rows.join(gone.hint("merge"), "k", "left")
     places = F.coalesce("places", F.expr("cast(array() as array<int>)"))
-    kept = F.when(F.size(places) == 0, F.col("text")).otherwise(F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(places, i)), "\n"))
-    n = F.coalesce(F.size(F.split("text", "\n")), F.lit(0))
-    return rows.select("doc_id", kept.alias("text"), F.when(F.col("text").isNull(), 0).otherwise(n).alias("n_lines"), places.alias("deleted"))
+    n = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n")))
+    rows = rows.select("doc_id", "text", n.alias("n_lines"), places.alias("deleted"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            for i, gone in enumerate(batch.column(3).to_pylist()):
+                if gone:
+                    left = set(gone)
+                    texts[i] = "\n".join(line for at, line in enumerate(texts[i].split("\n")) if at not in left)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), *batch.columns[2:]], names=batch.schema.names)
+
+    return rows.mapInArrow(cut, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text string, n_lines int, deleted array<int>")
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

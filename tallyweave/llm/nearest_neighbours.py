@@ -11,8 +11,9 @@ chunks, so a bucket that holds a third of all vectors is spread over many tasks;
 than k vectors is held against all vectors of its length.
 
 Vectors that are null, zero, or hold null or non-finite components take no part; vectors of another length are no
-candidates. Ties go to the smaller vec_id. Rows that repeat a vec_id are candidates once (the nearest of them counts) and
-each other's own row, so none of them is its twin's neighbour. Without candidates a query has no rows.
+candidates. Ties go to the smaller vec_id. Rows that agree in vec_id and vector are one row. Rows that repeat a vec_id with
+other vectors are queries and candidates of their own, so a query_id may have several lists, and a query's twin may be its
+neighbour. Without candidates a query has no rows.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ FUNCTIONS = 4
 SUCCESS = 0.65
 SAMPLE = 4000
 #: Vectors, or queries, of one bucket in one group.
-CHUNK = 2048
+CHUNK = 768
 
 
 def usable(v: Column) -> Column:
@@ -114,8 +115,12 @@ def fit(vectors: DataFrame, k: int, tables: int = TABLES, functions: int = FUNCT
 def search(vectors: DataFrame, queries: DataFrame, k: int = 10, hashing: Hashing | None = None, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, id, distance): each query's k nearest vectors found, not counting rows with its own id."""
     small_batches(vectors.sparkSession)
-    own = vectors.where(F.col(id_col).isNotNull() & usable(F.col(vector_col))).select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
-    asked = queries.where(F.col(id_col).isNotNull() & usable(F.col(vector_col))).select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
+
+    def taking_part(rows: DataFrame) -> DataFrame:
+        rows = rows.where(F.col(id_col).isNotNull() & usable(F.col(vector_col))).select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
+        return rows.withColumn("row", F.xxhash64("id", "v"))  # names a row where vec_ids repeat
+
+    own, asked = taking_part(vectors), taking_part(queries)
     kind = own.schema["id"].dataType.simpleString()
     hashing = hashing or fit(own, k)
 
@@ -125,7 +130,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, hashing: Hashing
                 pick = pa.array(at)
                 for t in range(hashing.tables):
                     buckets = hashing.bucket(np.floor(hashing.places(x, t)), n, t)
-                    yield pa.RecordBatch.from_arrays([pa.array(buckets), b.column(0).take(pick), b.column(1).take(pick)], names=["bucket", "id", "v"])
+                    yield pa.RecordBatch.from_arrays([pa.array(buckets), *(c.take(pick) for c in b.columns)], names=["bucket", "id", "v", "row"])
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -134,46 +139,48 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, hashing: Hashing
                     for i, place in zip(at.tolist(), hashing.places(x, t)):
                         buckets = hashing.bucket(hashing.probes(place), n, t)
                         pick = pa.array(np.full(len(buckets), i))
-                        yield pa.RecordBatch.from_arrays([pa.array(buckets), b.column(0).take(pick), b.column(1).take(pick)], names=["bucket", "id", "v"])
+                        yield pa.RecordBatch.from_arrays([pa.array(buckets), *(c.take(pick) for c in b.columns)], names=["bucket", "id", "v", "row"])
 
-    shape = f"bucket long, id {kind}, v array<double>"
+    shape = f"bucket long, id {kind}, v array<double>, row long"
     filed = stored(own.mapInArrow(index, shape), "vectors-by-bucket")
     probed = stored(asked.mapInArrow(probe, shape), "probes")
     found = _nearest_by_bucket(filed, probed, k)
-    merged = stored(found.groupBy("query_id", "id").agg(F.min("distance").alias("distance")), "candidates")
+    key = ("query_id", "query_row", "id", "row")
+    merged = stored(found.groupBy(*key).agg(F.min("distance").alias("distance")), "candidates")
     # Queries that met fewer than k vectors are held against all vectors of their length, in blocks.
-    enough = merged.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k)
-    short = stored(asked.join(enough.hint("merge"), F.col("id") == F.col("query_id"), "left_anti"), "short-queries")
+    enough = merged.groupBy("query_id", "query_row").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k)
+    short = stored(asked.join(enough.hint("merge"), (F.col("id") == F.col("query_id")) & (F.col("row") == F.col("query_row")), "left_anti"), "short-queries")
     if not short.isEmpty():
-        by_length = lambda rows: rows.select(F.size("v").cast("long").alias("bucket"), "id", "v")
-        rest = _nearest_by_bucket(by_length(own), by_length(short), k).groupBy("query_id", "id").agg(F.min("distance").alias("distance"))
-        merged = merged.join(short.select(F.col("id").alias("query_id")).distinct().hint("merge"), "query_id", "left_anti").unionByName(rest)
-    order = Window.partitionBy("query_id").orderBy("distance", "id")  # a query's rows: k for each bucket it visits
+        by_length = lambda rows: rows.select(F.size("v").cast("long").alias("bucket"), "id", "v", "row")
+        rest = _nearest_by_bucket(by_length(own), by_length(short), k).groupBy(*key).agg(F.min("distance").alias("distance"))
+        gone = short.select(F.col("id").alias("query_id"), F.col("row").alias("query_row")).distinct()
+        merged = merged.join(gone.hint("merge"), ["query_id", "query_row"], "left_anti").unionByName(rest)
+    order = Window.partitionBy("query_id", "query_row").orderBy("distance", "id", "row")  # a query's rows: k for each bucket it visits
     return merged.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "id", "distance")
 
 
 def _nearest_by_bucket(filed: DataFrame, probed: DataFrame, k: int) -> DataFrame:
-    """(query_id, id, distance): the k nearest vectors of every chunk of every bucket that a query visits."""
+    """(query_id, query_row, id, row, distance): the k nearest vectors of every chunk of every bucket that a query visits."""
     kind = filed.schema["id"].dataType.simpleString()
     sizes = filed.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("parts"))
     asks = probed.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("askers"))
     both = stored(sizes.join(asks.hint("merge"), "bucket"), "bucket-sizes")  # only buckets that are visited
 
     def dealt(rows: DataFrame, mine: str, other: str, me: str, them: str) -> DataFrame:
-        rows = rows.join(both.hint("merge"), "bucket").withColumn(me, F.pmod(F.xxhash64("id"), F.col(mine)))
-        return rows.withColumn(them, F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1))).select("bucket", "part", "asker", "id", "v")
+        rows = rows.join(both.hint("merge"), "bucket").withColumn(me, F.pmod(F.xxhash64("row"), F.col(mine)))
+        return rows.withColumn(them, F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1))).select("bucket", "part", "asker", "id", "v", "row")
 
     def nearest(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        nothing = pd.DataFrame({"query_id": [], "id": [], "distance": []})
+        nothing = pd.DataFrame({"query_id": [], "query_row": [], "id": [], "row": [], "distance": []})
         if left.empty or right.empty:
             return nothing
         x, q = np.stack(left["v"].to_numpy()), np.stack(right["v"].to_numpy())
-        ids, askers = left["id"].to_numpy(), right["id"].to_numpy()
+        ids, rows, askers, asking = left["id"].to_numpy(), left["row"].to_numpy(), right["id"].to_numpy(), right["row"].to_numpy()
         norms, out = (x**2).sum(1), []
         for a in range(0, len(q), 256):
-            part, who = q[a : a + 256], askers[a : a + 256]
+            part, who, which = q[a : a + 256], askers[a : a + 256], asking[a : a + 256]
             rough = (part**2).sum(1)[:, None] + norms - 2 * part @ x.T
-            rough[who[:, None] == ids[None, :]] = np.inf
+            rough[which[:, None] == rows[None, :]] = np.inf
             for i, row in enumerate(rough):
                 if len(row) > k:  # all that may be among the k nearest, rounding of the rough distance allowed for
                     bound = np.partition(row, k - 1)[k - 1]
@@ -183,13 +190,13 @@ def _nearest_by_bucket(filed: DataFrame, probed: DataFrame, k: int) -> DataFrame
                 at = at[np.isfinite(row[at])]
                 d = np.sqrt(((x[at] - part[i]) ** 2).sum(1))
                 best = np.lexsort((ids[at], d))[:k]
-                out.append(pd.DataFrame({"query_id": who[i], "id": ids[at][best], "distance": d[best]}))
+                out.append(pd.DataFrame({"query_id": who[i], "query_row": which[i], "id": ids[at][best], "row": rows[at][best], "distance": d[best]}))
         return pd.concat(out) if out else nothing
 
     key = ("bucket", "part", "asker")
     candidates = dealt(filed, "parts", "askers", "part", "asker")
     askers = dealt(probed, "askers", "parts", "asker", "part")
-    return candidates.groupBy(*key).cogroup(askers.groupBy(*key)).applyInPandas(nearest, f"query_id {kind}, id {kind}, distance double")
+    return candidates.groupBy(*key).cogroup(askers.groupBy(*key)).applyInPandas(nearest, f"query_id {kind}, query_row long, id {kind}, row long, distance double")
 
 
 def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -212,6 +212,11 @@ def test_search_edges(spark):
     for r in sorted(got, key=lambda r: (r.query_id, r.rank)):
         by.setdefault(r.query_id, []).append(r.id)
     assert by[0] == list(range(1, 11)) and by[104] == list(range(10)) and set(by) == {0, 104}
+    twins = spark.createDataFrame([(1, [1.0, 0.0]), (1, [1.0, 0.5]), (1, [1.0, 0.0]), (2, [5.0, 0.0])], "vec_id long, embedding array<double>")
+    lists = {}
+    for r in K.search(twins, twins.where("vec_id = 1"), k=2).orderBy("rank").collect():
+        lists.setdefault(r.distance if r.rank == 2 else None, []).append((r.rank, r.id))
+    assert sorted(lists[None]) == [(1, 1), (1, 1)] and sum(len(x) for x in lists.values()) == 4
     assert K.search(vectors.limit(0), vectors.limit(0)).count() == 0
 
 
