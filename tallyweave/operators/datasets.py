@@ -7,9 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: How protected a split is, and how many records each source gives to validation.
+from tallyweave.sources.readers import shared_path
+
+#: How protected a split is.
 SPLIT_RANK = {"test": 0, "val": 1, "train": 2}
-QUOTAS = {"real": 20, "header": 25, "bill": 25, "synth": 10}
 
 
 def split_rank(split: Column) -> Column:
@@ -19,35 +20,56 @@ def split_rank(split: Column) -> Column:
 def exact_dup_across_splits(manifest: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(kept, dropped): of equal content in several splits the most protected split's records stay; copies within a split stay.
 
-    One aggregate by hash, then a join; a hash that very many records share is split by AQE.
+    Only hashes that several splits have (one row each) are joined back; they are written first, so that both sides of the
+    join are shuffled and a hash that very many records share can be split by AQE. A null hash equals no other.
     """
-    best = manifest.groupBy("content_hash").agg(F.min(split_rank(F.col("split"))).alias("__best"))
-    rows = manifest.join(best, "content_hash")
-    keep = split_rank(F.col("split")) == F.col("__best")
+    rank = split_rank(F.col("split"))
+    best = manifest.where("content_hash IS NOT NULL").groupBy("content_hash").agg(F.min(rank).alias("__best"), F.max(rank).alias("__last")).where("__best < __last").drop("__last")
+    path = shared_path(manifest.sparkSession, "best-splits")
+    best.write.parquet(path)
+    best = manifest.sparkSession.read.schema(best.schema).parquet(path)
+    rows = manifest.join(best.hint("merge"), "content_hash", "left")
+    keep = F.coalesce(rank == F.col("__best"), F.lit(True))
     return rows.where(keep).drop("__best"), rows.where(~keep).drop("__best")
 
 
 def near_dup_across_splits(hashes: DataFrame, limit: int = 12, words: Sequence[str] = ("w0", "w1", "w2", "w3")) -> DataFrame:
-    """(split_a, split_b, id_a, id_b, distance) of records of different splits whose 256-bit hashes differ in `limit` bits at most.
+    """(split_a, split_b, id_a, id_b, distance, pairs) for classes of records of different splits whose 256-bit hashes differ in
+    `limit` bits at most. A class is what has one hash in one split; ids are the smallest of each, pairs its pairs of records.
 
     Band join: limit + 1 bands of the bits (pigeonhole: such a pair agrees in one whole band), an equi-join on the band,
-    then the exact distance. Records with equal hashes are joined once by their distinct hash, so a blank input that very
-    many records share is one row in the bands; its pairs are expanded at the end.
+    then the exact distance, all on distinct hashes, so a blank input that very many records share is one row in it. Hashes
+    are met once, in the first band in which they agree.
     """
     bands = limit + 1
-    distinct = hashes.groupBy(*words).agg(F.min("id").alias("h")).select("h", *words)
+    classes = hashes.groupBy(*words, "split").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"))
+    classes = classes.groupBy(*words).agg(F.min("id").alias("h"), F.collect_list(F.struct("split", "id", "n")).alias("own"))  # a few splits
+    path = shared_path(hashes.sparkSession, "hash-classes")
+    classes.write.parquet(path)
+    classes = hashes.sparkSession.read.schema(classes.schema).parquet(path)
     bits = F.concat(*(F.lpad(F.bin(w), 64, "0") for w in words))
     size = -(-64 * len(words) // bands)
     parts = F.array(*(F.substring(bits, i * size + 1, size) for i in range(bands)))
-    banded = distinct.select("h", *words, F.posexplode(parts).alias("band", "value"))
-    other = banded.select(F.col("h").alias("h2"), *(F.col(w).alias(f"{w}_2") for w in words), "band", "value")
+    banded = classes.select("h", *words, parts.alias("parts"), F.posexplode(parts).alias("band", "value"))
+    other = banded.select(F.col("h").alias("h2"), *(F.col(w).alias(f"{w}_2") for w in words), F.col("parts").alias("parts_2"), "band", "value")
     distance = sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"{w}_2"))) for w in words[1:]), F.bit_count(F.col(words[0]).bitwiseXOR(F.col(f"{words[0]}_2"))))
-    pairs = banded.join(other, ["band", "value"]).where("h < h2").withColumn("distance", distance).where(F.col("distance") <= limit).select("h", "h2", "distance").distinct()
-    pairs = pairs.unionByName(pairs.select(F.col("h2").alias("h"), F.col("h").alias("h2"), "distance")).unionByName(distinct.select("h", F.col("h").alias("h2"), F.lit(0).alias("distance")))
-    ids = hashes.join(distinct, list(words)).select("h", "id", "split")
-    a = ids.select("h", F.col("id").alias("id_a"), F.col("split").alias("split_a"))
-    b = ids.select(F.col("h").alias("h2"), F.col("id").alias("id_b"), F.col("split").alias("split_b"))
-    return pairs.join(a, "h").join(b, "h2").where("split_a < split_b").select("split_a", "split_b", "id_a", "id_b", "distance")
+    first = F.array_position(F.zip_with("parts", "parts_2", lambda a, b: a == b), True) - 1
+    pairs = banded.join(other.hint("merge"), ["band", "value"]).where((F.col("h") < F.col("h2")) & (distance <= limit) & (first == F.col("band"))).select("h", "h2", distance.alias("distance"))
+    pairs = pairs.unionByName(classes.select("h", F.col("h").alias("h2"), F.lit(0).alias("distance")))
+    one, two = classes.select("h", F.col("own").alias("a")), classes.select(F.col("h").alias("h2"), F.col("own").alias("b"))
+    met = pairs.join(one.hint("merge"), "h").join(two.hint("merge"), "h2").select("distance", F.explode("a").alias("a"), "b").select("distance", "a", F.explode("b").alias("b"))
+    # Of two hashes both orders of splits count; of one hash each pair of splits comes in both orders, of which one is kept.
+    x, y = F.when(F.col("a.split") < F.col("b.split"), F.col("a")).otherwise(F.col("b")), F.when(F.col("a.split") < F.col("b.split"), F.col("b")).otherwise(F.col("a"))
+    met = met.where((F.col("a.split") < F.col("b.split")) | ((F.col("a.split") > F.col("b.split")) & (F.col("distance") > 0)))
+    return met.select(x["split"].alias("split_a"), y["split"].alias("split_b"), x["id"].alias("id_a"), y["id"].alias("id_b"), "distance", (x["n"] * y["n"]).alias("pairs"))
+
+
+def near_dup_examples(near: DataFrame, k: int = 5) -> DataFrame:
+    """(split_a, split_b, pairs, rank, id_a, id_b, distance): how many pairs of records each two splits share, and the nearest k classes."""
+    total = near.groupBy("split_a", "split_b").agg(F.sum("pairs").alias("pairs"))
+    first = Window.partitionBy("split_a", "split_b").orderBy("distance", "id_a", "id_b")  # k rows of each task reach it
+    top = near.drop("pairs").withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= k)
+    return top.join(total.hint("merge"), ["split_a", "split_b"]).select("split_a", "split_b", "pairs", "rank", "id_a", "id_b", "distance")
 
 
 def split_overlap(manifest: DataFrame, key: str) -> DataFrame:
@@ -98,8 +120,8 @@ def ranked_sample(rows: DataFrame, seed: int, top: int) -> DataFrame:
     return rows.join(F.broadcast(n), "source").where(wanted).withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= top).drop("__n")  # a row for each source
 
 
-def sample_per_source(rows: DataFrame, seed: int, quotas: dict[str, int] | None = None, default: int = 10) -> DataFrame:
-    quotas = QUOTAS if quotas is None else quotas
+def sample_per_source(rows: DataFrame, seed: int, quotas: dict[str, int], default: int) -> DataFrame:
+    """The first records of each source's md5 order: its quota, or `default` of a source without one."""
     top = max([default, *quotas.values()])
     return ranked_sample(rows, seed, top).where(F.col("rn") <= _quota(quotas, default))
 
@@ -164,9 +186,9 @@ def dataset_profile(bills: DataFrame, items: DataFrame, consistent: DataFrame) -
     )
 
 
-def keyword_rates(docs: DataFrame, keywords: Sequence[str], first: int = 400) -> DataFrame:
-    """(keyword, share, lines_per_doc) over the first documents by id: the report is on that many by definition."""
-    rows = docs.orderBy("doc_id").limit(first)
+def keyword_rates(docs: DataFrame, keywords: Sequence[str], first: int | None = None) -> DataFrame:
+    """(keyword, share, lines_per_doc) over all documents, or the first so many by id."""
+    rows = docs.orderBy("doc_id").limit(first) if first else docs
     upper = F.upper(F.coalesce("text", F.lit("")))
     lines = F.avg(F.size(F.split(F.coalesce("text", F.lit("")), "\n")))
     a = rows.agg(lines.alias("lines"), *(F.avg(upper.contains(k).cast("int")).alias(k) for k in keywords))

@@ -84,7 +84,7 @@ def evaluate_records(bills: DataFrame, pred_bills: DataFrame, leaves: DataFrame,
 
 def leaf_edit_similarity(pred: DataFrame, truth: DataFrame) -> DataFrame:
     """One row: mean similarity of leaves aligned by path, a missing side counting 0."""
-    rows = pred.select("bill_id", "path", F.col("value").alias("p")).join(truth.select("bill_id", "path", F.col("value").alias("t")), ["bill_id", "path"], "full")
+    rows = pred.select("bill_id", "path", F.col("value").alias("p")).join(truth.select("bill_id", "path", F.col("value").alias("t")).hint("merge"), ["bill_id", "path"], "full")
     return rows.agg(F.count(F.lit(1)).alias("leaves"), F.round(F.avg(F.coalesce(similarity(F.col("p"), F.col("t")), F.lit(0.0))), 4).alias("similarity"))
 
 
@@ -98,7 +98,7 @@ def match_fields(fields: DataFrame, truth: DataFrame) -> DataFrame:
     p = fields.select("bill_id", "ord", "path", key.alias("k"), value.alias("v"))
     p = p.withColumn("rn", F.row_number().over(Window.partitionBy("bill_id", "k", "v").orderBy("ord")))
     t = truth.select("bill_id", key.alias("k"), value.alias("v")).groupBy("bill_id", "k", "v").agg(F.count(F.lit(1)).alias("cnt"))
-    return p.join(t, ["bill_id", "k", "v"], "left").select("bill_id", "path", F.coalesce(F.col("rn") <= F.col("cnt"), F.lit(False)).cast("int").alias("correct"))
+    return p.join(t.hint("merge"), ["bill_id", "k", "v"], "left").select("bill_id", "path", F.coalesce(F.col("rn") <= F.col("cnt"), F.lit(False)).cast("int").alias("correct"))
 
 
 def evaluate_headers(pred: DataFrame, truth: DataFrame) -> DataFrame:
@@ -152,7 +152,7 @@ def error_taxonomy(items: DataFrame, pred_items: DataFrame, charges: DataFrame,
     b = pred_bills.select("bill_id", F.col("subtotal_cents").alias("ps"), F.col("grand_cents").alias("pg")).join(bills.select("bill_id", "subtotal_cents", "grand_cents"), "bill_id")
     bfound = F.array_compact(F.array(e(~F.col("ps").eqNullSafe(F.col("subtotal_cents")), "subtotal", F.lit("subtotal")), e(~F.col("pg").eqNullSafe(F.col("grand_cents")), "grand total", F.lit("grand_total"))))
     errors = errors.unionByName(b.select("bill_id", F.explode(bfound).alias("x")).select("bill_id", "x.category", "x.path"))
-    marked = errors.join(flagged.select("bill_id", "path", F.lit(1).alias("f")), ["bill_id", "path"], "left")
+    marked = errors.join(flagged.select("bill_id", "path", F.lit(1).alias("f")).hint("merge"), ["bill_id", "path"], "left")
     per = marked.groupBy("category", "bill_id").agg(F.count(F.lit(1)).alias("n"), F.count("f").alias("f"))
     return per.groupBy("category").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("bills"), F.sum("f").alias("highlighted"))
 

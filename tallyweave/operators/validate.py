@@ -21,7 +21,8 @@ def _suggestion() -> Column:
 def check_arithmetic(bills: DataFrame, items: DataFrame, charges: DataFrame, tol: int = 50) -> DataFrame:
     """Issues (bill_id, path, severity, message, suggest_path, suggest_value).
 
-    One pass over the lines and one aggregate for each bill; all exchanges are on bill_id.
+    One pass over the lines and one aggregate for each bill; all exchanges are on bill_id. Paths and message texts are fixed
+    values that users of the checks match on.
     """
     text = F.lit(None).cast("string")
     path = F.format_string("items[%d].total", "item_idx")
@@ -56,7 +57,7 @@ def check_arithmetic(bills: DataFrame, items: DataFrame, charges: DataFrame, tol
 
 def is_consistent(bills: DataFrame, issues: DataFrame) -> DataFrame:
     """Bills without an error."""
-    return bills.join(issues.where("severity = 'error'").select("bill_id"), "bill_id", "left_anti")
+    return bills.join(issues.where("severity = 'error'").select("bill_id").hint("merge"), "bill_id", "left_anti")
 
 
 def repair_rates(items: DataFrame, tol: int = 50) -> DataFrame:
@@ -124,7 +125,7 @@ def low_confidence_fields(conf: DataFrame, threshold: float, score: str = "p_min
 
 def flag_join(leaves: DataFrame, conf: DataFrame, threshold: float) -> DataFrame:
     """Every leaf with its flag: (bill_id, path, value, flagged)."""
-    rows = leaves.join(conf.select("bill_id", "path", "p_min"), ["bill_id", "path"], "left")
+    rows = leaves.join(conf.select("bill_id", "path", "p_min").hint("merge"), ["bill_id", "path"], "left")
     return rows.select("bill_id", "path", "value", F.coalesce(F.col("p_min") < threshold, F.lit(False)).alias("flagged"))
 
 
@@ -163,7 +164,7 @@ def corrections_diff(read: DataFrame, truth: DataFrame) -> DataFrame:
     """(bill_id, path, was, now) of leaves that differ: names without case, numbers by value. Inputs as leaf_paths."""
     from tallyweave.functions.money import parse_money
 
-    rows = read.select("bill_id", "path", F.col("value").alias("was")).join(truth.select("bill_id", "path", F.col("value").alias("now")), ["bill_id", "path"], "full")
+    rows = read.select("bill_id", "path", F.col("value").alias("was")).join(truth.select("bill_id", "path", F.col("value").alias("now")).hint("merge"), ["bill_id", "path"], "full")
     name = F.col("path").endswith(".name") | F.col("path").endswith(".type")
     same = F.when(name, F.lower("was").eqNullSafe(F.lower("now"))).otherwise(parse_money(F.col("was")).eqNullSafe(parse_money(F.col("now"))) & F.col("was").isNotNull().eqNullSafe(F.col("now").isNotNull()))
     return rows.where(~same)
@@ -172,7 +173,7 @@ def corrections_diff(read: DataFrame, truth: DataFrame) -> DataFrame:
 def apply_corrections(leaves: DataFrame, edits: DataFrame) -> DataFrame:
     """Leaves (bill_id, path, value) with edits (bill_id, path, seq, value): the last edit of a path wins, unknown paths are ignored."""
     last = edits.groupBy("bill_id", "path").agg(F.max_by("value", "seq").alias("new"))
-    return leaves.join(last, ["bill_id", "path"], "left").select("bill_id", "path", F.coalesce("new", "value").alias("value"))
+    return leaves.join(last.hint("merge"), ["bill_id", "path"], "left").select("bill_id", "path", F.coalesce("new", "value").alias("value"))
 
 
 def first_k(rows: DataFrame, order: list[str], k: int) -> DataFrame:

@@ -117,6 +117,10 @@ VIEWS: dict[str, str] = {
 }
 
 
+#: DuckDB text of operators.runs.mean6.
+MEAN6 = "CAST((2 * CAST(sum(CAST(round({x} * 1000000000) AS BIGINT)) AS HUGEINT) + 1000 * count({x})) // (2000 * count({x})) AS DOUBLE) / 1000000"
+
+
 def _needed(sql: str, seen: list[str]) -> None:
     """Appends the views that the text mentions, each after what it needs itself."""
     words = set(sql.replace("(", " ").replace(")", " ").replace(",", " ").split())

@@ -8,7 +8,7 @@ from tallyweave.operators import datasets as D
 from tallyweave.operators import runs as R
 from tallyweave.operators import validate as V
 from tallyweave.operators.normalise import RECORD, tagged_text
-from tallyweave.plans.fixtures import view
+from tallyweave.plans.fixtures import MEAN6, view
 from tallyweave.plans.q_records import _PROBLEMS, ISSUES, canon, predicted
 from tallyweave.registry import query
 
@@ -52,11 +52,21 @@ HASHES = f"""hb AS (SELECT vec_id AS id, CASE WHEN vec_id % 10 < 8 THEN 'train'
   hx AS (SELECT * FROM hb UNION ALL SELECT * FROM hf)"""
 
 
-@query("near_dup_across_splits", f"WITH {HASHES} SELECT a.split AS split_a, b.split AS split_b, a.id AS id_a, b.id AS id_b, CAST(hamming(a.bits, b.bits) AS INT) AS distance FROM hx a JOIN hx b ON a.split < b.split WHERE hamming(a.bits, b.bits) <= 12")
+NEAR = f"""{HASHES}, hg AS (SELECT split, bits, min(id) AS id, count(*) AS n FROM hx GROUP BY split, bits),
+  near AS (SELECT a.split AS split_a, b.split AS split_b, a.id AS id_a, b.id AS id_b, CAST(hamming(a.bits, b.bits) AS INT) AS distance, a.n * b.n AS pairs FROM hg a JOIN hg b ON a.split < b.split WHERE hamming(a.bits, b.bits) <= 12)"""
+
+
+@query("near_dup_across_splits", f"WITH {NEAR} SELECT * FROM near")
 def near_dup_across_splits(spark, d):
     return D.near_dup_across_splits(hashes(spark, d))
 
 
+@query("near_dup_examples", f"""WITH {NEAR}, t AS (SELECT split_a, split_b, CAST(sum(pairs) AS BIGINT) AS pairs FROM near GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY split_a, split_b ORDER BY distance, id_a, id_b) AS rank FROM near)
+  SELECT r.split_a, r.split_b, t.pairs, CAST(rank AS INT) AS rank, id_a, id_b, distance FROM r JOIN t ON r.split_a = t.split_a AND r.split_b = t.split_b WHERE rank <= 5""")
+def near_dup_examples(spark, d):
+    return D.near_dup_examples(D.near_dup_across_splits(hashes(spark, d)))
+
+
 @query("union_manifests", "SELECT id, count(*) AS n FROM (SELECT id FROM manifest WHERE split = 'train' UNION ALL SELECT id FROM manifest WHERE id % 7 = 0) GROUP BY id HAVING count(*) > 1")
 def union_manifests(spark, d):
     m = view(spark, d, "manifest").select("id", "split")
@@ -75,7 +85,7 @@ RANKED = f"rk AS (SELECT id, source, row_number() OVER (PARTITION BY source ORDE
 
 @query("sample_per_source", f"WITH {RANKED} SELECT id, source, CAST(rn AS INT) AS rn FROM rk WHERE rn <= CASE source WHEN 'src0' THEN 20 WHEN 'src1' THEN 25 ELSE 10 END")
 def sample_per_source(spark, d):
-    return D.sample_per_source(view(spark, d, "manifest").select("id", "source"), 7, {"src0": 20, "src1": 25}).select("id", "source", "rn")
+    return D.sample_per_source(view(spark, d, "manifest").select("id", "source"), 7, {"src0": 20, "src1": 25}, 10).select("id", "source", "rn")
 
 
 @query("sample_round_robin", f"WITH {RANKED} SELECT id, source, CAST(rn AS INT) AS rn FROM rk ORDER BY rn, source LIMIT 30")
@@ -136,14 +146,14 @@ def dataset_profile(spark, d):
 KEYWORDS = ("THE", "DER", "LA", "TOTAL", "COPYRIGHT", "LICENSED", "TOKEN", "RIGHTS", "IDIOT")
 
 
-@query("keyword_rates", "WITH f AS (SELECT upper(coalesce(text, '')) AS u, len(string_split(coalesce(text, ''), chr(10))) AS l FROM documents ORDER BY doc_id LIMIT 400) " + " UNION ALL ".join(f"SELECT '{k}' AS keyword, round(avg(CAST(contains(u, '{k}') AS INT)), 4) AS share, round(avg(l), 4) AS lines_per_doc FROM f" for k in KEYWORDS))
+@query("keyword_rates", "WITH f AS (SELECT upper(coalesce(text, '')) AS u, len(string_split(coalesce(text, ''), chr(10))) AS l FROM documents) " + " UNION ALL ".join(f"SELECT '{k}' AS keyword, round(avg(CAST(contains(u, '{k}') AS INT)), 4) AS share, round(avg(l), 4) AS lines_per_doc FROM f" for k in KEYWORDS))
 def keyword_rates(spark, d):
     return D.keyword_rates(view(spark, d, "documents"), KEYWORDS)
 
 
 def token_rows(spark, d):
     """Predicted records as token streams: tags, separators and characters' words, with probabilities."""
-    text = tagged_text(predicted(spark, d).where("bill_id < 500").withColumn("bill", F.col("bill").cast(RECORD)))
+    text = tagged_text(predicted(spark, d).withColumn("bill", F.col("bill").cast(RECORD)))
     parts = F.filter(F.split(F.regexp_replace("text", "(<[^>]+>)", "\u0001$1\u0001"), "\u0001"), lambda x: x != "")
     rows = text.select("bill_id", F.posexplode(F.concat(parts, F.array(F.lit("</s>"), F.lit("<s_name>"), F.lit("late"), F.lit("</s_name>")))).alias("pos", "token"))
     return rows.withColumn("prob", F.lit(1.0) - ((F.col("bill_id") * 7919 + F.col("pos") * 104729) % 1000) / 2000)
@@ -156,7 +166,7 @@ def _leaf(sql_items: str) -> str:
       UNION ALL SELECT bill_id, 'subtotal', {canon('subtotal_cents')} FROM pred_bills WHERE subtotal_cents IS NOT NULL UNION ALL SELECT bill_id, 'grand_total', {canon('grand_cents')} FROM pred_bills WHERE grand_cents IS NOT NULL"""
 
 
-@query("fields_from_tokens", f"WITH l AS ({_leaf('')}) SELECT bill_id, path, value FROM l WHERE bill_id < 500")
+@query("fields_from_tokens", f"WITH l AS ({_leaf('')}) SELECT bill_id, path, value FROM l")
 def fields_from_tokens(spark, d):
     return R.fields_from_tokens(token_rows(spark, d)).select("bill_id", "path", "value")
 
@@ -204,9 +214,9 @@ def throughput(spark, d):
     return R.throughput(view(spark, d, "events").select(F.col("user_id").alias("level"), start.alias("start"), (start + F.col("value")).alias("end"), (F.col("event_type") != "error").alias("ok")), "level")
 
 
-@query("curve_table", "SELECT epoch, round(avg(CASE WHEN isnan(loss) THEN NULL ELSE loss END), 6) AS loss, round(avg(score), 6) AS bill, round(avg(score) FILTER (WHERE run % 2 = 0), 6) AS header FROM run_log WHERE epoch <= 20 GROUP BY epoch")
+@query("curve_table", f"WITH c AS (SELECT epoch, CASE WHEN NOT isnan(loss) THEN loss END AS l, score AS s, CASE WHEN run % 2 = 0 THEN score END AS h FROM run_log) SELECT epoch, {MEAN6.format(x='l')} AS loss, {MEAN6.format(x='s')} AS bill, {MEAN6.format(x='h')} AS header FROM c GROUP BY epoch")
 def curve_table(spark, d):
-    log = view(spark, d, "run_log").where("epoch <= 20").withColumn("loss", F.when(~F.isnan("loss"), F.col("loss")))
+    log = view(spark, d, "run_log").withColumn("loss", F.when(~F.isnan("loss"), F.col("loss")))
     val = F.when(F.col("run") % 2 == 0, F.create_map(F.lit("bill"), "score", F.lit("header"), "score")).otherwise(F.create_map(F.lit("bill"), "score"))
     return R.curve_table(log.select("epoch", "loss", val.alias("val")), ["bill", "header"])
 

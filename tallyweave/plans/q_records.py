@@ -106,8 +106,9 @@ def target_length_profile(spark, d):
     return N.tagged_text(truth(spark, d)).agg(p(0.5).alias("p50"), p(0.9).alias("p90"), p(0.95).alias("p95"), p(0.99).alias("p99"), F.max(n).cast("long").alias("longest"), F.round(F.avg((n > 768).cast("int")), 4).alias("over_limit"))
 
 
-@query("date_format_report", """SELECT CASE WHEN id % 9 = 0 THEN 'yyyy-mm-dd' WHEN id % 9 = 1 THEN 'd/m/y' WHEN id % 9 = 2 THEN 'd-m-y' WHEN id % 9 = 3 THEN 'd.m.y' WHEN id % 9 = 4 THEN 'd mon y' WHEN id % 9 = 5 THEN 'd month y'
-  WHEN id % 9 = 6 THEN 'mon d, y' WHEN id % 9 = 7 THEN 'other' ELSE 'empty' END AS layout, count(*) AS n FROM headers GROUP BY 1""")
+@query("date_format_report", """SELECT CASE WHEN date = '' THEN 'empty' WHEN regexp_full_match(date, '[0-9][0-9]?/[0-9][0-9]?/[0-9]{4}') THEN 'dd/mm/yyyy' WHEN regexp_full_match(date, '[0-9][0-9]?-[0-9][0-9]?-[0-9]{4}') THEN 'dd-mm-yyyy'
+  WHEN regexp_full_match(date, '[0-9][0-9]?/[0-9][0-9]?/[0-9]{2}') THEN 'dd/mm/yy' WHEN regexp_full_match(date, '[0-9][0-9]?-[0-9][0-9]?-[0-9]{2}') THEN 'dd-mm-yy' WHEN regexp_full_match(date, '[0-9]{4}-[0-9][0-9]?-[0-9][0-9]?') THEN 'yyyy-mm-dd'
+  WHEN regexp_full_match(date, '[0-9][0-9]? *[A-Za-z]{3,9} *[0-9]{2,4}') THEN 'dd Mon yyyy' WHEN regexp_full_match(date, '[0-9][0-9]?[.][0-9][0-9]?[.][0-9]{2,4}') THEN 'dd.mm.yyyy' ELSE 'other' END AS layout, count(*) AS n FROM headers GROUP BY 1""")
 def date_format_report(spark, d):
     return N.date_format_report(view(spark, d, "headers"))
 

@@ -24,7 +24,7 @@ def stream_validate(spark, d):
 @query("stream_dedup_uploads", "SELECT DISTINCT md5(CAST(user_id AS VARCHAR) || '|' || event_type) AS content_hash FROM events")
 def stream_dedup_uploads(spark, d):
     rows = view(spark, d, "events").select(F.md5(F.concat_ws("|", F.col("user_id").cast("string"), "event_type")).alias("content_hash"), "ts")
-    return J.finish(J.dedup_uploads(J.stream_of(rows, "uploads"), "400 days"), "unique-uploads").select("content_hash")
+    return J.finish(J.dedup_uploads(J.stream_of(rows, "uploads"), "2 hours"), "unique-uploads").select("content_hash")
 
 
 @query("stream_stall_sessions", """WITH e AS (SELECT user_id AS run, ts, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w >= INTERVAL 12 HOUR THEN 1 ELSE 0 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),

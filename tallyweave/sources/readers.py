@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Sequence
 
@@ -16,9 +15,9 @@ MANIFEST = "id BIGINT, image STRING, gt STRING, task STRING, source STRING, spli
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the cluster's shared folder (spark.checkpoint.dir), or in a folder of our own where that is unset."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    return f"{base or 'file://' + tempfile.mkdtemp(prefix='tallyweave-')}/{name}-{uuid.uuid4().hex}"
+    """A new path in the cluster's shared folder (spark.checkpoint.dir), or in the warehouse where that is unset."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
 def read_manifest(spark: SparkSession, paths: Sequence[str], schema: str = MANIFEST) -> DataFrame:
@@ -27,9 +26,21 @@ def read_manifest(spark: SparkSession, paths: Sequence[str], schema: str = MANIF
 
 
 def read_bill_files(spark: SparkSession, path: str) -> DataFrame:
-    """(stem, bill): one JSON document in each file, named by the file or its key=value folder."""
-    rows = spark.read.schema(f"items {RECORD.split('items:')[1].split(',charges:')[0]}, charges array<struct<type:string,amount:string>>, subtotal STRING, grand_total STRING").option("multiLine", True).option("recursiveFileLookup", True).json(path)
-    return rows.select(stem(F.col("_metadata.file_path")).alias("stem"), F.struct("items", "charges", "subtotal", "grand_total").alias("bill"))
+    """bill_records of a folder with one JSON document in each file."""
+    return bill_records(whole_files(spark, path))
+
+
+def whole_files(spark: SparkSession, path: str) -> DataFrame:
+    """(path, value): the files below a folder, each as one text."""
+    return spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("path"), "value")
+
+
+def bill_records(files: DataFrame) -> DataFrame:
+    """(stem, bill) of JSON documents (path, value), named by the file or its key=value folder.
+
+    Very many small documents are best kept as rows of a table with their paths, not as a file each.
+    """
+    return files.select(stem(F.col("path")).alias("stem"), F.from_json("value", RECORD).alias("bill"))
 
 
 def stem(path: Column) -> Column:
@@ -39,9 +50,14 @@ def stem(path: Column) -> Column:
 
 
 def read_entities(spark: SparkSession, path: str) -> DataFrame:
-    """(stem, entities MAP): JSON objects, or `key: value` lines where the first colon splits and the last key wins."""
-    rows = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(stem(F.col("_metadata.file_path")).alias("stem"), "value")
-    return rows.select("stem", parse_entities(F.col("value")).alias("entities"))
+    """entities of a folder with one text in each file."""
+    return entities(whole_files(spark, path))
+
+
+def entities(files: DataFrame) -> DataFrame:
+    """(stem, entities MAP) of texts (path, value): JSON objects, or `key: value` lines where the first colon splits and the
+    last key wins."""
+    return files.select(stem(F.col("path")).alias("stem"), parse_entities(F.col("value")).alias("entities"))
 
 
 def parse_entities(text: Column) -> Column:
@@ -58,13 +74,18 @@ def parse_entities(text: Column) -> Column:
 
 
 def pair_files(spark: SparkSession, folders: dict[str, str]) -> tuple[DataFrame, DataFrame]:
-    """(complete, incomplete) stems over folders of files: complete ones are in every folder."""
+    """pair_listing over folders of files by kind."""
     names = None
     for kind, path in folders.items():
-        part = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(stem(F.col("path")).alias("stem"), F.lit(kind).alias("kind"))
+        part = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(F.lit(kind).alias("kind"), "path")
         names = part if names is None else names.unionByName(part)
-    have = names.groupBy("stem").agg(F.array_sort(F.collect_set("kind")).alias("kinds"))  # a few kinds
-    return have.where(F.size("kinds") == len(folders)), have.where(F.size("kinds") < len(folders))
+    return pair_listing(names, len(folders))
+
+
+def pair_listing(files: DataFrame, kinds: int) -> tuple[DataFrame, DataFrame]:
+    """(complete, incomplete) stems of a listing (kind, path): complete ones have a file of every kind."""
+    have = files.groupBy(stem(F.col("path")).alias("stem")).agg(F.array_sort(F.collect_set("kind")).alias("kinds"))  # a few kinds
+    return have.where(F.size("kinds") == kinds), have.where(F.size("kinds") < kinds)
 
 
 def header_label(rows: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from tallyweave.operators import normalise as N
 from tallyweave.operators import runs as R
 from tallyweave.operators import scoring as S
 from tallyweave.operators import validate as V
+from tallyweave.sources import readers as S2
 from tallyweave.sources.readers import nested_receipt, parse_entities
 
 
@@ -66,8 +67,26 @@ def test_manifest_keeps_the_protected_split(spark):
 
 def test_near_dup_with_hot_hash(spark):
     rows = [(i, "train" if i % 2 else "test", 0, 0, 0, 0) for i in range(60)] + [(100, "val", 4095, 0, 0, 0), (101, "val", 8191, 0, 0, 0), (102, "val", -1, -1, 0, 0)]
-    got = D.near_dup_across_splits(spark.createDataFrame(rows, "id long, split string, w0 long, w1 long, w2 long, w3 long")).collect()
-    assert sum(r.distance == 0 for r in got) == 900 and sum(r.distance == 12 for r in got) == 60 and len(got) == 960
+    hashes = spark.createDataFrame(rows, "id long, split string, w0 long, w1 long, w2 long, w3 long")
+    got = D.near_dup_across_splits(hashes).collect()
+    assert {(r.split_a, r.split_b, r.id_a, r.id_b, r.distance, r.pairs) for r in got} == {("test", "train", 0, 1, 0, 900), ("test", "val", 0, 100, 12, 30), ("train", "val", 1, 100, 12, 30)} and len(got) == 3
+    assert [(r.pairs, r["rank"]) for r in D.near_dup_examples(D.near_dup_across_splits(hashes)).orderBy("split_a", "split_b").collect()] == [(900, 1), (30, 1), (30, 1)]
+
+
+def test_files_of_small_documents(spark, tmp_path):
+    for name, text in {"a/1.json": '{"items": [{"name": "Tea", "total": "5"}], "grand_total": "5"}', "a/2.json": "broken", "b/1.txt": "Company: X", "b/3.txt": '{"company": "Y"}'}.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(text)
+    got = {r.stem: r.bill for r in S2.read_bill_files(spark, f"file://{tmp_path}/a").collect()}
+    assert got["1"]["items"][0]["name"] == "Tea" and got["1"]["grand_total"] == "5" and (got["2"] is None or got["2"]["grand_total"] is None)
+    assert {r.stem: r.entities["company"] for r in S2.read_entities(spark, f"file://{tmp_path}/b").collect()} == {"1": "X", "3": "Y"}
+    whole, part = S2.pair_files(spark, {"json": f"file://{tmp_path}/a", "text": f"file://{tmp_path}/b"})
+    assert [r.stem for r in whole.collect()] == ["1"] and sorted(r.stem for r in part.collect()) == ["2", "3"]
+
+
+def test_means_do_not_depend_on_the_order_of_adding(spark):
+    rows = spark.createDataFrame([(x,) for x in [0.4197, 0.4196, 0.4197, 0.4196, 0.4198, 0.4195, 0.4197, 0.4197]], "x double")
+    assert rows.agg(R.mean6("x").alias("m")).first().m == 0.419663 and rows.limit(0).agg(R.mean6("x").alias("m")).first().m is None
 
 
 def test_entities_and_receipts(spark):
