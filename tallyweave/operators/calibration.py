@@ -1,7 +1,8 @@
 """Confidence: reliability, calibration error, ranking quality, thresholds, isotonic maps.
 
-Scores are aggregated by distinct value before any window over all of them, so the un-partitioned step sees distinct
-scores only (round them if there are very many).
+Fields are counted by distinct score first. Running sums over the distinct scores go through SLICES slices of [0, 1]: sums of
+the slices (a bounded number of rows) are accumulated, and windows run inside a slice, so no task sees all scores. Quantiles
+are read off the running sums.
 """
 
 from __future__ import annotations
@@ -11,7 +12,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyweave.sources.readers import shared_path
+
 EDGES = [i / 10 for i in range(1, 10)]
+#: Slices of the scores' range; scores outside [0, 1] are in the outer ones.
+SLICES = 1000
 
 
 def bin_of(score: Column) -> Column:
@@ -19,96 +24,157 @@ def bin_of(score: Column) -> Column:
     return sum(((score >= e).cast("int") for e in EDGES[1:]), (score >= EDGES[0]).cast("int"))
 
 
+def score_counts(fields: DataFrame, score: str, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, s, c, n): for each distinct score how many fields are right, and how many there are."""
+    return fields.groupBy(*keys, F.col(score).alias("s")).agg(F.sum("correct").alias("c"), F.count(F.lit(1)).alias("n"))
+
+
+def running(counts: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """score_counts with c_before and n_before (over lower scores), c_all and n_all."""
+    rows = counts.withColumn("slice", F.floor(F.least(F.lit(1.0), F.greatest(F.lit(0.0), "s")) * SLICES).cast("int"))
+    per = rows.groupBy(*keys, "slice").agg(F.sum("c").alias("c_s"), F.sum("n").alias("n_s"))
+    whole = Window.partitionBy(*keys)  # SLICES + 1 rows at most
+    lower = whole.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.select(*keys, "slice", *(F.coalesce(F.sum(f"{x}_s").over(lower), F.lit(0)).alias(f"{x}_low") for x in "cn"), *(F.sum(f"{x}_s").over(whole).alias(f"{x}_all") for x in "cn"))
+    inside = Window.partitionBy(*keys, "slice").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+    joined = rows.join(per.hint("merge"), [*keys, "slice"])
+    for x in "cn":
+        joined = joined.withColumn(f"{x}_before", F.col(f"{x}_low") + F.coalesce(F.sum(x).over(inside), F.lit(0)))
+    return joined.select(*keys, "s", "c", "n", "c_before", "n_before", "c_all", "n_all")
+
+
+def _reliability(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    rows = counts.where(F.col("s").between(0, 1)).groupBy(*keys, bin_of(F.col("s")).alias("bin"))
+    return rows.agg(F.sum("n").alias("n"), (F.sum(F.col("s") * F.col("n")) / F.sum("n")).alias("mean_conf"), (F.sum("c") / F.sum("n")).alias("accuracy"))
+
+
+def _ece(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return _reliability(counts, keys).groupBy(*keys).agg((F.sum(F.col("n") * F.abs(F.col("mean_conf") - F.col("accuracy"))) / F.sum("n")).alias("ece"))
+
+
+def _auroc(sums: DataFrame, keys: Sequence[str]) -> DataFrame:
+    neg, below = F.col("n") - F.col("c"), F.col("n_before") - F.col("c_before")
+    a = sums.groupBy(*keys).agg(F.sum(F.col("c") * (below + neg / 2)).alias("u"), F.sum("c").alias("n_pos"), F.sum(neg).alias("n_neg"))
+    return a.select(*keys, F.try_divide(F.col("u"), F.col("n_pos") * F.col("n_neg")).alias("auroc"), "n_pos", "n_neg")
+
+
+def _quantile(share: float) -> Column:
+    """Interpolated quantile, as an aggregate over running sums."""
+    place = (F.max("n_all") - 1) * F.lit(share)
+    at = lambda k: F.min(F.when(F.col("n_before") + F.col("n") > k, F.col("s")))
+    spot = (F.col("n_all") - 1) * F.lit(share)
+    low, high = at(F.floor(spot)), at(F.ceil(spot))
+    return F.when(low == high, low).otherwise((F.ceil(place) - place) * low + (place - F.floor(place)) * high)
+
+
 def reliability_table(fields: DataFrame, score: str, keys: Sequence[str] = ()) -> DataFrame:
     """(keys, bin, n, mean_conf, accuracy); empty bins are left out."""
-    return fields.where(F.col(score).between(0, 1)).groupBy(*keys, bin_of(F.col(score)).alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.avg(score).alias("mean_conf"), F.avg("correct").alias("accuracy"))
+    return _reliability(score_counts(fields, score, keys), keys)
 
 
 def ece(fields: DataFrame, score: str, keys: Sequence[str] = ()) -> DataFrame:
-    rows = reliability_table(fields, score, keys)
-    return rows.groupBy(*keys).agg((F.sum(F.col("n") * F.abs(F.col("mean_conf") - F.col("accuracy"))) / F.sum("n")).alias("ece"))
+    return _ece(score_counts(fields, score, keys), keys)
 
 
 def auroc(fields: DataFrame, score: str, keys: Sequence[str] = ()) -> DataFrame:
     """(keys, auroc, n_pos, n_neg): rank-sum with ties averaged; null without both outcomes."""
-    by = fields.groupBy(*keys, score).agg(F.sum("correct").alias("pos"), F.sum(1 - F.col("correct")).alias("neg"))
-    below = Window.partitionBy(*keys).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    rows = by.withColumn("below", F.coalesce(F.sum("neg").over(below), F.lit(0)))
-    a = rows.groupBy(*keys).agg(F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)).alias("u"), F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
-    return a.select(*keys, F.try_divide(F.col("u"), F.col("n_pos") * F.col("n_neg")).alias("auroc"), "n_pos", "n_neg")
+    return _auroc(running(score_counts(fields, score, keys), keys), keys)
 
 
 def threshold_for_precision(fields: DataFrame, score: str, target: float) -> DataFrame:
     """One row: the lowest score that keeps precision at the target when everything at or above it is accepted, else 1.01."""
-    by = fields.groupBy(score).agg(F.sum("correct").alias("c"), F.count(F.lit(1)).alias("n"))
-    down = Window.orderBy(F.col(score).desc())
-    rows = by.withColumn("precision", F.sum("c").over(down) / F.sum("n").over(down))
-    return rows.agg(F.coalesce(F.min(F.when(F.col("precision") >= target, F.col(score))), F.lit(1.01)).alias("threshold"))
+    precision = (F.col("c_all") - F.col("c_before")) / (F.col("n_all") - F.col("n_before"))
+    return running(score_counts(fields, score)).agg(F.coalesce(F.min(F.when(precision >= target, F.col("s"))), F.lit(1.01)).alias("threshold"))
 
 
 def lowest_confidence(fields: DataFrame, score: str, share: float = 0.08) -> DataFrame:
     """Fields scored below the share's quantile (interpolated)."""
-    cut = fields.agg(F.percentile(score, F.lit(share)).alias("__cut"))
+    cut = running(score_counts(fields, score)).agg(_quantile(share).alias("__cut"))
     return fields.join(F.broadcast(cut), F.col(score) < F.col("__cut")).drop("__cut")  # one row
 
 
 def flag_tradeoff(fields: DataFrame, score: str, shares: Sequence[float], fields_per_bill: int = 20) -> DataFrame:
     """(share, threshold, errors_caught, unflagged_precision, flags_per_bill) for flagging the lowest shares."""
-    cuts = fields.agg(F.percentile(score, F.array(*map(F.lit, shares))).alias("cuts"))
-    cuts = cuts.select(F.explode(F.arrays_zip(F.array(*map(F.lit, shares)).alias("share"), F.col("cuts").alias("cut"))).alias("x")).select("x.share", F.col("x.cut").alias("threshold"))
-    by = fields.groupBy(score).agg(F.sum("correct").alias("c"), F.count(F.lit(1)).alias("n"))
-    rows = by.join(F.broadcast(cuts))  # a row for each share
-    below = F.col(score) < F.col("threshold")
-    a = rows.groupBy("share", "threshold").agg(
-        F.sum(F.when(below, F.col("n") - F.col("c")).otherwise(0)).alias("caught"), F.sum(F.col("n") - F.col("c")).alias("wrong"), F.sum(F.when(~below, F.col("c")).otherwise(0)).alias("right"), F.sum(F.when(~below, F.col("n")).otherwise(0)).alias("left"), F.sum("n").alias("n")
-    )
+    counts = score_counts(fields, score)
+    cuts = running(counts).agg(F.array(*map(_quantile, shares)).alias("cuts"))
+    rows = counts.join(F.broadcast(cuts))  # one row
+    line = []
+    for i, share in enumerate(shares):
+        cut = F.col("cuts")[i]
+        flagged = lambda x, cut=cut: F.coalesce(F.sum(F.when(F.col("s") < cut, x)), F.lit(0))
+        line.append(F.struct(F.lit(share).alias("share"), F.max(cut).alias("t"), flagged(F.col("n")).alias("f"), flagged(F.col("c")).alias("fc")))
+    a = rows.agg(F.sum("n").alias("n"), F.sum("c").alias("c"), F.array(*line).alias("l")).select("n", "c", F.explode("l").alias("l")).select("n", "c", "l.*")
     r4 = lambda x, name: F.round(x, 4).alias(name)
-    return a.select("share", F.round("threshold", 6).alias("threshold"), r4(F.try_divide("caught", "wrong"), "errors_caught"), r4(F.try_divide("right", "left"), "unflagged_precision"), r4((F.col("n") - F.col("left")) / F.col("n") * fields_per_bill, "flags_per_bill"))
+    return a.where("n IS NOT NULL").select(
+        "share", F.round("t", 6).alias("threshold"), r4(F.try_divide(F.col("f") - F.col("fc"), F.col("n") - F.col("c")), "errors_caught"), r4(F.try_divide(F.col("c") - F.col("fc"), F.col("n") - F.col("f")), "unflagged_precision"),
+        r4(F.col("f") / F.col("n") * fields_per_bill, "flags_per_bill"),
+    )
 
 
 def calibration_by_field(fields: DataFrame, score: str, at_least: int = 20) -> DataFrame:
     """(field, n, accuracy, auroc) of field types with enough rows and both outcomes."""
     n = fields.groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("correct"), 4).alias("accuracy"), F.min("correct").alias("lo"), F.max("correct").alias("hi")).where((F.col("n") >= at_least) & (F.col("lo") < F.col("hi")))
-    return n.join(auroc(fields, score, ["field"]), "field").select("field", "n", "accuracy", F.round("auroc", 4).alias("auroc"))
+    return n.join(auroc(fields, score, ["field"]).hint("merge"), "field").select("field", "n", "accuracy", F.round("auroc", 4).alias("auroc"))
 
 
-def isotonic_calibrate(fields: DataFrame, score: str) -> DataFrame:
-    """(score, p): the monotone map from score to chance of being right, on a grid of 101 points, clipped and rounded."""
+def _isotonic(counts: DataFrame):
     from pyspark.ml.regression import IsotonicRegression
 
-    by = fields.groupBy(F.col(score).alias("features")).agg(F.avg(F.col("correct").cast("double")).alias("label"), F.count(F.lit(1)).cast("double").alias("w"))
-    model = IsotonicRegression(weightCol="w").fit(by)
-    grid = fields.sparkSession.range(101).select((F.col("id") / 100).alias("features"))
-    p = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("prediction")))
-    return model.transform(grid).select(F.col("features").alias("score"), F.round(p, 4).alias("p"))
+    return IsotonicRegression(weightCol="w").fit(counts.select(F.col("s").alias("features"), (F.col("c") / F.col("n")).alias("label"), F.col("n").cast("double").alias("w")))
 
 
-def calibrated_ece(fields: DataFrame, score: str) -> DataFrame:
-    """One row: calibration error after two-fold isotonic regression, folds by bill."""
-    from pyspark.ml.regression import IsotonicRegression
+def _clipped(x: str) -> Column:
+    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), x))
 
+
+def isotonic_calibrate(fields: DataFrame, score: str) -> DataFrame:
+    """(score, p): the monotone map from score to chance of being right, on a grid of 101 points, clipped and rounded."""
+    grid = fields.sparkSession.range(101).select((F.col("id") / 100).alias("features"))
+    return _isotonic(score_counts(fields, score)).transform(grid).select(F.col("features").alias("score"), F.round(_clipped("prediction"), 4).alias("p"))
+
+
+def _calibrated(counts: DataFrame) -> DataFrame:
+    """Counts (fold, s, c, n) with each fold's scores mapped by the isotonic regression of the other fold."""
     parts = None
     for fold in (0, 1):
-        train = fields.where(F.col("bill_id") % 2 != fold).groupBy(F.col(score).alias("features")).agg(F.avg(F.col("correct").cast("double")).alias("label"), F.count(F.lit(1)).cast("double").alias("w"))
-        test = fields.where(F.col("bill_id") % 2 == fold).select(F.col(score).alias("features"), "correct")
-        done = IsotonicRegression(weightCol="w").fit(train).transform(test).select(F.least(F.lit(1.0), F.greatest(F.lit(0.0), "prediction")).alias("s"), "correct")
+        done = _isotonic(counts.where(F.col("fold") != fold)).transform(counts.where(F.col("fold") == fold).withColumnRenamed("s", "features"))
+        done = done.select(_clipped("prediction").alias("s"), "c", "n")
         parts = done if parts is None else parts.unionByName(done)
-    return ece(parts, "s")
+    return parts.groupBy("s").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
+
+
+def calibrated_ece(fields: DataFrame, score: str) -> DataFrame:
+    """One row: calibration error after two-fold isotonic regression, folds by bill."""
+    return _ece(_calibrated(score_counts(fields.withColumn("fold", F.col("bill_id") % 2), score, ["fold"])), [])
 
 
 def calibration_report(fields: DataFrame, scores: Sequence[str] = ("p_first", "p_mean", "p_min"), share: float = 0.08) -> DataFrame:
-    """Per aggregator: AUROC, ECE raw and calibrated, threshold, flagged share, errors caught, precision of the rest, best."""
-    out = None
-    for order, s in enumerate(scores):
-        cut = F.broadcast(fields.agg(F.percentile(s, F.lit(share)).alias("threshold")))  # one row
-        below = F.col(s) < F.col("threshold")
-        a = fields.join(cut).groupBy("threshold").agg(F.count(F.lit(1)).alias("n"), F.count_if(below).alias("f"), F.count_if(below & (F.col("correct") == 0)).alias("wf"), F.count_if(F.col("correct") == 0).alias("w"))
-        row = a.join(F.broadcast(auroc(fields, s))).join(F.broadcast(ece(fields, s))).join(F.broadcast(calibrated_ece(fields, s).withColumnRenamed("ece", "ece2")))  # one row each
-        r4 = lambda x, name: F.round(x, 4).alias(name)
-        row = row.select(
-            F.lit(order).alias("o"), F.lit(s).alias("score"), r4(F.col("auroc"), "auroc"), r4(F.col("ece"), "ece_raw"), r4(F.col("ece2"), "ece_calibrated"), F.round("threshold", 6).alias("threshold"), r4(F.col("f") / F.col("n"), "flagged"),
-            r4(F.try_divide("wf", "w"), "errors_caught"), r4(1 - F.try_divide(F.col("w") - F.col("wf"), F.col("n") - F.col("f")), "unflagged_right"),
-        )
-        out = row if out is None else out.unionByName(row)
+    """Per aggregator: AUROC, ECE raw and calibrated, threshold, flagged share, errors caught, precision of the rest, best.
+
+    The fields are read once: counted by aggregator, fold and distinct score, and written; all measures start from that.
+    """
+    spark = fields.sparkSession
+    long = fields.select(F.col("bill_id") % 2, "correct", F.explode(F.array(*(F.struct(F.lit(i).alias("o"), F.col(s).alias("x")) for i, s in enumerate(scores)))).alias("z"))
+    long = long.toDF("fold", "correct", "z").select("fold", "correct", "z.o", "z.x")
+    path = shared_path(spark, "score-counts")
+    score_counts(long, "x", ["o", "fold"]).write.parquet(path)
+    folds = spark.read.schema("o int, fold long, s double, c long, n long").parquet(path)
+    counts = folds.groupBy("o", "s").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
+    sums = running(counts, ["o"])
+    cut = sums.groupBy("o").agg(_quantile(share).alias("threshold"))
+    below = F.col("s") < F.col("threshold")
+    a = counts.join(cut.hint("merge"), "o").groupBy("o", "threshold").agg(
+        F.sum("n").alias("n"), F.sum(F.col("n") - F.col("c")).alias("w"), F.coalesce(F.sum(F.when(below, F.col("n"))), F.lit(0)).alias("f"), F.coalesce(F.sum(F.when(below, F.col("n") - F.col("c"))), F.lit(0)).alias("wf")
+    )
+    after = None
+    for i in range(len(scores)):
+        part = _ece(_calibrated(folds.where(F.col("o") == i)), []).select(F.lit(i).alias("o"), F.col("ece").alias("ece2"))
+        after = part if after is None else after.unionByName(part)
+    rows = a.join(_auroc(sums, ["o"]).hint("merge"), "o").join(_ece(counts, ["o"]).hint("merge"), "o").join(after.hint("merge"), "o")  # a row for each aggregator
+    r4 = lambda x, name: F.round(x, 4).alias(name)
+    out = rows.select(
+        "o", F.array(*map(F.lit, scores))[F.col("o")].alias("score"), r4(F.col("auroc"), "auroc"), r4(F.col("ece"), "ece_raw"), r4(F.col("ece2"), "ece_calibrated"), F.round("threshold", 6).alias("threshold"), r4(F.col("f") / F.col("n"), "flagged"),
+        r4(F.try_divide("wf", "w"), "errors_caught"), r4(1 - F.try_divide(F.col("w") - F.col("wf"), F.col("n") - F.col("f")), "unflagged_right"),
+    )
     first = Window.orderBy(F.col("auroc").desc(), "o")  # a row for each aggregator
     return out.withColumn("best", F.row_number().over(first) == 1).drop("o")

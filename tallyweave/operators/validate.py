@@ -170,8 +170,15 @@ def corrections_diff(read: DataFrame, truth: DataFrame) -> DataFrame:
     return rows.where(~same)
 
 
-def apply_corrections(leaves: DataFrame, edits: DataFrame) -> DataFrame:
-    """Leaves (bill_id, path, value) with edits (bill_id, path, seq, value): the last edit of a path wins, unknown paths are ignored."""
+def apply_corrections(records: DataFrame, edits: DataFrame) -> DataFrame:
+    """Records (bill_id, bill) with edits (bill_id, path, seq, value) put in: the last edit of a path wins, unknown paths are ignored."""
+    from tallyweave.operators.normalise import leaf_paths, nest_leaves
+
+    return nest_leaves(correct_leaves(leaf_paths(records), edits))
+
+
+def correct_leaves(leaves: DataFrame, edits: DataFrame) -> DataFrame:
+    """Leaves (bill_id, path, value) after the edits."""
     last = edits.groupBy("bill_id", "path").agg(F.max_by("value", "seq").alias("new"))
     return leaves.join(last.hint("merge"), ["bill_id", "path"], "left").select("bill_id", "path", F.coalesce("new", "value").alias("value"))
 

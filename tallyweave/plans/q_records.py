@@ -255,7 +255,7 @@ def edits(spark, d):
 
 @query("apply_corrections", f"WITH {LEAVES}, {EDITS} SELECT l.bill_id, l.path, coalesce(e.value, l.value) AS value FROM pred_leaves l LEFT JOIN (SELECT bill_id, path, max_by(value, seq) AS value FROM edits GROUP BY bill_id, path) e ON l.bill_id = e.bill_id AND l.path = e.path")
 def apply_corrections(spark, d):
-    return V.apply_corrections(N.leaf_paths(predicted(spark, d)), edits(spark, d))
+    return N.leaf_paths(V.apply_corrections(predicted(spark, d), edits(spark, d)))
 
 
 @query("top_examples", f"WITH {ISSUES} SELECT bill_id, path, message FROM issues WHERE severity = 'error' ORDER BY bill_id, path, message LIMIT 10")

@@ -34,12 +34,22 @@ def stream_stall_sessions(spark, d):
     return J.finish(J.stall_sessions(J.stream_of(rows, "beats")), "stalls")
 
 
-@query("stream_load_windows", """SELECT event_type AS level, date_trunc('hour', ts) AS start, count(*) AS n, round(avg(value), 4) AS mean, max(value) AS longest FROM events GROUP BY 1, 2 HAVING date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events)""")
+_LOAD = "count(*) AS n, round(avg(value), 4) AS mean, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, max(value) AS longest"
+
+
+@query("stream_load_windows", f"SELECT event_type AS level, date_trunc('hour', ts) AS start, {_LOAD} FROM events GROUP BY 1, 2 HAVING date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events)")
 def stream_load_windows(spark, d):
     rows = view(spark, d, "events").select(F.col("event_type").alias("level"), "ts", "value")
     return J.finish(J.load_windows(J.stream_of(rows, "requests")), "load")
 
 
+@query("stream_load_sliding", f"""WITH b AS (SELECT *, time_bucket(INTERVAL 30 MINUTE, ts) AS start FROM events), w AS (SELECT * FROM b UNION ALL SELECT * REPLACE (start - INTERVAL 30 MINUTE AS start) FROM b)
+  SELECT event_type AS level, start, {_LOAD} FROM w GROUP BY 1, 2 HAVING start + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events)""")
+def stream_load_sliding(spark, d):
+    rows = view(spark, d, "events").select(F.col("event_type").alias("level"), "ts", "value")
+    return J.finish(J.load_windows(J.stream_of(rows, "requests"), "1 hour", "30 minutes"), "load")
+
+
 @query("stream_score_drift", """WITH w AS (SELECT event_type AS kind, time_bucket(INTERVAL 6 HOUR, ts) AS start, CASE WHEN value < length(event_type) * 3 THEN 1 ELSE 0 END AS f FROM events)
   SELECT kind, start, count(*) AS n, round(avg(f), 4) AS flagged FROM w GROUP BY 1, 2 HAVING start + INTERVAL 6 HOUR <= (SELECT max(ts) FROM events)""")
 def stream_score_drift(spark, d):

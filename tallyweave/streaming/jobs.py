@@ -48,29 +48,47 @@ def event_time(rows: DataFrame, column: str = "ts") -> DataFrame:
     return rows.withColumn(column, F.col(column).cast("timestamp"))
 
 
-def validate_edits(edits: DataFrame, bills: DataFrame, items: DataFrame, charges: DataFrame) -> DataFrame:
-    """Issues after a stream of edits (bill_id, path, seq, cents) to bill totals: the last edit of a path wins.
+def _versions(spark: SparkSession, base: str) -> list[int]:
+    """Numbers of the complete versions below a folder."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
+    done = [n for n in names if n[:1] == "v" and n[1:].isdigit() and fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{base}/{n}/_SUCCESS"))]
+    return sorted(int(n[1:]) for n in done)
+
+
+def merge_edits(batch: DataFrame, batch_id: int, base: str) -> None:
+    """Writes version batch_id of the edits' state: the last edit of each path of a bill in the version before it and the batch.
 
-    Each micro-batch merges its latest edits into a new version of the current-state table, so a batch that is run again
+    The version before is looked up in storage, so a job that starts again goes on from it, and a batch that is run again
     writes the same version again.
     """
+    spark = batch.sparkSession
+    latest = batch.groupBy("bill_id", "path").agg(F.max(F.struct("seq", "cents")).alias("e"))
+    before = [v for v in _versions(spark, base) if v < batch_id]
+    if before:
+        latest = spark.read.parquet(f"{base}/v{before[-1]}").unionByName(latest).groupBy("bill_id", "path").agg(F.max("e").alias("e"))
+    latest.write.mode("overwrite").parquet(f"{base}/v{batch_id}")
+
+
+def current_edits(spark: SparkSession, base: str) -> DataFrame:
+    """(bill_id, path, e): the last version."""
+    found = _versions(spark, base)
+    return spark.read.parquet(f"{base}/v{found[-1]}") if found else spark.createDataFrame([], "bill_id long, path string, e struct<seq:int,cents:long>")
+
+
+def validate_edits(edits: DataFrame, bills: DataFrame, items: DataFrame, charges: DataFrame, job: str | None = None) -> DataFrame:
+    """Issues after a stream of edits (bill_id, path, seq, cents) to bill totals: the last edit of a path wins.
+
+    job: a lasting folder of the caller's for state and checkpoint; a call with the same folder goes on where the last one
+    ended. Each micro-batch merges its edits into a new version of the state (merge_edits).
+    """
     spark = edits.sparkSession
-    base, checkpoint = shared_path(spark, "edit-state"), shared_path(spark, "edit-checkpoint")
-    versions: dict[str, int] = {}
-
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        latest = batch.groupBy("bill_id", "path").agg(F.max(F.struct("seq", "cents")).alias("e"))
-        if "last" in versions and versions["last"] < batch_id:
-            old = spark.read.parquet(f"{base}/v{versions['last']}")
-            latest = old.unionByName(latest).groupBy("bill_id", "path").agg(F.max("e").alias("e"))
-        latest.write.mode("overwrite").parquet(f"{base}/v{batch_id}")
-        versions["last"] = batch_id
-
-    edits.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    state = spark.read.parquet(f"{base}/v{versions['last']}") if versions else spark.createDataFrame([], "bill_id long, path string, e struct<seq:int,cents:long>")
+    job = job or shared_path(spark, "edit-job")
+    edits.writeStream.foreachBatch(lambda batch, n: merge_edits(batch, n, f"{job}/state")).option("checkpointLocation", f"{job}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     pick = lambda p: F.max(F.when(F.col("path") == p, F.col("e.cents"))).alias(p)
-    now = state.groupBy("bill_id").agg(pick("subtotal"), pick("grand_total"))
-    current = bills.join(now, "bill_id", "left").withColumn("subtotal_cents", F.coalesce("subtotal", "subtotal_cents")).withColumn("grand_cents", F.coalesce("grand_total", "grand_cents"))
+    now = current_edits(spark, f"{job}/state").groupBy("bill_id").agg(pick("subtotal"), pick("grand_total"))
+    current = bills.join(now.hint("merge"), "bill_id", "left").withColumn("subtotal_cents", F.coalesce("subtotal", "subtotal_cents")).withColumn("grand_cents", F.coalesce("grand_total", "grand_cents"))
     return check_arithmetic(current, items, charges)
 
 
@@ -85,11 +103,13 @@ def stall_sessions(beats: DataFrame, limit: str = "12 hours") -> DataFrame:
     return s.select("run", F.col("stalled_after").cast("timestamp_ntz").alias("stalled_after"), "beats")
 
 
-def load_windows(requests: DataFrame, size: str = "1 hour") -> DataFrame:
-    """(level, start, n, mean, longest) of closed tumbling windows."""
-    w = event_time(requests).withWatermark("ts", "0 seconds").groupBy("level", F.window("ts", size).alias("w"))
-    a = w.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 4).alias("mean"), F.max("value").alias("longest"))
-    return a.select("level", F.col("w.start").cast("timestamp_ntz").alias("start"), "n", "mean", "longest")
+def load_windows(requests: DataFrame, size: str = "1 hour", slide: str | None = None) -> DataFrame:
+    """(level, start, n, mean, p50, p95, longest) of closed windows, tumbling or sliding. Percentiles are approximate (state of
+    fixed size): one of the window's values, exact up to some thousand of them."""
+    w = event_time(requests).withWatermark("ts", "0 seconds").groupBy("level", F.window("ts", size, slide).alias("w"))
+    p = F.percentile_approx("value", [0.5, 0.95], 10_000)
+    a = w.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 4).alias("mean"), p.alias("p"), F.max("value").alias("longest"))
+    return a.select("level", F.col("w.start").cast("timestamp_ntz").alias("start"), "n", "mean", F.col("p")[0].alias("p50"), F.col("p")[1].alias("p95"), "longest")
 
 
 def score_drift(readings: DataFrame, thresholds: DataFrame, size: str = "6 hours") -> DataFrame:

@@ -1,3 +1,6 @@
+import random
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,6 +12,7 @@ from tallyweave.operators import scoring as S
 from tallyweave.operators import validate as V
 from tallyweave.sources import readers as S2
 from tallyweave.sources.readers import nested_receipt, parse_entities
+from tallyweave.streaming import jobs as J
 
 
 @pytest.mark.parametrize("raw", ["[1, 2]", '"text"', "null", "3", "garbage", "", None, '{"items": 5}'])
@@ -51,6 +55,93 @@ def test_isotonic_is_monotone_and_calibrates(spark):
     assert C.calibrated_ece(rows, "s").first().ece < C.ece(rows, "s").first().ece
 
 
+def pooled(points):
+    """Pool adjacent violators over distinct scores (s, right, n): (scores, fitted values)."""
+    blocks = []
+    for s, c, n in sorted(points):
+        blocks.append([c, n, [s]])
+        while len(blocks) > 1 and blocks[-2][0] / blocks[-2][1] >= blocks[-1][0] / blocks[-1][1]:
+            c, n, ss = blocks.pop()
+            blocks[-1] = [blocks[-1][0] + c, blocks[-1][1] + n, blocks[-1][2] + ss]
+    return [s for b in blocks for s in b[2]], [b[0] / b[1] for b in blocks for _ in b[2]]
+
+
+def counted(rows):
+    by = {}
+    for s, right in rows:
+        c, n = by.get(s, (0, 0))
+        by[s] = (c + right, n + 1)
+    return [(s, c, n) for s, (c, n) in by.items()]
+
+
+def error(rows):
+    bins = {}
+    for s, right in rows:
+        b = bins.setdefault(sum(s >= i / 10 for i in range(1, 10)), [])
+        b.append((s, right))
+    return sum(abs(sum(s for s, _ in b) - sum(r for _, r in b)) for b in bins.values()) / len(rows)
+
+
+def test_calibration_matches_brute_force(spark):
+    r = random.Random(9)
+    rows = []
+    for i in range(900):
+        x = round(r.random() ** 0.4, 2)
+        rows.append((i % 90, x, round((1 + x) / 2, 3), round(r.random(), 3), int(r.random() < x * x)))
+    fields = spark.createDataFrame(rows, "bill_id long, p_min double, p_mean double, p_first double, correct int").repartition(4)
+    at, fitted = pooled(counted([(x[1], x[4]) for x in rows]))
+    want = np.interp(np.arange(101) / 100, at, fitted)
+    got = [x.p for x in C.isotonic_calibrate(fields, "p_min").orderBy("score").collect()]
+    assert np.abs(np.array(got) - np.clip(want, 0, 1)).max() < 1e-4
+    report = {x.score: x for x in C.calibration_report(fields).collect()}
+    for col, name in ((3, "p_first"), (2, "p_mean"), (1, "p_min")):
+        pairs, row = [(x[col], x[4]) for x in rows], report[name]
+        pos, neg = [s for s, c in pairs if c], [s for s, c in pairs if not c]
+        auroc = sum((p > q) + (p == q) / 2 for p in pos for q in neg) / len(pos) / len(neg)
+        mapped = []
+        for fold in (0, 1):
+            xs, ys = pooled(counted([(x[col], x[4]) for x in rows if x[0] % 2 != fold]))
+            mapped += [(float(np.clip(np.interp(x[col], xs, ys), 0, 1)), x[4]) for x in rows if x[0] % 2 == fold]
+        cut = float(np.quantile([s for s, _ in pairs], 0.08))
+        flagged, wrong = [c for s, c in pairs if s < cut], sum(1 - c for _, c in pairs)
+        caught = sum(1 - c for c in flagged)
+        want = (auroc, error(pairs), error(mapped), cut, len(flagged) / 900, caught / wrong, 1 - (wrong - caught) / (900 - len(flagged)))
+        assert tuple(row)[1:8] == pytest.approx(want, abs=1e-4), name
+    assert [n for n, x in report.items() if x.best] == [max(report, key=lambda n: report[n].auroc)]
+    assert C.auroc(fields.limit(0), "p_min").count() in (0, 1) and C.threshold_for_precision(fields.limit(0), "p_min", 0.9).first().threshold == 1.01
+
+
+def test_corrected_leaves_make_records_again(spark):
+    raw = '{"items": [{"name": "Tea", "qty": "2", "unit_price": "5", "total": "10"}, {"name": "Pie"}], "charges": [{"type": "TAX", "amount": "1"}], "subtotal": "10", "grand_total": "11"}'
+    bills = N.ensure_schema(spark.createDataFrame([(1, raw), (2, "{}")], "bill_id long, raw string")).select("bill_id", "bill")
+    assert {r.bill_id: r.bill for r in N.nest_leaves(N.leaf_paths(bills)).collect()} == {r.bill_id: r.bill for r in bills.collect()}
+    edits = spark.createDataFrame([(1, "items[1].name", 0, "Pi"), (1, "items[1].name", 1, "Big pie"), (1, "items[7].name", 2, "x"), (2, "grand_total", 0, "3")], "bill_id long, path string, seq int, value string")
+    got = {r.bill_id: r.bill for r in V.apply_corrections(bills, edits).collect()}
+    assert [i["name"] for i in got[1]["items"]] == ["Tea", "Big pie"] and got[1]["charges"][0]["amount"] == "1" and got[2]["grand_total"] == "3" and got[2]["items"] == []
+
+
+def test_edit_stream_resumes_and_repeats_batches(spark, tmp_path):
+    schema = "bill_id long, path string, seq int, cents long"
+    first = spark.createDataFrame([(1, "grand_total", 1, 50), (2, "grand_total", 1, 70)], schema)
+    second = spark.createDataFrame([(1, "grand_total", 0, 9), (2, "subtotal", 2, 60), (2, "grand_total", 3, 99)], schema)
+    base = f"file://{tmp_path}/state"
+    for batch_id, batch in ((0, first), (1, second), (1, second)):
+        J.merge_edits(batch, batch_id, base)
+    state = {(r.bill_id, r.path): r.e.cents for r in J.current_edits(spark, base).collect()}
+    assert state == {(1, "grand_total"): 50, (2, "subtotal"): 60, (2, "grand_total"): 99}
+    bills = spark.createDataFrame([(1, 40, 40), (2, 60, 60)], "bill_id long, subtotal_cents long, grand_cents long")
+    items = spark.createDataFrame([], "bill_id long, item_idx int, qty int, unit_cents long, total_cents long")
+    charges = spark.createDataFrame([], "bill_id long, charge_idx int, type string, amount_cents long")
+    job = f"file://{tmp_path}/job"
+    for rows, want in ((first, {}), (second.withColumn("cents", F.col("cents") * 100), {2})):
+        rows.write.mode("append").parquet(f"{tmp_path}/edits")
+        stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/edits")
+        found = J.validate_edits(stream, bills, items, charges, job)
+        assert {r.bill_id for r in found.where("path = 'grand_total'").collect()} == set(want)
+    state = {(r.bill_id, r.path): r.e.cents for r in J.current_edits(spark, f"{job}/state").collect()}
+    assert state == {(1, "grand_total"): 50, (2, "subtotal"): 6000, (2, "grand_total"): 9900}
+
+
 def test_guards(spark):
     nan = float("nan")
     runs = {1: [1.0, nan, 0.9, nan, 0.8], 2: [1.0, nan, nan, nan], 3: [1.0, 0.8, 4.0], 4: [0.5, 0.000001]}
