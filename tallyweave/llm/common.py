@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -17,11 +16,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder from spark.checkpoint.dir; a folder of our own only where that is unset."""
+    """The cluster's shared folder from spark.checkpoint.dir; a folder in the warehouse only where that is unset."""
     sc = spark.sparkContext
     shared = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
-        shared = "file://" + tempfile.mkdtemp(prefix="tallyweave-")
+        shared = f"{spark.conf.get('spark.sql.warehouse.dir')}/tallyweave-scratch"
         spark.conf.set("spark.checkpoint.dir", shared)
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(shared)

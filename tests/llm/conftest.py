@@ -1,3 +1,5 @@
+import os
+
 import pytest
 
 TEXT = "the quick brown fox jumps over the lazy dog and runs far away into the deep dark forest of the northern hills"
@@ -21,3 +23,10 @@ def edge(spark):
 @pytest.fixture(scope="session")
 def empty(spark):
     return make(spark, [(1, "x")]).limit(0)
+
+
+@pytest.fixture(scope="session")
+def larger_sf(sf_dir):
+    """Enough rows to fit a classifier or measure recall: sf0.01 beside the tests' own folder where that is smaller."""
+    beside = f"{os.path.dirname(sf_dir.rstrip('/'))}/sf0.01"
+    return beside if sf_dir.rstrip("/").endswith("sf0.001") and os.path.isdir(beside) else sf_dir
