@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir), works on all that the stage before kept, and returns a DataFrame; all but the last
 return the columns of documents. run() writes each stage's result to the shared folder and reads it back for the next.
+
+Null, empty and letterless texts go in the first stage. Rows that repeat a doc_id are rows of their own, but near-dedup takes
+them as one document. Null doc_ids stay unless their text equals one of a row with an id; null sources are a source of their
+own. Very long texts are worked on whole. Extra columns are kept. An empty table gives an empty table in every stage.
 """
 
 from __future__ import annotations
@@ -49,7 +53,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("BPE encoding", encode),
 ]
 
-#: Near-dedup and balanced sampling have no SQL form; the stages are tested one by one.
+#: Near-dedup and balanced sampling have no SQL form; each stage's operator is tested against brute force or the library.
 ORACLE_SQL = None
 
 
