@@ -8,11 +8,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def mean6(x: str | Column) -> Column:
-    """The mean of numbers not under 0, rounded half up to six places: exact sums of billionths, so no order of adding shows."""
+def exact_mean(x: str | Column, places: int = 6) -> Column:
+    """The mean of numbers, rounded half up to so many places (9 at most): exact sums of billionths, so no order of adding shows."""
     x = F.col(x) if isinstance(x, str) else x
+    unit = 10 ** (9 - places)
     s, n = F.sum(F.round(x * 1_000_000_000).cast("decimal(20,0)")), F.count(x)
-    return F.floor((2 * s + 1000 * n).cast("decimal(38,0)") / (2000 * n).cast("decimal(20,0)")).cast("double") / 1_000_000
+    top, bottom = (2 * s + unit * n).cast("decimal(38,0)"), (2 * unit * n).cast("decimal(20,0)")
+    return ((top - F.pmod(top, bottom)) / bottom).cast("double") / 10**places
 
 
 def fields_from_tokens(tokens: DataFrame, lists: Sequence[str] = ("items", "charges"), stop: Sequence[str] = ("</s>", "<pad>")) -> DataFrame:
@@ -118,9 +120,9 @@ def throughput(rows: DataFrame, group: str) -> DataFrame:
 
 def curve_table(log: DataFrame, series: Sequence[str]) -> DataFrame:
     """(epoch, loss, <series>...): mean loss and one column for each validation series of log (epoch, loss, val map)."""
-    base = log.groupBy("epoch").agg(mean6("loss").alias("loss"))
+    base = log.groupBy("epoch").agg(exact_mean("loss").alias("loss"))
     long = log.select("epoch", F.explode("val").alias("series", "v"))
-    wide = long.groupBy("epoch").agg(*(mean6(F.when(F.col("series") == s, F.col("v"))).alias(s) for s in series))
+    wide = long.groupBy("epoch").agg(*(exact_mean(F.when(F.col("series") == s, F.col("v"))).alias(s) for s in series))
     return base.join(wide.hint("merge"), "epoch", "left")
 
 

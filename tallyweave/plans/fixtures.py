@@ -117,8 +117,10 @@ VIEWS: dict[str, str] = {
 }
 
 
-#: DuckDB text of operators.runs.mean6.
-MEAN6 = "CAST((2 * CAST(sum(CAST(round({x} * 1000000000) AS BIGINT)) AS HUGEINT) + 1000 * count({x})) // (2000 * count({x})) AS DOUBLE) / 1000000"
+def mean_sql(x: str, places: int = 6) -> str:
+    """DuckDB text of operators.runs.exact_mean for numbers not under 0."""
+    unit = 10 ** (9 - places)
+    return f"CAST((2 * CAST(sum(CAST(round({x} * 1000000000) AS BIGINT)) AS HUGEINT) + {unit} * count({x})) // ({2 * unit} * count({x})) AS DOUBLE) / {10**places}"
 
 
 def _needed(sql: str, seen: list[str]) -> None:

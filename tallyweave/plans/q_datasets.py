@@ -8,7 +8,7 @@ from tallyweave.operators import datasets as D
 from tallyweave.operators import runs as R
 from tallyweave.operators import validate as V
 from tallyweave.operators.normalise import RECORD, tagged_text
-from tallyweave.plans.fixtures import MEAN6, view
+from tallyweave.plans.fixtures import mean_sql, view
 from tallyweave.plans.q_records import _PROBLEMS, ISSUES, canon, predicted
 from tallyweave.registry import query
 
@@ -214,7 +214,7 @@ def throughput(spark, d):
     return R.throughput(view(spark, d, "events").select(F.col("user_id").alias("level"), start.alias("start"), (start + F.col("value")).alias("end"), (F.col("event_type") != "error").alias("ok")), "level")
 
 
-@query("curve_table", f"WITH c AS (SELECT epoch, CASE WHEN NOT isnan(loss) THEN loss END AS l, score AS s, CASE WHEN run % 2 = 0 THEN score END AS h FROM run_log) SELECT epoch, {MEAN6.format(x='l')} AS loss, {MEAN6.format(x='s')} AS bill, {MEAN6.format(x='h')} AS header FROM c GROUP BY epoch")
+@query("curve_table", f"WITH c AS (SELECT epoch, CASE WHEN NOT isnan(loss) THEN loss END AS l, score AS s, CASE WHEN run % 2 = 0 THEN score END AS h FROM run_log) SELECT epoch, {mean_sql('l')} AS loss, {mean_sql('s')} AS bill, {mean_sql('h')} AS header FROM c GROUP BY epoch")
 def curve_table(spark, d):
     log = view(spark, d, "run_log").withColumn("loss", F.when(~F.isnan("loss"), F.col("loss")))
     val = F.when(F.col("run") % 2 == 0, F.create_map(F.lit("bill"), "score", F.lit("header"), "score")).otherwise(F.create_map(F.lit("bill"), "score"))

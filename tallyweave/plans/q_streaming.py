@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyweave.plans.fixtures import view
+from tallyweave.plans.fixtures import mean_sql, view
 from tallyweave.plans.q_datasets import GUARDS
 from tallyweave.plans.q_records import EDITS, ISSUES, edits
 from tallyweave.registry import query
@@ -34,7 +34,7 @@ def stream_stall_sessions(spark, d):
     return J.finish(J.stall_sessions(J.stream_of(rows, "beats")), "stalls")
 
 
-_LOAD = "count(*) AS n, round(avg(value), 4) AS mean, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, max(value) AS longest"
+_LOAD = f"count(*) AS n, {mean_sql('value', 4)} AS mean, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, max(value) AS longest"
 
 
 @query("stream_load_windows", f"SELECT event_type AS level, date_trunc('hour', ts) AS start, {_LOAD} FROM events GROUP BY 1, 2 HAVING date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events)")

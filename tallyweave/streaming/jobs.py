@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tallyweave.operators.runs import exact_mean
 from tallyweave.operators.validate import check_arithmetic
 from tallyweave.sources.readers import shared_path
 
@@ -108,7 +109,7 @@ def load_windows(requests: DataFrame, size: str = "1 hour", slide: str | None =
     fixed size): one of the window's values, exact up to some thousand of them."""
     w = event_time(requests).withWatermark("ts", "0 seconds").groupBy("level", F.window("ts", size, slide).alias("w"))
     p = F.percentile_approx("value", [0.5, 0.95], 10_000)
-    a = w.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 4).alias("mean"), p.alias("p"), F.max("value").alias("longest"))
+    a = w.agg(F.count(F.lit(1)).alias("n"), exact_mean("value", 4).alias("mean"), p.alias("p"), F.max("value").alias("longest"))
     return a.select("level", F.col("w.start").cast("timestamp_ntz").alias("start"), "n", "mean", F.col("p")[0].alias("p50"), F.col("p")[1].alias("p95"), "longest")
 
 

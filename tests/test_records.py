@@ -177,7 +177,7 @@ def test_files_of_small_documents(spark, tmp_path):
 
 def test_means_do_not_depend_on_the_order_of_adding(spark):
     rows = spark.createDataFrame([(x,) for x in [0.4197, 0.4196, 0.4197, 0.4196, 0.4198, 0.4195, 0.4197, 0.4197]], "x double")
-    assert rows.agg(R.mean6("x").alias("m")).first().m == 0.419663 and rows.limit(0).agg(R.mean6("x").alias("m")).first().m is None
+    assert rows.agg(R.exact_mean("x").alias("m")).first().m == 0.419663 and rows.limit(0).agg(R.exact_mean("x").alias("m")).first().m is None
 
 
 def test_entities_and_receipts(spark):
