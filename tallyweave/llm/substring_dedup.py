@@ -4,13 +4,15 @@ A word is a run of bytes other than white space. The gear hash of the bytes up t
 every `span` successive words the one with the least hash ends a chunk. So cuts depend on a few bytes around them, chunks
 vary in length up to `span` words, and an insertion moves the cuts near it only.
 
-1. Chunks are deduplicated by digest: digests that several documents have go to a bit table of fixed size (filter_bits).
+1. Equal texts are held against the earliest document that has the text (smallest doc_id), which alone goes through the
+   next steps for them. Their chunks would all repeat.
+2. Chunks are deduplicated by digest: digests that several texts have go to a bit table of fixed size (filter_bits).
    A false bit costs work only.
-2. A window is `min_words` successive words. `span` is so short that every window holds at least one whole chunk whose cuts
+3. A window is `min_words` successive words. `span` is so short that every window holds at least one whole chunk whose cuts
    its own words decide, whatever stands around it. A window with such a chunk that one document alone has cannot repeat.
    The other windows are keyed by the hash of all their bytes; the earliest document of each key (smallest doc_id) is its
    source and holds the whole window; later documents with the key are held against it.
-3. The common windows of such a pair are checked byte by byte and extended in both directions to the whole common passage.
+4. The common windows of such a pair are checked byte by byte and extended in both directions to the whole common passage.
 
 So every window that an earlier document holds is inside a passage of the result, however short or long its words are, and
 also where still earlier documents hold parts of it.
@@ -122,6 +124,22 @@ def _window_min(x: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def _first_of_equal_texts(rows: DataFrame, filter_bits: int) -> tuple[DataFrame, DataFrame]:
+    """Of rows (id, text): those (id, text) whose text no smaller id has, and the others as (id, source), source the least id.
+
+    Only texts whose digest may repeat are shuffled: others are told by a bit table of fixed size.
+    """
+    rows = rows.withColumn("digest", F.sha2("text", 256))
+    groups = rows.groupBy("digest").agg(F.min("id").alias("source"), F.max("id").alias("last")).where("source < last").select("digest", "source")
+    groups = stored(groups, "equal")  # so that the join of a text that very many documents have can be split
+    marks = bit_table(groups.select(F.xxhash64("digest")), filter_bits)
+    maybe = where_maybe_in(rows, F.col("digest"), marks)
+    maybe = stored(maybe.join(groups.hint("merge"), "digest", "left").select("id", "text", "source"), "maybe-equal")
+    alone = where_maybe_in(rows, F.col("digest"), ~marks).select("id", "text")
+    first = maybe.where("source is null or id = source").select("id", "text")
+    return alone.union(first), maybe.where("id > source").select("id", "source")
+
+
 def _keyed(docs: DataFrame, keys) -> DataFrame:
     """(h, id): the distinct keys of each text of docs (id, text); keys: Words -> hashes."""
 
@@ -181,12 +199,13 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str =
     def several(keyed: DataFrame) -> DataFrame:
         return keyed.groupBy("h").agg(F.min("id").alias("source"), F.max("id").alias("last")).where("source < last").select("h", "source")
 
-    chunks = several(_keyed(rows, lambda w: w.chunks(chunk_span(min_words))))
+    firsts, copies = _first_of_equal_texts(rows, filter_bits)
+    chunks = _keyed(firsts, lambda w: w.chunks(chunk_span(min_words))).groupBy("h").count().where("count > 1")
     shared = docs.sparkSession.sparkContext.broadcast(bit_table(chunks.select("h"), filter_bits))  # fixed size
-    windows = stored(_keyed(rows, lambda w: w.hashes(min_words)[w.may_repeat(min_words, shared.value)]), "windows")
+    windows = stored(_keyed(firsts, lambda w: w.hashes(min_words)[w.may_repeat(min_words, shared.value)]), "windows")
     # Stored, so that both sides of the join are shuffled and a window that very many documents hold can be split.
     repeats = windows.join(stored(several(windows), "sources").hint("merge"), "h").where("id > source")
-    pairs = stored(repeats.select("id", "source").distinct(), "pairs")
+    pairs = stored(repeats.select("id", "source").union(copies).distinct(), "pairs")
 
     ids = pairs.select(F.xxhash64("id")).union(pairs.select(F.xxhash64("source")))
     texts = where_maybe_in(rows, F.col("id"), bit_table(ids))
