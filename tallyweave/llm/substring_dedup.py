@@ -4,8 +4,8 @@ A word is a run of bytes other than white space. The gear hash of the bytes up t
 every `span` successive words the one with the least hash ends a chunk. So cuts depend on a few bytes around them, chunks
 vary in length up to `span` words, and an insertion moves the cuts near it only.
 
-1. Equal texts are held against the earliest document that has the text (smallest doc_id), which alone goes through the
-   next steps for them. Their chunks would all repeat.
+1. Of documents with equal texts only the earliest (smallest doc_id) goes through steps 2 and 3. The others have its sources,
+   and itself where it is the source of any of its windows.
 2. Chunks are deduplicated by digest: digests that several texts have go to a bit table of fixed size (filter_bits).
    A false bit costs work only.
 3. A window is `min_words` successive words. `span` is so short that every window holds at least one whole chunk whose cuts
@@ -39,6 +39,8 @@ MIN_WORDS = 50
 FILTER_BITS = 28
 #: The gear hash reaches over so many bytes, and so over half as many words at most.
 REACH = 8
+#: Stands among the window keys of a text for all its windows that cannot repeat.
+OWN = -1
 
 _gear = np.random.RandomState(20240501).randint(0, 2**16, 256).astype(np.uint16)
 
@@ -125,7 +127,7 @@ def _window_min(x: np.ndarray, n: int) -> np.ndarray:
 
 
 def _first_of_equal_texts(rows: DataFrame, filter_bits: int) -> tuple[DataFrame, DataFrame]:
-    """Of rows (id, text): those (id, text) whose text no smaller id has, and the others as (id, source), source the least id.
+    """Of rows (id, text): those (id, text) whose text no smaller id has, and the others as (id, first), first the least id.
 
     Only texts whose digest may repeat are shuffled: others are told by a bit table of fixed size.
     """
@@ -137,7 +139,7 @@ def _first_of_equal_texts(rows: DataFrame, filter_bits: int) -> tuple[DataFrame,
     maybe = stored(maybe.join(groups.hint("merge"), "digest", "left").select("id", "text", "source"), "maybe-equal")
     alone = where_maybe_in(rows, F.col("digest"), ~marks).select("id", "text")
     first = maybe.where("source is null or id = source").select("id", "text")
-    return alone.union(first), maybe.where("id > source").select("id", "source")
+    return alone.union(first), maybe.where("id > source").select("id", F.col("source").alias("first"))
 
 
 def _keyed(docs: DataFrame, keys) -> DataFrame:
@@ -196,16 +198,25 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str =
     rows = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
 
-    def several(keyed: DataFrame) -> DataFrame:
-        return keyed.groupBy("h").agg(F.min("id").alias("source"), F.max("id").alias("last")).where("source < last").select("h", "source")
-
     firsts, copies = _first_of_equal_texts(rows, filter_bits)
     chunks = _keyed(firsts, lambda w: w.chunks(chunk_span(min_words))).groupBy("h").count().where("count > 1")
     shared = docs.sparkSession.sparkContext.broadcast(bit_table(chunks.select("h"), filter_bits))  # fixed size
-    windows = stored(_keyed(firsts, lambda w: w.hashes(min_words)[w.may_repeat(min_words, shared.value)]), "windows")
-    # Stored, so that both sides of the join are shuffled and a window that very many documents hold can be split.
-    repeats = windows.join(stored(several(windows), "sources").hint("merge"), "h").where("id > source")
-    pairs = stored(repeats.select("id", "source").union(copies).distinct(), "pairs")
+
+    def window_keys(words: Words) -> np.ndarray:
+        may = words.may_repeat(min_words, shared.value)
+        found = words.hashes(min_words)[may]
+        return found if may.all() else np.append(found, OWN)
+
+    # Stored, so that both sides of a join are shuffled and a window or text that very many documents hold can be split.
+    windows = stored(_keyed(firsts, window_keys), "windows")
+    sources = windows.where(F.col("h") != OWN).groupBy("h").agg(F.min("id").alias("source"), F.max("id").alias("last"))
+    sources = stored(sources, "sources")
+    repeats = windows.join(sources.where("source < last").select("h", "source").hint("merge"), "h").where("id > source")
+    of_firsts = stored(repeats.select("id", "source").distinct(), "first-pairs")
+    owners = stored(windows.where(F.col("h") == OWN).select("id").union(sources.select("source")).distinct(), "owners")
+    of_copies = copies.join(of_firsts.select(F.col("id").alias("first"), "source").hint("merge"), "first").select("id", "source")
+    firsts_as_sources = copies.join(owners.select(F.col("id").alias("first")).hint("merge"), "first", "left_semi").select("id", F.col("first").alias("source"))
+    pairs = stored(of_firsts.union(of_copies).union(firsts_as_sources).distinct(), "pairs")
 
     ids = pairs.select(F.xxhash64("id")).union(pairs.select(F.xxhash64("source")))
     texts = where_maybe_in(rows, F.col("id"), bit_table(ids))
