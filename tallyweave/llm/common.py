@@ -35,6 +35,21 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a lookup table up to which it is broadcast.
+SMALL = 100_000
+
+
+def join_labels(rows: DataFrame, by_label: DataFrame, label: str) -> DataFrame:
+    """rows with the columns of by_label, a row for each label; null labels match each other.
+
+    by_label is broadcast where it was counted to have at most SMALL rows; beyond that it is a merge join, whose large
+    partitions adaptive execution may split.
+    """
+    small = stored(by_label.withColumnRenamed(label, "__label"), "labels")
+    how = "broadcast" if small.count() <= SMALL else "merge"
+    return rows.join(small.hint(how), rows[label].eqNullSafe(small["__label"]), "left").drop("__label")
+
+
 def unit_hash(*cols: Column) -> Column:
     """A repeatable number in [0, 1) for a row."""
     return F.pmod(F.xxhash64(*cols), F.lit(1 << 30)) / F.lit(float(1 << 30))
