@@ -9,10 +9,14 @@ from pyspark.sql import functions as F
 
 
 def exact_mean(x: str | Column, places: int = 6) -> Column:
-    """The mean of numbers, rounded half up to so many places (9 at most): exact sums of billionths, so no order of adding shows."""
+    """The mean of numbers, rounded half up to so many places (9 at most): exact sums of billionths, so no order of adding shows.
+
+    Nulls, NaN and numbers of 1e18 and more in size (infinities too) don't count; without others the mean is null.
+    """
     x = F.col(x) if isinstance(x, str) else x
+    x = F.when(F.abs(x) < 1e18, x)  # NaN is above every number
     unit = 10 ** (9 - places)
-    s, n = F.sum(F.round(x * 1_000_000_000).cast("decimal(20,0)")), F.count(x)
+    s, n = F.sum(F.round(x * 1_000_000_000).cast("decimal(28,0)")), F.count(x)
     top, bottom = (2 * s + unit * n).cast("decimal(38,0)"), (2 * unit * n).cast("decimal(20,0)")
     return ((top - F.pmod(top, bottom)) / bottom).cast("double") / 10**places
 

@@ -97,8 +97,12 @@ VIEWS: dict[str, str] = {
         FROM documents""",
     "run_log": """
         SELECT user_id AS run, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INT) AS epoch,
-               CASE WHEN event_id % 97 < 3 THEN CAST('NaN' AS DOUBLE) ELSE value / 100 END AS loss, CAST(event_id % 1000 AS DOUBLE) / 1000 AS score
+               CASE WHEN event_id % 97 < 3 THEN CAST('NaN' AS DOUBLE) ELSE value / 100 END AS loss, CAST(event_id % 1000 AS DOUBLE) / 1000 AS score, ts, event_id
         FROM events""",
+    # Events in three deliveries: out of order by up to 40 places, and one in 97 by 600.
+    "arrivals": """
+        SELECT event_id, ts, user_id, event_type, value, CAST(least(2, floor((event_id + event_id * 7919 % 40 + CASE WHEN event_id % 97 = 5 THEN 600 ELSE 0 END) * 3 / n)) AS INT) AS part
+        FROM events, (SELECT count(*) AS n FROM events) c""",
     "headers": """
         SELECT o_orderkey AS id, c_name AS company, n_name AS address, CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS STRING) AS total,
                CASE o_orderkey % 9 WHEN 0 THEN '2018-03-12' WHEN 1 THEN '12/03/2018' WHEN 2 THEN '12-03-18' WHEN 3 THEN '12.03.2018'
@@ -149,15 +153,25 @@ def oracle(sql: str) -> str:
 
 
 #: Views that many queries start from: written once for a session and data folder, then read as tables.
-STORED = ("bill_items", "bill_charges", "bills", "assignments", "people", "pred_items", "pred_charges", "pred_bills", "field_conf")
-_stored: dict[tuple[str, str, str], str] = {}
+STORED = ("bill_items", "bill_charges", "bills", "assignments", "people", "pred_items", "pred_charges", "pred_bills", "read_items", "read_charges", "field_conf")
+_stored: dict[tuple[str, str, str, int], str] = {}
+
+
+def _changed(spark: SparkSession, sf_dir: str) -> int:
+    """When the tables that the views start from were last written."""
+    newest = 0
+    for t in ("orders", "lineitem", "part", "customer"):
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{t}.parquet")
+        fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        newest = max(newest, fs.getFileStatus(at).getModificationTime()) if fs.exists(at) else newest
+    return newest
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A view (or a driver's table) as a DataFrame."""
     if name in TABLES and name not in VIEWS:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    key = (spark.sparkContext.applicationId, sf_dir, name)
+    key = (spark.sparkContext.applicationId, sf_dir, name, _changed(spark, sf_dir))
     if key in _stored:
         return spark.read.parquet(_stored[key])
     sql = with_views(f"SELECT * FROM {name}")

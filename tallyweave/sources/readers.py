@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyweave.functions.money import canon_num, parse_int, parse_money
@@ -136,21 +136,37 @@ RUN_LOG = "epoch INT, train_loss DOUBLE, epoch_sec DOUBLE, val MAP<STRING,DOUBLE
 
 
 def merge_run_logs(spark: SparkSession, paths: Sequence[str], schema: str = RUN_LOG) -> DataFrame:
-    """Run records of several JSON-lines files; for each epoch the record of the last file in the list, its last line."""
+    """Run records of several JSON-lines files or folders; for each epoch the last record.
+
+    Later in order is: later in the list, then the later file of a folder by path, then the later line.
+    """
     rows = None
     for i, path in enumerate(paths):
-        part = spark.read.text(path).select(F.lit(i).alias("file_no"), F.monotonically_increasing_id().alias("line_no"), F.from_json("value", schema).alias("r"))
+        part = numbered_lines(spark, path).select(F.struct(F.lit(i).alias("no"), "file", "block", "line").alias("at"), F.from_json("value", schema).alias("r"))
         rows = part if rows is None else rows.unionByName(part)
-    w = Window.partitionBy("r.epoch").orderBy(F.col("file_no").desc(), F.col("line_no").desc())
-    return rows.where("r.epoch IS NOT NULL").withColumn("rn", F.row_number().over(w)).where("rn = 1").select("r.*")
+    return last_of_epoch(rows, "at")
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, block, line, value): the lines of text files; (block, line) rises along a file.
+
+    A task reads a block of a file in order, so the running number of its rows orders them, and blocks are ordered by where
+    they start. Spark deals out blocks by size, so the number alone would not be the files' order.
+    """
+    m = F.col("_metadata")
+    return spark.read.text(path).select(m["file_path"].alias("file"), m["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("line"), "value")
+
+
+def last_of_epoch(rows: DataFrame, order: str) -> DataFrame:
+    """The fields of r in the last row of each epoch: an aggregate that combines before the exchange, so no epoch is too large."""
+    return rows.where("r.epoch IS NOT NULL").groupBy("r.epoch").agg(F.max_by("r", order).alias("r")).select("r.*")
 
 
 def scrape_logs(lines: DataFrame, schema: str = "epoch INT, train_loss DOUBLE, epoch_sec DOUBLE", least_seconds: float = 100.0) -> DataFrame:
     """Records printed as {'epoch': ...} in free text (line_no, value); short epochs are dropped, the last of an epoch wins."""
     text = F.trim("value")
     rows = lines.where(text.startswith("{'epoch'")).select("line_no", F.from_json(F.regexp_replace(text, "'", '"'), schema).alias("r")).where(F.col("r.epoch_sec") > least_seconds)
-    w = Window.partitionBy("r.epoch").orderBy(F.col("line_no").desc())
-    return rows.withColumn("rn", F.row_number().over(w)).where("rn = 1").select("r.*")
+    return last_of_epoch(rows, "line_no")
 
 
 def write_manifest(manifest: DataFrame, path: str, fmt: str = "json") -> str:

@@ -12,7 +12,6 @@ from tallyweave.operators import scoring as S
 from tallyweave.operators import validate as V
 from tallyweave.sources import readers as S2
 from tallyweave.sources.readers import nested_receipt, parse_entities
-from tallyweave.streaming import jobs as J
 
 
 @pytest.mark.parametrize("raw", ["[1, 2]", '"text"', "null", "3", "garbage", "", None, '{"items": 5}'])
@@ -120,28 +119,6 @@ def test_corrected_leaves_make_records_again(spark):
     assert [i["name"] for i in got[1]["items"]] == ["Tea", "Big pie"] and got[1]["charges"][0]["amount"] == "1" and got[2]["grand_total"] == "3" and got[2]["items"] == []
 
 
-def test_edit_stream_resumes_and_repeats_batches(spark, tmp_path):
-    schema = "bill_id long, path string, seq int, cents long"
-    first = spark.createDataFrame([(1, "grand_total", 1, 50), (2, "grand_total", 1, 70)], schema)
-    second = spark.createDataFrame([(1, "grand_total", 0, 9), (2, "subtotal", 2, 60), (2, "grand_total", 3, 99)], schema)
-    base = f"file://{tmp_path}/state"
-    for batch_id, batch in ((0, first), (1, second), (1, second)):
-        J.merge_edits(batch, batch_id, base)
-    state = {(r.bill_id, r.path): r.e.cents for r in J.current_edits(spark, base).collect()}
-    assert state == {(1, "grand_total"): 50, (2, "subtotal"): 60, (2, "grand_total"): 99}
-    bills = spark.createDataFrame([(1, 40, 40), (2, 60, 60)], "bill_id long, subtotal_cents long, grand_cents long")
-    items = spark.createDataFrame([], "bill_id long, item_idx int, qty int, unit_cents long, total_cents long")
-    charges = spark.createDataFrame([], "bill_id long, charge_idx int, type string, amount_cents long")
-    job = f"file://{tmp_path}/job"
-    for rows, want in ((first, {}), (second.withColumn("cents", F.col("cents") * 100), {2})):
-        rows.write.mode("append").parquet(f"{tmp_path}/edits")
-        stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/edits")
-        found = J.validate_edits(stream, bills, items, charges, job)
-        assert {r.bill_id for r in found.where("path = 'grand_total'").collect()} == set(want)
-    state = {(r.bill_id, r.path): r.e.cents for r in J.current_edits(spark, f"{job}/state").collect()}
-    assert state == {(1, "grand_total"): 50, (2, "subtotal"): 6000, (2, "grand_total"): 9900}
-
-
 def test_guards(spark):
     nan = float("nan")
     runs = {1: [1.0, nan, 0.9, nan, 0.8], 2: [1.0, nan, nan, nan], 3: [1.0, 0.8, 4.0], 4: [0.5, 0.000001]}
