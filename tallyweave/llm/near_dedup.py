@@ -9,7 +9,9 @@ Matching is exact in a band around the diagonal that holds every alignment good
 2. Order MinHash on shingles of five words (a text of fewer words is one shingle): each of `SKETCHES` hash functions picks
    the least occurrence-labelled shingles of a text and lists them in text order; the list is a bucket's key. Loose keys
    list two: texts whose shingles are j alike share one of 28 with probability 1 - (1 - j ** 2) ** 28, 0.995 where every
-   tenth word was exchanged. Strict keys list three: texts with shingles 0.8 alike miss all 20 of them below one in a million.
+   tenth word was exchanged. As few shingles of a short text outlive an edit, texts of up to SHORT words have 12 keys of four
+   single words besides: where one word in ten was exchanged two such texts share one with probability 0.997 and more, from
+   ten words on. Strict keys list three: texts with shingles 0.8 alike miss all 20 of them below one in a million.
 3. A bucket compares its texts with two of them only, its first and one drawn by a hash (stars). Linked texts become
    classes; a crowd whose members are alike only in part meets many drawn texts over its buckets. Then, of strict buckets
    that still hold several classes, all texts outside the largest class are compared with the texts of other classes,
@@ -45,6 +47,11 @@ LOOSE = 2
 STRICT_SKETCHES = 20
 STRICT = 3
 
+#: Texts of at most so many words have keys of single words too: enough that of a pair with a text of 40 words both have them.
+SHORT = 50
+SHORT_SKETCHES = 12
+SHORT_PICK = 4
+
 _word = re.compile(r"[^\W_]+")
 _mix = np.uint64(0x9E3779B97F4A7C15)
 
@@ -80,29 +87,40 @@ def occurrences(s: np.ndarray) -> np.ndarray:
     return out
 
 
-def order_sketches(s: np.ndarray) -> np.ndarray:
-    """Keys of the Order MinHash: for each function, the least labelled shingles, hashed in text order. Strict keys are odd."""
+def _least(s: np.ndarray, salts: np.ndarray, take: int) -> np.ndarray:
+    """For each salted hash function, the places of the least occurrence-labelled elements of s, from the least on."""
     labelled = (s ^ (occurrences(s) + np.uint64(1)) * _mix) * np.uint64(0xBF58476D1CE4E5B9)
     labelled ^= labelled >> np.uint64(29)
-    salts = np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0x94D049BB133111EB)
-    least = []
+    least, take = [], min(take, len(s))
     step = max(1, (1 << 20) // len(s))  # functions at a time: bounded memory for long texts
-    for a in range(0, SKETCHES, step):
+    for a in range(0, len(salts), step):
         h = (labelled[None, :] ^ salts[a : a + step, None]) * np.uint64(0xD6E8FEB86659FD93)
         h ^= h >> np.uint64(32)
-        take = min(STRICT, len(s))
         at = np.argpartition(h, take - 1, axis=1)[:, :take]
         least.append(np.take_along_axis(at, np.argsort(np.take_along_axis(h, at, 1), axis=1), 1))
-    at = np.concatenate(least)  # for each function, places from the least on
+    return np.concatenate(least)
+
+
+def _keys(s: np.ndarray, at: np.ndarray, salts: np.ndarray, strict: int) -> np.ndarray:
+    """The elements at the places of each function, hashed in text order."""
+    picked, out = s[np.sort(at, axis=1)], salts[: len(at)].copy()
+    for i in range(at.shape[1]):
+        out = (out ^ picked[:, i]) * _mix
+        out ^= out >> np.uint64(31)
+    return out & ~np.uint64(1) | np.uint64(strict)
+
+
+def order_sketches(s: np.ndarray) -> np.ndarray:
+    """Keys of the Order MinHash: for each function, the least labelled shingles, hashed in text order. Strict keys are odd."""
+    salts = np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0x94D049BB133111EB)
+    at = _least(s, salts, STRICT)
+    return np.concatenate([_keys(s, at[:, :LOOSE], salts, 0), _keys(s, at[:STRICT_SKETCHES], salts, 1)])
 
-    def keys(at: np.ndarray, strict: int) -> np.ndarray:
-        picked, out = s[np.sort(at, axis=1)], salts[: len(at)].copy()
-        for i in range(at.shape[1]):
-            out = (out ^ picked[:, i]) * _mix
-            out ^= out >> np.uint64(31)
-        return out & ~np.uint64(1) | np.uint64(strict)
 
-    return np.concatenate([keys(at[:, :LOOSE], 0), keys(at[:STRICT_SKETCHES], 1)])
+def short_sketches(h: np.ndarray) -> np.ndarray:
+    """More loose keys of a short text: Order MinHash of single words, from their hashes."""
+    salts = np.arange(1, SHORT_SKETCHES + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)
+    return _keys(h, _least(h, salts, SHORT_PICK), salts, 0)
 
 
 def _overlap(a: np.ndarray, b: np.ndarray) -> int:
@@ -183,7 +201,9 @@ def _sketched(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     at.append(i)
                     copies.append(xxhash.xxh3_128_hexdigest(" ".join(w)))
                     ns.append(len(w))
-                    keys.append(order_sketches(shingles(hashed(w))).view(np.int64))
+                    h = hashed(w)
+                    sketches = order_sketches(shingles(h))
+                    keys.append((np.concatenate([sketches, short_sketches(h)]) if len(w) <= SHORT else sketches).view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [b.column(0).take(pa.array(at, pa.int64())), pa.array(copies, pa.string()), pa.array(ns, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
                 names=["id", "copy", "n", "keys"],

@@ -144,6 +144,23 @@ def test_near_copies_with_a_tenth_of_their_words_edited_are_found(spark):
     assert all(got[i] == i for i in range(0, 300, 2))
 
 
+@pytest.mark.parametrize("size", [10, 15, 20, 30, 40, 60])
+def test_short_near_copies_are_found(spark, size):
+    """One word in ten exchanged anywhere; among texts of the same length that have the words of a small vocabulary."""
+    r = random.Random(size)
+    docs = []
+    for i in range(0, 300, 2):
+        a, b = prose(r, size), None
+        b = list(a)
+        for at in r.sample(range(size), size // 10):
+            b[at] = f"new{r.randrange(10**6)}"
+        docs += [(i, " ".join(a)), (i + 1, " ".join(b))]
+    got = {x.doc_id: x.class_id for x in N.near_duplicates(make(spark, docs)).collect()}
+    assert sum(got[i + 1] == got[i] for i in range(0, 300, 2)) >= 0.95 * 150
+    rows = {i: N.words(t) for i, t in docs}
+    assert all(got[i] == i or alike(rows[i], rows[got[i]]) > 0.4 for i in got)
+
+
 def test_one_doc_id_with_different_texts_is_one_document(spark):
     r = random.Random(22)
     a, b = " ".join(prose(r, 60)), " ".join(prose(r, 60))
