@@ -11,9 +11,9 @@ chunks, so a bucket that holds a third of all vectors is spread over many tasks;
 than k vectors is held against all vectors of its length.
 
 Vectors that are null, zero, or hold null or non-finite components take no part; vectors of another length are no
-candidates. Ties go to the smaller vec_id. Rows that agree in vec_id and vector are one row. Rows that repeat a vec_id with
-other vectors are queries and candidates of their own, so a query_id may have several lists, and a query's twin may be its
-neighbour. Without candidates a query has no rows.
+candidates. Ties go to the smaller vec_id. Every row but the query's own is a candidate: rows that repeat a vec_id, with the
+same vector or another one, are queries and candidates of their own, so a query_id may have several lists, and a query's
+twin may be its neighbour at distance 0. Without candidates a query has no rows.
 """
 
 from __future__ import annotations
@@ -112,15 +112,13 @@ def fit(vectors: DataFrame, k: int, tables: int = TABLES, functions: int = FUNCT
     return Hashing(reach, tables, functions, success, seed)
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 10, hashing: Hashing | None = None, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(query_id, rank, id, distance): each query's k nearest vectors found, not counting rows with its own id."""
+def search(vectors: DataFrame, asks: Column, k: int = 10, hashing: Hashing | None = None, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """(query_id, rank, id, distance): the k nearest vectors found of each row that asks (a condition on vectors), but itself."""
     small_batches(vectors.sparkSession)
-
-    def taking_part(rows: DataFrame) -> DataFrame:
-        rows = rows.where(F.col(id_col).isNotNull() & usable(F.col(vector_col))).select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
-        return rows.withColumn("row", F.xxhash64("id", "v"))  # names a row where vec_ids repeat
-
-    own, asked = taking_part(vectors), taking_part(queries)
+    rows = vectors.where(F.col(id_col).isNotNull() & usable(F.col(vector_col)))
+    rows = rows.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.coalesce(asks, F.lit(False)).alias("asks"))
+    numbered = stored(rows.withColumn("row", F.monotonically_increasing_id()), "vectors")  # stored: a row keeps its number
+    own, asked = numbered.drop("asks"), numbered.where("asks").drop("asks")
     kind = own.schema["id"].dataType.simpleString()
     hashing = hashing or fit(own, k)
 
@@ -201,5 +199,5 @@ def _nearest_by_bucket(filed: DataFrame, probed: DataFrame, k: int) -> DataFrame
 
 def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
-    found = search(vectors, vectors.where(F.col("vec_id") % 100 == 0))
+    found = search(vectors, F.col("vec_id") % 100 == 0)
     return found.select("query_id", "rank", F.col("id").alias("vec_id"), F.col("distance").alias("score"))

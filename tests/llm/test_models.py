@@ -189,7 +189,7 @@ def test_search_recall_and_exact_scores(spark, larger_sf):
     rows = [(r.vec_id, [float(x) for x in r.embedding]) for r in vectors.collect()]
     queries = [r for r in rows if r[0] % 25 == 0]
     want = brute_neighbours(rows, queries, 10)
-    got = K.search(vectors, vectors.where("vec_id % 25 = 0")).collect()
+    got = K.search(vectors, F.col("vec_id") % 25 == 0).collect()
     found = {}
     for r in got:
         found.setdefault(r.query_id, []).append((r.rank, r.id, r.distance))
@@ -207,17 +207,39 @@ def test_search_edges(spark):
     hot = [0.5, 0.5, 0.1]
     rows = [(i, hot) for i in range(0, 60)] + [(100, None), (101, [0.0, 0.0, 0.0]), (102, [1.0, float("nan"), 0.0]), (103, [1.0, None, 0.0]), (104, [0.5, 0.5, 0.2]), (104, [0.5, 0.5, 0.2]), (105, [1.0, 2.0])]
     vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("v", F.lit("clash")).withColumn("id", F.lit(3)).withColumn("bucket", F.lit(1))
-    got = K.search(vectors, vectors.where("vec_id in (0, 100, 101, 104, 105)"), k=10).collect()
+    got = K.search(vectors, F.col("vec_id").isin(0, 100, 101, 104, 105), k=10).collect()
     by = {}
     for r in sorted(got, key=lambda r: (r.query_id, r.rank)):
         by.setdefault(r.query_id, []).append(r.id)
-    assert by[0] == list(range(1, 11)) and by[104] == list(range(10)) and set(by) == {0, 104}
+    assert by[0] == list(range(1, 11)) and by[104] == [104, 104, *(i for i in range(9) for _ in range(2))] and set(by) == {0, 104}  # 104 is two rows
     twins = spark.createDataFrame([(1, [1.0, 0.0]), (1, [1.0, 0.5]), (1, [1.0, 0.0]), (2, [5.0, 0.0])], "vec_id long, embedding array<double>")
     lists = {}
-    for r in K.search(twins, twins.where("vec_id = 1"), k=2).orderBy("rank").collect():
-        lists.setdefault(r.distance if r.rank == 2 else None, []).append((r.rank, r.id))
-    assert sorted(lists[None]) == [(1, 1), (1, 1)] and sum(len(x) for x in lists.values()) == 4
-    assert K.search(vectors.limit(0), vectors.limit(0)).count() == 0
+    for r in K.search(twins, F.col("vec_id") == 1, k=2).collect():
+        lists.setdefault(r.rank, []).append((r.distance, r.id))
+    assert sorted(lists[1]) == [(0.0, 1), (0.0, 1), (0.5, 1)] and sorted(lists[2]) == [(0.5, 1)] * 3
+    assert K.search(vectors.limit(0), F.lit(True)).count() == 0
+
+
+def test_clustered_vectors_visit_less(spark):
+    """Where neighbours are much nearer than the rest, few buckets are visited and the recall holds."""
+    r = np.random.RandomState(4)
+    centres = r.standard_normal((60, 32)) * 3
+    rows = [(i, [float(x) for x in centres[i % 60] + r.standard_normal(32) * 0.1]) for i in range(3000)]
+    queries = rows[::100]
+    want = brute_neighbours(rows, queries, 10)
+    hashing = K.fit(spark.createDataFrame(rows, "id long, v array<double>"), 10)
+    x = np.array([v for _, v in rows])
+    visited, hits = [], 0
+    for t in range(hashing.tables):
+        places = hashing.places(x, t)
+        filed = hashing.bucket(np.floor(places), 32, t)
+        visited += [np.isin(filed, hashing.bucket(hashing.probes(places[q]), 32, t)) for q, _ in queries]
+    share = np.mean([np.any(visited[i :: len(queries)], axis=0).mean() for i in range(len(queries))])
+    got = {}
+    for n in K.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 100 == 0, hashing=hashing).collect():
+        got.setdefault(n.query_id, set()).add(n.id)
+    hits = sum(len(got[q] & {i for i, _ in want[q]}) for q, _ in queries)
+    assert hits / (10 * len(queries)) >= 0.9 and share < 0.3, (hits, share)
 
 
 # Pipeline
