@@ -2,9 +2,8 @@
 
 1. Lines are compared without case and outer white space; blank lines take no part. From each line on, the fewest adjoining
    lines with at least `min_words` words together are a window; a block to delete holds at least one whole window. Each
-   document is paired with the earliest document that holds one of its windows, and by rare windows (in at most `RARE`
-   documents) also with the nearest earlier one. A partner holds the whole window, and pairs grow with the lines, not with
-   the square of a window's holders.
+   document is paired with the earliest and with the nearest earlier document that holds one of its windows, however many
+   do. A partner holds the whole window, and pairs grow with the lines, not with the square of a window's holders.
 2. Each pair is aligned by patience diff: lines that are unique in both and keep their order are the anchors; between
    them equal beginnings, equal ends and further unique lines are matched.
 3. Blocks of adjoining matched lines with at least `min_words` words together are deleted from the later document, the one
@@ -21,14 +20,14 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyweave.llm.common import small_batches, stored, table
 
-RARE = 50
 MIN_WORDS = 5
 
 
@@ -110,6 +109,34 @@ def _line_hash(line: Column, salt: str) -> Column:
     return F.xxhash64(F.lower(line), F.lit(salt))
 
 
+def nearest_earlier(held: DataFrame) -> DataFrame:
+    """(k, e): for each row of held (line, k), distinct, the largest k below it with the same line, if any.
+
+    All rows are put in one order, in ranges of even size, so a line that very many documents hold is spread over ranges;
+    each range looks back within itself, and the seams between ranges are closed from each one's ends (a row a range).
+    """
+    kind = held.schema["k"].dataType.simpleString()
+
+    def look_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before: list[pa.Array] = []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            lines, ks = (pa.concat_arrays([*before[i : i + 1], b.column(i)]) for i in (0, 1))
+            at = np.arange(b.num_rows) + len(lines) - b.num_rows - 1  # the place before each row, -1 at the start of a range
+            values = lines.to_numpy()
+            same = (at >= 0) & (values[np.maximum(at, 0)] == b.column(0).to_numpy())
+            yield pa.RecordBatch.from_arrays([*b.columns, ks.take(pa.array(at, mask=~same))], names=["line", "k", "part", "e"])
+            before = [lines.slice(len(lines) - 1), ks.slice(len(ks) - 1)]
+
+    ranges = held.repartitionByRange("line", "k").sortWithinPartitions("line", "k").select("line", "k", F.spark_partition_id().alias("part"))
+    rows = stored(ranges.mapInArrow(look_back, f"line long, k {kind}, part int, e {kind}"), "neighbours")
+    ends = rows.groupBy("part").agg(F.min(F.struct("line", "k")).alias("low"), F.max(F.struct("line", "k")).alias("high")).orderBy("part").collect()  # a row a range
+    seams = [(b.low.k, a.high.k) for a, b in zip(ends, ends[1:]) if a.high.line == b.low.line]
+    closed = held.sparkSession.createDataFrame(seams, f"k {kind}, e {kind}")
+    return rows.where("e IS NOT NULL").select("k", "e").unionByName(closed)
+
+
 def deleted_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(k, places): k is (doc_id, hash of the text), places the numbers of the lines to delete, from 0."""
     rows = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.struct("doc_id", F.xxhash64("text").alias("h")).alias("k"), F.split("text", "\n").alias("lines"))
@@ -135,9 +162,7 @@ def deleted_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     per = stored(held.groupBy("line").agg(F.min("k").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"), "holders")
     shared = stored(held.join(per.hint("merge"), "line"), "shared-lines")
     earliest = shared.where(F.col("k") != F.col("first")).select("k", F.col("first").alias("e"))
-    before = Window.partitionBy("line").orderBy("k")  # at most RARE rows in a partition
-    nearest = shared.where(F.col("n") <= RARE).select("k", F.lag("k").over(before).alias("e")).where("e IS NOT NULL")
-    pairs = stored(earliest.unionByName(nearest).distinct(), "pairs")
+    pairs = stored(earliest.unionByName(nearest_earlier(shared.select("line", "k"))).distinct(), "pairs")
 
     needed = rows.select(F.col("k").alias("e"), F.col("align").alias("a"))
     both = pairs.join(rows.select("k", "at", "words", F.col("align").alias("b")).hint("merge"), "k").join(needed.hint("merge"), "e")

@@ -4,6 +4,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tallyweave.llm import exact_dedup as E
 from tallyweave.llm import line_dedup as L
@@ -232,6 +233,34 @@ def test_blocks_of_short_lines_are_found_although_each_line_is_common(spark):
     assert {i: d for i, d in got.items() if d} == {30: [1, 2, 3], 400: [1, 2, 3]}
 
 
+def test_blocks_that_very_many_documents_hold(spark):
+    """Document 1 has X before Y, all others Y before X: the diff with 1 aligns one block only, the one with a neighbour both."""
+    x = ["first block line of several words here", "second line of that first block here"]
+    y = ["other block line of several words here", "second line of that other block here"]
+    docs = [(1, "\n".join(x + y))] + [(i, "\n".join(y + x + [f"own line {i} with quite a few words of it"])) for i in range(2, 80)]
+    got = {r.doc_id: r.deleted for r in L.remove_repeated_lines(make(spark, docs)).collect()}
+    assert got[1] == [] and len(got[2]) == 2 and all(got[i] == [0, 1, 2, 3] for i in range(3, 80))
+
+
+@pytest.mark.parametrize("ranges", [1, 7])
+def test_nearest_earlier_holders(spark, ranges):
+    """A line that most documents hold lies over several ranges."""
+    r = random.Random(ranges)
+    held = {(line, k) for k in range(400) for line in ([5] if r.random() < 0.9 else []) + [r.randrange(40)]}
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(ranges))
+    try:
+        df = spark.createDataFrame(sorted(held), "line long, n long").select("line", F.struct(F.col("n").alias("doc_id"), F.lit(0).cast("long").alias("h")).alias("k"))
+        got = sorted((x.k.doc_id, x.e.doc_id) for x in L.nearest_earlier(df).collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    want = []
+    for line, k in held:
+        below = [b for a, b in held if a == line and b < k]
+        want += [(k, max(below))] if below else []
+    assert got == sorted(want)
+
+
 def test_line_edges(edge, empty):
     got = [(r.doc_id, r.n_lines, r.deleted, r.text) for r in L.remove_repeated_lines(edge).collect()]
     assert len(got) == edge.count()
