@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyweave.operators.hamming import hamming_pairs
+from tallyweave.operators.quantiles import exact_quantiles
 from tallyweave.sources.readers import shared_path
 
 #: How protected a split is.
@@ -37,24 +39,14 @@ def near_dup_across_splits(hashes: DataFrame, limit: int = 12, words: Sequence[s
     """(split_a, split_b, id_a, id_b, distance, pairs) for classes of records of different splits whose 256-bit hashes differ in
     `limit` bits at most. A class is what has one hash in one split; ids are the smallest of each, pairs its pairs of records.
 
-    Band join: limit + 1 bands of the bits (pigeonhole: such a pair agrees in one whole band), an equi-join on the band,
-    then the exact distance, all on distinct hashes, so a blank input that very many records share is one row in it. Hashes
-    are met once, in the first band in which they agree.
+    The join (hamming_pairs) runs on distinct hashes, so a blank input that very many records share is one row in it.
     """
-    bands = limit + 1
     classes = hashes.groupBy(*words, "split").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"))
     classes = classes.groupBy(*words).agg(F.min("id").alias("h"), F.collect_list(F.struct("split", "id", "n")).alias("own"))  # a few splits
     path = shared_path(hashes.sparkSession, "hash-classes")
     classes.write.parquet(path)
     classes = hashes.sparkSession.read.schema(classes.schema).parquet(path)
-    bits = F.concat(*(F.lpad(F.bin(w), 64, "0") for w in words))
-    size = -(-64 * len(words) // bands)
-    parts = F.array(*(F.substring(bits, i * size + 1, size) for i in range(bands)))
-    banded = classes.select("h", *words, parts.alias("parts"), F.posexplode(parts).alias("band", "value"))
-    other = banded.select(F.col("h").alias("h2"), *(F.col(w).alias(f"{w}_2") for w in words), F.col("parts").alias("parts_2"), "band", "value")
-    distance = sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"{w}_2"))) for w in words[1:]), F.bit_count(F.col(words[0]).bitwiseXOR(F.col(f"{words[0]}_2"))))
-    first = F.array_position(F.zip_with("parts", "parts_2", lambda a, b: a == b), True) - 1
-    pairs = banded.join(other.hint("merge"), ["band", "value"]).where((F.col("h") < F.col("h2")) & (distance <= limit) & (first == F.col("band"))).select("h", "h2", distance.alias("distance"))
+    pairs = hamming_pairs(classes, "h", words, limit).select(F.col("a").alias("h"), F.col("b").alias("h2"), "distance")
     pairs = pairs.unionByName(classes.select("h", F.col("h").alias("h2"), F.lit(0).alias("distance")))
     one, two = classes.select("h", F.col("own").alias("a")), classes.select(F.col("h").alias("h2"), F.col("own").alias("b"))
     met = pairs.join(one.hint("merge"), "h").join(two.hint("merge"), "h2").select("distance", F.explode("a").alias("a"), "b").select("distance", "a", F.explode("b").alias("b"))
@@ -149,8 +141,8 @@ def oversample(rows: DataFrame, weights: dict[str, int]) -> DataFrame:
 def profile_numeric(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column, n, min, p5 .. p95, max, mean), nulls left out, columns without values left out."""
     long = rows.select(*(F.col(c).cast("double").alias(c) for c in columns)).unpivot([], list(columns), "column", "v").where("v IS NOT NULL")
-    p = F.percentile("v", F.array(*map(F.lit, (0.05, 0.25, 0.5, 0.75, 0.95))))
-    a = long.groupBy("column").agg(F.count("v").alias("n"), F.min("v").alias("lo"), p.alias("p"), F.max("v").alias("hi"), F.avg("v").alias("m"))
+    a = long.groupBy("column").agg(F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.avg("v").alias("m"))
+    a = a.join(exact_quantiles(long, "column", "v", (0.05, 0.25, 0.5, 0.75, 0.95)).hint("merge"), "column", "left")
     r3 = lambda x, name: F.round(x, 3).alias(name)
     return a.select("column", "n", r3(F.col("lo"), "min"), *(r3(F.col("p")[i], name) for i, name in enumerate(("p5", "p25", "p50", "p75", "p95"))), r3(F.col("hi"), "max"), r3(F.col("m"), "mean"))
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyweave.functions.money import canon_num, norm_name, parse_money, similarity
+from tallyweave.operators.quantiles import exact_quantiles
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -174,8 +175,11 @@ def condition_report(fields: DataFrame, keys: Sequence[str], threshold: float) -
 
 def before_after(metrics: DataFrame, before: str, after: str) -> DataFrame:
     """(metric, before, after, delta) of medians over a metric's values in two runs."""
-    side = lambda run: F.percentile(F.when(F.col("run") == run, F.col("value")), F.lit(0.5))
-    rows = metrics.where(F.col("run").isin(before, after)).groupBy("metric").agg(side(before).alias("b"), side(after).alias("a"))
+    rows = metrics.where(F.col("run").isin(before, after))
+    medians = exact_quantiles(rows.select(F.struct("metric", "run").alias("of"), "value"), "of", "value", [0.5])
+    side = lambda run: F.max(F.when(F.col("of.run") == run, F.col("p")[0]))
+    held = medians.groupBy("of.metric").agg(side(before).alias("b"), side(after).alias("a"))
+    rows = rows.select("metric").distinct().join(held.hint("merge"), "metric", "left")
     return rows.select("metric", F.round("b", 4).alias("before"), F.round("a", 4).alias("after"), F.round(F.col("a") - F.col("b"), 4).alias("delta"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tallyweave.functions.money import extract_json, parse_money
 from tallyweave.operators import normalise as N
 from tallyweave.operators import validate as V
+from tallyweave.operators.quantiles import exact_quantiles
 from tallyweave.plans.fixtures import view
 from tallyweave.registry import query
 
@@ -101,9 +102,15 @@ def tagged_text(spark, d):
 @query("target_length_profile", f"""WITH {TAGGED} SELECT round(quantile_cont(length(text), 0.5), 3) AS p50, round(quantile_cont(length(text), 0.9), 3) AS p90, round(quantile_cont(length(text), 0.95), 3) AS p95,
   round(quantile_cont(length(text), 0.99), 3) AS p99, max(length(text)) AS longest, round(avg(CASE WHEN length(text) > 768 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 4) AS over_limit FROM tagged""")
 def target_length_profile(spark, d):
-    n = F.length("text")
-    p = lambda q: F.round(F.percentile(n, F.lit(q)), 3)
-    return N.tagged_text(truth(spark, d)).agg(p(0.5).alias("p50"), p(0.9).alias("p90"), p(0.95).alias("p95"), p(0.99).alias("p99"), F.max(n).cast("long").alias("longest"), F.round(F.avg((n > 768).cast("int")), 4).alias("over_limit"))
+    n = N.tagged_text(truth(spark, d)).select(F.lit("all").alias("of"), F.length("text").alias("n"))
+    whole = n.agg(F.max("n").cast("long").alias("longest"), F.round(F.avg((F.col("n") > 768).cast("int")), 4).alias("over_limit"))
+    return whole.join(quantile_columns(n, "n", {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}).hint("broadcast"), F.lit(True), "left")  # one row each
+
+
+def quantile_columns(rows, value, at):
+    """One row with the quantiles of all values."""
+    found = exact_quantiles(rows, "of", value, list(at.values()))
+    return found.select(*(F.round(F.col("p")[i], 3).alias(name) for i, name in enumerate(at)))
 
 
 @query("date_format_report", """SELECT CASE WHEN date = '' THEN 'empty' WHEN regexp_full_match(date, '[0-9][0-9]?/[0-9][0-9]?/[0-9]{4}') THEN 'dd/mm/yyyy' WHEN regexp_full_match(date, '[0-9][0-9]?-[0-9][0-9]?-[0-9]{4}') THEN 'dd-mm-yyyy'
@@ -270,9 +277,9 @@ PARSED = r"""parsed AS (SELECT id, raw, CASE id_kind WHEN 0 THEN 1250.5 WHEN 1 T
 @query("parse_rate", f"WITH {PARSED} SELECT round(count(v) / count(*), 4) AS parse_rate, round(quantile_cont(v, 0.5), 3) AS p50, round(quantile_cont(v, 0.95), 3) AS p95, round(CAST(min(v) AS DOUBLE), 3) AS lowest FROM parsed")
 def parse_rate(spark, d):
     v = parse_money(F.col("raw")).cast("double")
-    return view(spark, d, "money_text").select(v.alias("v")).agg(
-        F.round(F.count("v") / F.count(F.lit(1)), 4).alias("parse_rate"), F.round(F.percentile("v", F.lit(0.5)), 3).alias("p50"), F.round(F.percentile("v", F.lit(0.95)), 3).alias("p95"), F.round(F.min("v"), 3).alias("lowest")
-    )
+    rows = view(spark, d, "money_text").select(F.lit("all").alias("of"), v.alias("v"))
+    whole = rows.agg(F.round(F.count("v") / F.count(F.lit(1)), 4).alias("parse_rate"), F.round(F.min("v"), 3).alias("lowest"))
+    return whole.join(quantile_columns(rows, "v", {"p50": 0.5, "p95": 0.95}).hint("broadcast"), F.lit(True), "left")  # one row each
 
 
 HEADER_READ = "hread AS (SELECT id, CASE WHEN id % 11 = 0 THEN '' ELSE company END AS company, CASE WHEN id % 13 = 0 THEN '01/01/2000' ELSE date END AS date, CASE WHEN id % 7 = 0 THEN substr(address, 2) ELSE address END AS address, CASE WHEN id % 17 = 0 THEN '1.00' ELSE total END AS total FROM headers)"
