@@ -83,3 +83,22 @@ def test_crowded_bands_are_split(spark):
 
     n, (pairs, furthest) = largest(1500)
     assert furthest <= 12 and 0 < pairs < 4 * n
+
+
+def test_a_split_shuffles_each_input_once(spark, sf_dir):
+    """Five inputs by bill_id, and the overrides as the sixth; nothing is shuffled again."""
+    from tallyweave.operators import ledger as L
+    from tallyweave.plans.fixtures import view
+
+    bills, items, charges, people, claims = (view(spark, sf_dir, n) for n in ("bills", "bill_items", "bill_charges", "people", "assignments"))
+    overrides = spark.createDataFrame([(1, "A", 5)], "bill_id long, person string, new_final long")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        split = L.split_bills(bills, items, charges, people, claims)
+        exchanges = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange ")
+        assert exchanges(split) == 5 and exchanges(L.apply_overrides(split, overrides, rebalance=True)) == 6
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
