@@ -7,16 +7,19 @@ are read off the running sums.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyweave.operators.scans import before, in_ranges
 from tallyweave.sources.readers import shared_path
 
 EDGES = [i / 10 for i in range(1, 10)]
 #: Slices of the scores' range; scores outside [0, 1] are in the outer ones.
 SLICES = 1000
+#: Ranges whose blocks are pooled in one step.
+FAN = 32
 
 
 def bin_of(score: Column) -> Column:
@@ -117,35 +120,78 @@ def calibration_by_field(fields: DataFrame, score: str, at_least: int = 20) -> D
     return n.join(auroc(fields, score, ["field"]).hint("merge"), "field").select("field", "n", "accuracy", F.round("auroc", 4).alias("auroc"))
 
 
-def _isotonic(counts: DataFrame):
-    from pyspark.ml.regression import IsotonicRegression
+def _pool(blocks: Iterable[tuple]) -> list[list]:
+    """Adjacent blocks (lo, hi, c, n) in order of lo, pooled until the shares c / n rise; whole numbers, so no rounding."""
+    out: list[list] = []
+    for lo, hi, c, n in blocks:
+        while out and out[-1][2] * n >= c * out[-1][3]:
+            lo, _, c0, n0 = out.pop()
+            c, n = c + c0, n + n0
+        out.append([lo, hi, c, n])
+    return out
 
-    return IsotonicRegression(weightCol="w").fit(counts.select(F.col("s").alias("features"), (F.col("c") / F.col("n")).alias("label"), F.col("n").cast("double").alias("w")))
 
+def isotonic_knots(counts: DataFrame, keys: Sequence[str], ranges: int | None = None) -> DataFrame:
+    """(keys, x, v, x2, v2): isotonic regression of c / n on s for each key, as knots with the next knot; the first is at -inf.
 
-def _clipped(x: str) -> Column:
-    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), x))
+    Scores are dealt out in ranges, each range is pooled by itself, and neighbouring ranges' blocks are pooled again, FAN at
+    a time, until one list is left. That gives the blocks of the whole: pooling is associative. The shares of n rows' blocks
+    are different fractions of rising value whose denominators sum to n, so there are O(n ** (2/3)) of them at most.
+    """
+    t = in_ranges(counts.where("s IS NOT NULL AND NOT isnan(s)").select(*keys, "s", "c", "n"), [*keys, "s"], ranges)
+    blocks = t.select(*keys, "part", F.col("s").alias("lo"), F.col("s").alias("hi"), F.col("c").cast("long").alias("c"), F.col("n").cast("long").alias("n"))
+    schema, own = blocks.schema, [*keys, "part"]
+
+    def pool(rows):
+        rows = rows.sort_values("lo")
+        pooled = list(zip(*_pool(zip(*(rows[c].tolist() for c in ("lo", "hi", "c", "n"))))))
+        return type(rows)({**{k: [rows[k].iloc[0]] * len(pooled[0]) for k in own}, **dict(zip(("lo", "hi", "c", "n"), pooled))})
+
+    blocks = blocks.groupBy(*own).applyInPandas(pool, schema)
+    left = (t.agg(F.max("part")).first()[0] or 0) + 1
+    while left > 1:
+        blocks = blocks.withColumn("part", F.floor(F.col("part") / FAN).cast("int")).groupBy(*own).applyInPandas(pool, schema)
+        left = -(-left // FAN)
+    v = (F.col("c") / F.col("n")).alias("v")
+    ends = blocks.select(*keys, v, F.explode(F.array_distinct(F.array("lo", "hi"))).alias("x"))
+    w = Window.partitionBy(*keys).orderBy("x")  # a key's knots
+    ends = ends.select(*keys, "x", "v", F.lead("x").over(w).alias("x2"), F.lead("v").over(w).alias("v2"), F.lag("x").over(w).isNull().alias("__first"))
+    knot = F.struct("x", "v", "x2", "v2")
+    low = F.struct(F.lit(float("-inf")).alias("x"), F.col("v"), F.lit(None).cast("double").alias("x2"), F.lit(None).cast("double").alias("v2"))
+    return ends.select(*keys, F.explode(F.when(F.col("__first"), F.array(low, knot)).otherwise(F.array(knot))).alias("__knot")).select(*keys, "__knot.*")
+
+
+def isotonic_values(rows: DataFrame, knots: DataFrame, keys: Sequence[str], ranges: int | None = None) -> DataFrame:
+    """rows (keys, s, ...) with p: their key's map at s, linear between knots, clipped to [0, 1]; null where the key has no knots.
+
+    Rows and knots are put in one order, and each row takes the last knot at or before it.
+    """
+    both = rows.withColumn("x", F.col("s")).withColumn("asks", F.lit(1)).withColumn("knot", F.lit(None).cast("struct<x:double,v:double,x2:double,v2:double>"))
+    both = both.unionByName(knots.select(*keys, "x", F.lit(0).alias("asks"), F.struct("x", "v", "x2", "v2").alias("knot")), allowMissingColumns=True)
+    t = before(in_ranges(both, [*keys, "x", "asks"], ranges), keys, ["x", "asks"], at=("last", "knot")).where("asks = 1")
+    at = F.col("at")
+    p = F.when((at["x"] == F.col("s")) | at["x2"].isNull(), at["v"]).otherwise(at["v"] + (at["v2"] - at["v"]) * (F.col("s") - at["x"]) / (at["x2"] - at["x"]))
+    return t.select(*rows.columns, F.when(p.isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(0.0), p))).alias("p"))
 
 
-def isotonic_calibrate(fields: DataFrame, score: str) -> DataFrame:
+def isotonic_calibrate(fields: DataFrame, score: str, ranges: int | None = None) -> DataFrame:
     """(score, p): the monotone map from score to chance of being right, on a grid of 101 points, clipped and rounded."""
-    grid = fields.sparkSession.range(101).select((F.col("id") / 100).alias("features"))
-    return _isotonic(score_counts(fields, score)).transform(grid).select(F.col("features").alias("score"), F.round(_clipped("prediction"), 4).alias("p"))
+    one = F.lit(0).alias("of")
+    grid = fields.sparkSession.range(101).select(one, (F.col("id") / 100).alias("s"))
+    knots = isotonic_knots(score_counts(fields, score).withColumn("of", one), ["of"], ranges)
+    return isotonic_values(grid, knots, ["of"], ranges).select(F.col("s").alias("score"), F.round("p", 4).alias("p"))
 
 
-def _calibrated(counts: DataFrame) -> DataFrame:
-    """Counts (fold, s, c, n) with each fold's scores mapped by the isotonic regression of the other fold."""
-    parts = None
-    for fold in (0, 1):
-        done = _isotonic(counts.where(F.col("fold") != fold)).transform(counts.where(F.col("fold") == fold).withColumnRenamed("s", "features"))
-        done = done.select(_clipped("prediction").alias("s"), "c", "n")
-        parts = done if parts is None else parts.unionByName(done)
-    return parts.groupBy("s").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
+def _calibrated(folds: DataFrame, keys: Sequence[str], ranges: int | None = None) -> DataFrame:
+    """Counts (keys, fold, s, c, n) with each fold's scores mapped by the isotonic regression of the other fold; all keys at once."""
+    rows = folds.where("fold IS NOT NULL AND s IS NOT NULL AND NOT isnan(s)")
+    knots = isotonic_knots(rows, [*keys, "fold"], ranges).withColumn("fold", 1 - F.col("fold"))
+    return isotonic_values(rows, knots, [*keys, "fold"], ranges).groupBy(*keys, F.col("p").alias("s")).agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
 
 
 def calibrated_ece(fields: DataFrame, score: str) -> DataFrame:
-    """One row: calibration error after two-fold isotonic regression, folds by bill."""
-    return _ece(_calibrated(score_counts(fields.withColumn("fold", F.col("bill_id") % 2), score, ["fold"])), [])
+    """One row: calibration error after two-fold isotonic regression, folds by bill; fields without a bill take no part."""
+    return _ece(_calibrated(score_counts(fields.withColumn("fold", F.pmod("bill_id", F.lit(2))), score, ["fold"]), []), [])
 
 
 def calibration_report(fields: DataFrame, scores: Sequence[str] = ("p_first", "p_mean", "p_min"), share: float = 0.08) -> DataFrame:
@@ -154,7 +200,7 @@ def calibration_report(fields: DataFrame, scores: Sequence[str] = ("p_first", "p
     The fields are read once: counted by aggregator, fold and distinct score, and written; all measures start from that.
     """
     spark = fields.sparkSession
-    long = fields.select(F.col("bill_id") % 2, "correct", F.explode(F.array(*(F.struct(F.lit(i).alias("o"), F.col(s).alias("x")) for i, s in enumerate(scores)))).alias("z"))
+    long = fields.select(F.pmod("bill_id", F.lit(2)), "correct", F.explode(F.array(*(F.struct(F.lit(i).alias("o"), F.col(s).alias("x")) for i, s in enumerate(scores)))).alias("z"))
     long = long.toDF("fold", "correct", "z").select("fold", "correct", "z.o", "z.x")
     path = shared_path(spark, "score-counts")
     score_counts(long, "x", ["o", "fold"]).write.parquet(path)
@@ -166,10 +212,7 @@ def calibration_report(fields: DataFrame, scores: Sequence[str] = ("p_first", "p
     a = counts.join(cut.hint("merge"), "o").groupBy("o", "threshold").agg(
         F.sum("n").alias("n"), F.sum(F.col("n") - F.col("c")).alias("w"), F.coalesce(F.sum(F.when(below, F.col("n"))), F.lit(0)).alias("f"), F.coalesce(F.sum(F.when(below, F.col("n") - F.col("c"))), F.lit(0)).alias("wf")
     )
-    after = None
-    for i in range(len(scores)):
-        part = _ece(_calibrated(folds.where(F.col("o") == i)), []).select(F.lit(i).alias("o"), F.col("ece").alias("ece2"))
-        after = part if after is None else after.unionByName(part)
+    after = _ece(_calibrated(folds, ["o"]), ["o"]).withColumnRenamed("ece", "ece2")
     rows = a.join(_auroc(sums, ["o"]).hint("merge"), "o").join(_ece(counts, ["o"]).hint("merge"), "o").join(after.hint("merge"), "o")  # a row for each aggregator
     r4 = lambda x, name: F.round(x, 4).alias(name)
     out = rows.select(

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyweave.operators.scans import before, in_ranges
+
 
 def exact_mean(x: str | Column, places: int = 6) -> Column:
     """The mean of numbers, rounded half up to so many places (9 at most): exact sums of billionths, so no order of adding shows.
@@ -53,32 +55,33 @@ def fields_from_tokens(tokens: DataFrame, lists: Sequence[str] = ("items", "char
     return text.select("bill_id", path.alias("path"), value.alias("value"), F.round("p_first", 6).alias("p_first"), F.round("p_mean", 6).alias("p_mean"), F.round("p_min", 6).alias("p_min"))
 
 
-def new_best(log: DataFrame) -> DataFrame:
-    """Epochs whose score beats all earlier ones of the run."""
-    w = Window.partitionBy("run").orderBy("epoch").rowsBetween(Window.unboundedPreceding, -1)
-    return log.withColumn("best_before", F.max("score").over(w)).where(F.col("best_before").isNull() | (F.col("score") > F.col("best_before"))).select("run", "epoch", "score")
+def new_best(log: DataFrame, ranges: int | None = None) -> DataFrame:
+    """Epochs whose score beats all earlier ones of the run. A run's epochs may lie over many ranges (`ranges`: how many in all)."""
+    t = before(in_ranges(log.select("run", "epoch", "score"), ["run", "epoch"], ranges), ["run"], ["epoch"], best_before=("max", "score"))
+    return t.where(F.col("best_before").isNull() | (F.col("score") > F.col("best_before"))).select("run", "epoch", "score")
 
 
-def run_guards(log: DataFrame, streak: int = 3, factor: float = 3.0, jump: float = 5.0, by_epoch: int = 4, least: float = 0.2) -> DataFrame:
+def run_guards(log: DataFrame, streak: int = 3, factor: float = 3.0, jump: float = 5.0, by_epoch: int = 4, least: float = 0.2, ranges: int | None = None) -> DataFrame:
     """(run, epoch, rule): the epochs at which a rule is first broken in each stretch.
 
     non_finite: the loss is NaN or infinite; non_finite_streak: the k-th such epoch in a row; zero_loss: under 1e-5; diverged:
     from epoch 3 on over factor times the least finite loss before; jumped: over `jump` times the previous finite loss;
     not_learning: the first epoch from by_epoch on scores under `least`.
+
+    What a rule needs of earlier epochs is carried from range to range of a run's epochs (`ranges`: how many in all). Records
+    without a run are left out.
     """
-    w = Window.partitionBy("run").orderBy("epoch")
-    past = w.rowsBetween(Window.unboundedPreceding, -1)
     bad = F.isnan("loss") | (F.abs("loss") == float("inf")) | F.col("loss").isNull()
-    t = log.withColumn("bad", bad).withColumn("ok", F.when(~F.col("bad"), F.col("loss")))
-    t = t.withColumn("island", F.sum((~F.col("bad")).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    t = t.withColumn("in_row", F.when(F.col("bad"), F.row_number().over(Window.partitionBy("run", "island", "bad").orderBy("epoch"))))
-    t = t.withColumn("least_before", F.min("ok").over(past)).withColumn("before", F.last("ok", ignorenulls=True).over(past))
-    t = t.withColumn("late", F.row_number().over(Window.partitionBy("run", F.col("epoch") >= by_epoch).orderBy("epoch")))
+    t = log.select("run", "epoch", "score", bad.alias("bad"), F.when(~bad, F.col("loss")).alias("ok"), (F.col("epoch") >= by_epoch).cast("int").alias("late"))
+    t = in_ranges(t, ["run", "epoch"], ranges)
+    t = before(t, ["run"], ["epoch"], at=("sum", F.lit(1)), late_before=("sum", "late"), least_before=("min", "ok"), before=("last", "ok"))
+    t = before(t, ["run"], ["epoch"], ok_at=("last", F.when(~F.col("bad"), F.col("at"))))
+    in_row = F.when(F.col("bad"), F.col("at") - F.coalesce("ok_at", F.lit(-1)))
     rule = lambda test, name: F.when(F.coalesce(test, F.lit(False)), name)
     rules = F.array_compact(F.array(
-        rule(F.col("bad"), "non_finite"), rule(F.col("in_row") == streak, "non_finite_streak"), rule(F.col("ok") < 1e-5, "zero_loss"),
+        rule(F.col("bad"), "non_finite"), rule(in_row == streak, "non_finite_streak"), rule(F.col("ok") < 1e-5, "zero_loss"),
         rule((F.col("epoch") >= 3) & (F.col("ok") > factor * F.col("least_before")), "diverged"), rule(F.col("ok") > jump * F.col("before"), "jumped"),
-        rule((F.col("epoch") >= by_epoch) & (F.col("late") == 1) & (F.col("score") < least), "not_learning"),
+        rule((F.col("late") == 1) & (F.col("late_before") == 0) & (F.col("score") < least), "not_learning"),
     ))
     return t.select("run", "epoch", F.explode(rules).alias("rule"))
 

@@ -206,11 +206,37 @@ def calibration_by_field(spark, d):
     return C.calibration_by_field(view(spark, d, "field_conf"), "p_min")
 
 
-@query("isotonic_calibrate")
+def isotonic_sql(points: str, keys: str, name: str = "fit") -> str:
+    """CTEs that end in name (keys, s, v): the fit at each score of points (keys, s, c, n) as the largest least mean of runs around it."""
+    k, on = keys, " AND ".join(f"a.{x.strip()} = b.{x.strip()}" for x in keys.split(","))
+    ak = ", ".join(f"a.{x.strip()}" for x in keys.split(","))
+    return f"""{name}_i AS (SELECT *, row_number() OVER w AS i, sum(c) OVER w AS cc, sum(n) OVER w AS cn FROM {points} WINDOW w AS (PARTITION BY {k} ORDER BY s)),
+  {name}_m AS (SELECT {ak}, a.i AS a, b.i AS b, b.s, CAST(b.cc - a.cc + a.c AS DOUBLE) / CAST(b.cn - a.cn + a.n AS DOUBLE) AS m FROM {name}_i a JOIN {name}_i b ON {on} AND a.i <= b.i),
+  {name}_l AS (SELECT {k}, s, min(m) OVER (PARTITION BY {k}, a ORDER BY b ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS m FROM {name}_m), {name} AS (SELECT {k}, s, max(m) AS v FROM {name}_l GROUP BY {k}, s)"""
+
+
+#: The map at x between its neighbours lo and hi (s, v).
+AT = "least(1, greatest(0, CASE WHEN lo.s IS NULL THEN hi.v WHEN hi.s IS NULL OR hi.s = lo.s THEN lo.v ELSE lo.v + (hi.v - lo.v) * (x - lo.s) / (hi.s - lo.s) END))"
+
+
+@query("isotonic_calibrate", f"""WITH pts AS (SELECT 0 AS o, p_min AS s, sum(correct) AS c, count(*) AS n FROM field_conf GROUP BY p_min), {isotonic_sql('pts', 'o')}, grid AS (SELECT 0 AS o, CAST(i AS DOUBLE) / 100 AS x FROM range(101) t(i))
+  SELECT x AS score, round({AT}, 4) AS p FROM grid ASOF LEFT JOIN fit lo ON grid.o = lo.o AND grid.x >= lo.s ASOF LEFT JOIN fit hi ON grid.o = hi.o AND grid.x <= hi.s""")
 def isotonic_calibrate(spark, d):
     return C.isotonic_calibrate(view(spark, d, "field_conf"), "p_min")
 
 
-@query("calibration_report")
+SCORES = "long AS (" + " UNION ALL ".join(f"SELECT {i} AS o, '{c}' AS score, bill_id % 2 AS fold, correct, {c} AS x FROM field_conf" for i, c in enumerate(("p_first", "p_mean", "p_min"))) + ")"
+MAPPED = f"""{SCORES}, pts AS (SELECT o, fold, x AS s, sum(correct) AS c, count(*) AS n FROM long GROUP BY ALL), {isotonic_sql('pts', 'o, fold')},
+  mapped AS (SELECT p.o, {AT} AS s, p.c, p.n FROM (SELECT o, 1 - fold AS other, s AS x, c, n FROM pts) p ASOF LEFT JOIN fit lo ON p.o = lo.o AND p.other = lo.fold AND p.x >= lo.s ASOF LEFT JOIN fit hi ON p.o = hi.o AND p.other = hi.fold AND p.x <= hi.s)"""
+_bins = lambda s: " + ".join(f"CAST({s} >= {i / 10}::DOUBLE AS INT)" for i in range(1, 10))
+_gap = lambda rows: f"(SELECT o, sum(n * abs(sc / n - c / n)) / sum(n) AS e FROM (SELECT o, {_bins('s')} AS bin, CAST(sum(c) AS DOUBLE) AS c, CAST(sum(n) AS DOUBLE) AS n, sum(s * n) AS sc FROM {rows} GROUP BY ALL) GROUP BY o)"
+
+
+@query("calibration_report", f"""WITH {MAPPED}, whole AS (SELECT o, s, CAST(sum(c) AS DOUBLE) AS c, CAST(sum(n) AS DOUBLE) AS n FROM pts GROUP BY ALL),
+  ranks AS (SELECT *, coalesce(sum(n - c) OVER (PARTITION BY o ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM whole), au AS (SELECT o, sum(c * (below + (n - c) / 2)) / (sum(c) * sum(n - c)) AS a FROM ranks GROUP BY o),
+  cut AS (SELECT o, score, quantile_cont(x, 0.08) AS t FROM long GROUP BY ALL), f AS (SELECT l.o, l.score, t, count(*) AS n, count(*) FILTER (WHERE correct = 0) AS w, count(*) FILTER (WHERE x < t) AS f, count(*) FILTER (WHERE x < t AND correct = 0) AS wf FROM long l JOIN cut ON l.o = cut.o GROUP BY ALL)
+  SELECT score, round(a, 4) AS auroc, round(g.e, 4) AS ece_raw, round(h.e, 4) AS ece_calibrated, round(t, 6) AS threshold, round(CAST(f AS DOUBLE) / n, 4) AS flagged, round(CAST(wf AS DOUBLE) / nullif(w, 0), 4) AS errors_caught,
+    round(1 - CAST(w - wf AS DOUBLE) / nullif(n - f, 0), 4) AS unflagged_right, row_number() OVER (ORDER BY round(a, 4) DESC, f.o) = 1 AS best
+  FROM f JOIN au ON f.o = au.o JOIN {_gap('whole')} g ON f.o = g.o JOIN {_gap('mapped')} h ON f.o = h.o""")
 def calibration_report(spark, d):
     return C.calibration_report(view(spark, d, "field_conf"))

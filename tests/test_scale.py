@@ -102,3 +102,82 @@ def test_a_split_shuffles_each_input_once(spark, sf_dir):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_scans_match_windows(spark):
+    """A run over many ranges beside short ones: each kind of running value as a plain window has it."""
+    from pyspark.sql import Window
+
+    from tallyweave.operators.scans import before, in_ranges
+
+    r = random.Random(4)
+    rows = [("hot", i, r.choice([None, r.gauss(0, 1)])) for i in range(700)] + [(f"k{i % 40}", i // 40, r.choice([None, float(r.randrange(5))])) for i in range(200)] + [("one", 5, None)]
+    df = spark.createDataFrame(rows, "run string, epoch int, x double").repartition(5)
+    t = in_ranges(df, ["run", "epoch"], 9)
+    assert t.where("run = 'hot'").select("part").distinct().count() > 3
+    got = before(t, ["run"], ["epoch"], n=("sum", F.lit(1)), low=("min", "x"), high=("max", "x"), prev=("last", "x"))
+    w = Window.partitionBy("run").orderBy("epoch").rowsBetween(Window.unboundedPreceding, -1)
+    want = df.select("*", F.coalesce(F.sum(F.lit(1)).over(w), F.lit(0)).alias("n"), F.min("x").over(w).alias("low"), F.max("x").over(w).alias("high"), F.last("x", ignorenulls=True).over(w).alias("prev"))
+    cols = want.columns
+    assert sorted(map(repr, got.select(cols).collect())) == sorted(map(repr, want.collect()))
+    assert before(in_ranges(df.limit(0), ["run", "epoch"]), ["run"], ["epoch"], n=("sum", F.lit(1))).collect() == []
+
+
+def guards_by_hand(log):
+    out, low, last, bad, late = [], None, None, 0, False
+    best, bests = None, []
+    for epoch, loss, score in log:
+        if best is None or score > best:
+            best = score
+            bests.append(epoch)
+        if loss is None or loss != loss or abs(loss) == float("inf"):
+            bad += 1
+            out += [(epoch, "non_finite")] + [(epoch, "non_finite_streak")] * (bad == 3)
+        else:
+            bad = 0
+            out += [(epoch, "zero_loss")] * (loss < 1e-5)
+            out += [(epoch, "diverged")] * (epoch >= 3 and low is not None and loss > 3 * low) + [(epoch, "jumped")] * (last is not None and loss > 5 * last)
+            low, last = loss if low is None else min(low, loss), loss
+        if epoch >= 4 and not late:
+            late = True
+            out += [(epoch, "not_learning")] * (score < 0.2)
+    return out, bests
+
+
+def test_guards_of_a_run_over_many_ranges(spark):
+    from tallyweave.operators import runs as R
+
+    r = random.Random(8)
+    loss = lambda: r.choice([None, float("nan"), float("inf"), float("nan"), 0.0, r.random(), r.random(), 10 ** r.uniform(-3, 3)])
+    logs = {"hot": [(e, loss(), r.random() * e) for e in range(1, 600)], **{f"r{i}": [(e, loss(), r.random() / 3) for e in range(1, 12)] for i in range(30)}}
+    rows = [(run, *x) for run, log in logs.items() for x in log]
+    r.shuffle(rows)
+    df = spark.createDataFrame(rows, "run string, epoch int, loss double, score double")
+    want = {run: guards_by_hand(log) for run, log in logs.items()}
+    for n in (1, 11):
+        assert sorted(map(tuple, R.run_guards(df, ranges=n).collect())) == sorted((run, *x) for run, (out, _) in want.items() for x in out)
+        assert sorted((x.run, x.epoch) for x in R.new_best(df, ranges=n).collect()) == sorted((run, e) for run, (_, b) in want.items() for e in b)
+    assert R.run_guards(df.limit(0)).collect() == [] and R.new_best(df.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("ranges", [1, 3, 70])
+def test_isotonic_by_ranges_matches_pooling(spark, ranges):
+    """Several keys and levels of pooling: knots and values between them as pooled adjacent violators over the whole give."""
+    from tallyweave.operators import calibration as C
+    from tests.test_records import pooled
+
+    r = random.Random(5)
+    points = {("noisy", i / 900): (lambda n: (sum(r.random() < i / 900 for _ in range(n)), n))(r.randrange(1, 6)) for i in range(900)}
+    points |= {("falling", i / 50): (50 - i, 50) for i in range(50)} | {("steps", i / 60): (i // 6, 10) for i in range(60)} | {("one", 0.3): (1, 4)}
+    counts = spark.createDataFrame([(k, s, c, n) for (k, s), (c, n) in points.items()] + [("noisy", None, 1, 1), ("noisy", float("nan"), 1, 1)], "k string, s double, c long, n long").repartition(4)
+    knots = C.isotonic_knots(counts, ["k"], ranges)
+    asked = sorted({s for _, s in points} | {r.uniform(-0.5, 1.5) for _ in range(200)})
+    rows = spark.createDataFrame([(k, s) for k in ("noisy", "falling", "steps", "one", "none") for s in asked], "k string, s double")
+    got = {}
+    for x in C.isotonic_values(rows, knots, ["k"], ranges).collect():
+        got.setdefault(x.k, {})[x.s] = x.p
+    assert set(got["none"].values()) == {None}
+    for k in ("noisy", "falling", "steps", "one"):
+        at, fitted = pooled([(s, c, n) for (key, s), (c, n) in points.items() if key == k])
+        assert [got[k][s] for s in asked] == pytest.approx(np.interp(asked, at, fitted).tolist(), abs=1e-12), k
+    assert C.isotonic_values(rows, C.isotonic_knots(counts.limit(0), ["k"], ranges), ["k"], ranges).where("p IS NOT NULL").count() == 0
