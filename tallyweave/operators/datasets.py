@@ -156,8 +156,32 @@ def profile_flags(rows: DataFrame) -> DataFrame:
 
 
 def key_frequency(rows: DataFrame, text: str) -> DataFrame:
-    """(key, n): how often each top-level JSON key occurs."""
-    return rows.select(F.explode(F.json_object_keys(text)).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    """(level, key, n): how many objects at a level of the JSON texts have a key. The outermost level is '', others are paths
+    such as `a.b` or `items[]` (objects in that list). Null and broken texts, and those that repeat a key, have no keys.
+
+    The deepest nesting is one number, from the texts' brackets; then each level is one explode of the level above it.
+    """
+    spark = rows.sparkSession
+    at = rows.select(F.try_parse_json(text).alias("v"), F.lit("").alias("level")).where("v IS NOT NULL")
+    bare = F.regexp_replace(F.regexp_replace(F.to_json("v"), r"\\.", ""), '"[^"]*"', "")  # without escapes, then without strings
+    marks = F.regexp_replace(bare, r"[^\[\]{}]", "")
+    start = F.expr("named_struct('now', 0, 'most', 0)")
+
+    def move(x: Column, c: Column) -> Column:
+        now = x["now"] + F.when(c.isin("{", "["), 1).otherwise(-1)
+        return F.struct(now.alias("now"), F.greatest(x["most"], now).alias("most"))
+
+    deep = at.agg(F.max(F.aggregate(F.filter(F.split(marks, ""), lambda c: c != ""), start, move)["most"])).first()[0] or 0
+    found = None
+    for _ in range(deep):
+        part = at.lateralJoin(spark.tvf.variant_explode(F.col("v").outer())).select("level", "key", "value")
+        keys = part.where("key IS NOT NULL").select("level", "key")
+        found = keys if found is None else found.unionByName(keys)
+        name = F.when(F.col("key").isNull(), F.concat("level", F.lit("[]"))).when(F.col("level") == "", F.col("key")).otherwise(F.concat_ws(".", "level", "key"))
+        at = part.where(F.schema_of_variant("value").rlike("^(OBJECT|ARRAY)")).select(F.col("value").alias("v"), name.alias("level"))
+    if found is None:
+        found = at.select("level", F.lit("").alias("key")).limit(0)
+    return found.groupBy("level", "key").agg(F.count(F.lit(1)).alias("n"))
 
 
 def charge_prevalence(bills: DataFrame, charges: DataFrame) -> DataFrame:
@@ -168,13 +192,18 @@ def charge_prevalence(bills: DataFrame, charges: DataFrame) -> DataFrame:
 
 
 def dataset_profile(bills: DataFrame, items: DataFrame, consistent: DataFrame) -> DataFrame:
-    """Per split: bills, items per bill, share with items, consistent share of those, mean quantity and share over 1."""
-    i = items.groupBy("bill_id").agg(F.count(F.lit(1)).alias("k"), F.sum("qty").alias("q"), F.count_if(F.col("qty") > 1).alias("many"))
+    """Per split: bills, items per bill, share with items, consistent share of those, mean quantity and share over 1.
+
+    If items have a column `nested`, also the share of bills with an item that holds further items.
+    """
+    deep = "nested" in items.columns
+    i = items.groupBy("bill_id").agg(F.bool_or("nested" if deep else F.lit(False)).alias("deep"), F.count(F.lit(1)).alias("k"), F.sum("qty").alias("q"), F.count_if(F.col("qty") > 1).alias("many"))
     rows = bills.join(i, "bill_id", "left").join(consistent.select("bill_id", F.lit(1).alias("ok")), "bill_id", "left")
     r4 = lambda x, name: F.round(x, 4).alias(name)
     return rows.groupBy("split").agg(
         F.count(F.lit(1)).alias("n"), r4(F.sum("k") / F.count(F.lit(1)), "items_per_bill"), r4(F.count("k") / F.count(F.lit(1)), "with_items"),
         r4(F.count_if(F.col("k").isNotNull() & F.col("ok").isNotNull()) / F.count("k"), "consistent"), r4(F.sum("q") / F.sum("k"), "mean_qty"), r4(F.sum("many") / F.sum("k"), "qty_over_one"),
+        *([r4(F.count_if(F.coalesce("deep", F.lit(False))) / F.count(F.lit(1)), "nested")] if deep else []),
     )
 
 

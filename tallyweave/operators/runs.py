@@ -120,9 +120,14 @@ def stage_breakdown(rows: DataFrame, warmup: int = 2) -> DataFrame:
 
 
 def throughput(rows: DataFrame, group: str) -> DataFrame:
-    """(group, n, errors, seconds, per_second) of requests with start, end (seconds) and ok."""
+    """(group, n, errors, seconds, per_second, p50, p95, mean, longest) of requests with start, end (seconds) and ok.
+
+    Latencies are those of requests that ended well, by place as in latency_stats; null where none did.
+    """
     a = rows.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("ok")).alias("errors"), (F.max("end") - F.min("start")).alias("s"))
-    return a.select(group, "n", "errors", F.round("s", 3).alias("seconds"), F.round(F.try_divide(F.col("n") - F.col("errors"), F.col("s")), 4).alias("per_second"))
+    took = latency_stats(rows.where("ok").select(group, F.round(F.col("end") - F.col("start"), 4).alias("took")), [group], "took").drop("n")
+    a = a.join(took.hint("merge"), group, "left")
+    return a.select(group, "n", "errors", F.round("s", 3).alias("seconds"), F.round(F.try_divide(F.col("n") - F.col("errors"), F.col("s")), 4).alias("per_second"), "p50", "p95", "mean", "longest")
 
 
 def curve_table(log: DataFrame, series: Sequence[str]) -> DataFrame:

@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from difflib import SequenceMatcher
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from tallyweave.functions.money import canon_num, norm_name, parse_money, similarity
+from tallyweave.operators.calibration import auroc
 from tallyweave.operators.quantiles import exact_quantiles
 
 
@@ -37,39 +41,52 @@ def field_f1(pred: DataFrame, truth: DataFrame) -> DataFrame:
     return c.select(F.round(p, 4).alias("precision"), F.round(r, 4).alias("recall"), F.round(f, 4).alias("f1"))
 
 
-def match_items(pred: DataFrame, truth: DataFrame, threshold: float = 0.8) -> DataFrame:
+@F.pandas_udf(DoubleType())
+def block_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Twice the characters in the longest matching blocks (taken recursively) over both lengths; 1 for two empty texts."""
+    return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
+
+
+def match_items(pred: DataFrame, truth: DataFrame, threshold: float = 0.8, by: str = "blocks") -> DataFrame:
     """(bill_id, tp, fp, fn): greedy one-to-one matches in the order of truth's items.
 
-    A candidate has a similar name, equal quantity and total; the most similar wins, the first on ties. The fold runs over
-    one bill's arrays (at most 200 items).
+    A candidate has a similar name, equal quantity and total; the most similar wins, the first on ties. by: `blocks` takes
+    block_ratio, `edits` 1 - edit distance / length. Names that reach a block ratio r are at most (1 - r) times both lengths
+    apart in edits, so only such pairs are put to Python. The fold runs over one bill's pairs (at most 200 items a side).
     """
-    pack = lambda t, out: t.groupBy("bill_id").agg(F.sort_array(F.collect_list(F.struct("item_idx", norm_name(F.col("name")).alias("name"), "qty", "total_cents"))).alias(out))
-    rows = pack(truth, "t").join(pack(pred, "p"), "bill_id", "full")
-    empty = F.expr("cast(array() as array<int>)")
-
-    def step(used: Column, g: Column) -> Column:
-        def better(best: Column, p: Column) -> Column:
-            s = similarity(p["name"], g["name"])
-            fits = ~F.array_contains(used, p["item_idx"]) & (s >= threshold) & (s > best["s"]) & (p["qty"] == g["qty"]) & (p["total_cents"] == g["total_cents"])
-            return F.when(F.coalesce(fits, F.lit(False)), F.struct(p["item_idx"].alias("i"), s.alias("s"))).otherwise(best)
-
-        best = F.aggregate("p", F.struct(F.lit(-1).alias("i"), F.lit(0.0).alias("s")), better)
-        return F.concat(used, F.filter(F.array(best["i"]), lambda i: i >= 0))
-
-    tp = F.when(F.col("p").isNull() | F.col("t").isNull(), 0).otherwise(F.size(F.aggregate("t", empty, step)))
-    size = lambda c: F.coalesce(F.size(c), F.lit(0))
-    rows = rows.withColumn("tp", tp).withColumn("np", F.when(F.col("p").isNull(), 0).otherwise(size("p"))).withColumn("nt", F.when(F.col("t").isNull(), 0).otherwise(size("t")))
+    side = lambda t, x: t.select("bill_id", F.col("item_idx").alias(x), norm_name(F.col("name")).alias(f"{x}_name"), "qty", "total_cents")
+    pairs = side(pred, "p").join(side(truth, "t").hint("merge"), ["bill_id", "qty", "total_cents"])
+    if by == "blocks":
+        both = F.length("p_name") + F.length("t_name")
+        pairs = pairs.where(F.levenshtein("p_name", "t_name") <= F.ceil((1 - threshold) * both + 1e-9)).withColumn("s", block_ratio("p_name", "t_name"))
+    else:
+        pairs = pairs.withColumn("s", similarity(F.col("p_name"), F.col("t_name")))
+    found = pairs.where((F.col("s") >= threshold) & (F.col("s") > 0)).groupBy("bill_id").agg(F.sort_array(F.collect_list(F.struct("t", (-F.col("s")).alias("d"), "p"))).alias("l"))  # one bill's pairs
+    start = F.expr("cast(struct(array() AS used, array() AS done) AS struct<used:array<int>,done:array<int>>)")
+
+    def step(at: Column, x: Column) -> Column:
+        free = ~F.array_contains(at["used"], x["p"]) & ~F.array_contains(at["done"], x["t"])
+        return F.when(free, F.struct(F.array_append(at["used"], x["p"]).alias("used"), F.array_append(at["done"], x["t"]).alias("done"))).otherwise(at)
+
+    found = found.select("bill_id", F.size(F.aggregate("l", start, step)["used"]).alias("tp"), F.lit(0).alias("np"), F.lit(0).alias("nt"))
+    count = lambda t, p: t.select("bill_id", F.lit(0).alias("tp"), F.lit(p).alias("np"), F.lit(1 - p).alias("nt"))
+    rows = found.unionByName(count(pred, 1)).unionByName(count(truth, 0)).groupBy("bill_id").agg(*(F.sum(c).cast("int").alias(c) for c in ("tp", "np", "nt")))
     return rows.select("bill_id", "tp", (F.col("np") - F.col("tp")).alias("fp"), (F.col("nt") - F.col("tp")).alias("fn"))
 
 
-def evaluate_records(bills: DataFrame, pred_bills: DataFrame, leaves: DataFrame, pred_leaves: DataFrame, items: DataFrame, pred_items: DataFrame, charges: DataFrame, pred_charges: DataFrame, consistent: DataFrame) -> DataFrame:
-    """All bill metrics per source and pooled (`all`), ratios of sums, by rollup."""
+def record_counts(bills: DataFrame, pred_bills: DataFrame, leaves: DataFrame, pred_leaves: DataFrame, items: DataFrame, pred_items: DataFrame, charges: DataFrame, pred_charges: DataFrame) -> DataFrame:
+    """bills with tp, fp, fn of fields (f_), charges (c_) and items (i_), null where a bill has none, and the totals read (ps, pg)."""
     n = lambda c, name: c.select("bill_id", F.col("tp").alias(f"{name}_tp"), F.col("fp").alias(f"{name}_fp"), F.col("fn").alias(f"{name}_fn"))
     f = n(multiset_counts(pred_leaves, leaves, ["bill_id", "path", "value"], ["bill_id"]), "f")
     c = n(multiset_counts(pred_charges, charges, ["bill_id", "type", "amount_cents"], ["bill_id"]), "c")
     i = n(match_items(pred_items, items), "i")
     t = pred_bills.select("bill_id", F.col("subtotal_cents").alias("ps"), F.col("grand_cents").alias("pg"))
-    rows = bills.join(t, "bill_id").join(f, "bill_id", "left").join(c, "bill_id", "left").join(i, "bill_id", "left").join(consistent.select("bill_id", F.lit(1).alias("ok")), "bill_id", "left")
+    return bills.join(t, "bill_id").join(f, "bill_id", "left").join(c, "bill_id", "left").join(i.hint("merge"), "bill_id", "left")
+
+
+def evaluate_records(bills: DataFrame, pred_bills: DataFrame, leaves: DataFrame, pred_leaves: DataFrame, items: DataFrame, pred_items: DataFrame, charges: DataFrame, pred_charges: DataFrame, consistent: DataFrame) -> DataFrame:
+    """All bill metrics per source and pooled (`all`), ratios of sums, by rollup."""
+    rows = record_counts(bills, pred_bills, leaves, pred_leaves, items, pred_items, charges, pred_charges).join(consistent.select("bill_id", F.lit(1).alias("ok")), "bill_id", "left")
     s = lambda name: F.sum(F.coalesce(name, F.lit(0))).alias(name)
     hit = lambda a, b: F.sum(F.coalesce((F.col(a) == F.col(b)).cast("int"), F.lit(0)))
     agg = rows.rollup("source").agg(
@@ -158,18 +175,29 @@ def error_taxonomy(items: DataFrame, pred_items: DataFrame, charges: DataFrame,
     return per.groupBy("category").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("bills"), F.sum("f").alias("highlighted"))
 
 
-def condition_report(fields: DataFrame, keys: Sequence[str], threshold: float) -> DataFrame:
-    """Per condition: fields, wrong ones, flagged share, errors caught, right among unflagged, bills with an (unflagged) error.
+def condition_report(fields: DataFrame, keys: Sequence[str], threshold: float, records: DataFrame | None = None) -> DataFrame:
+    """Per condition: fields, wrong ones, flagged share, errors caught, right among unflagged, AUROC, bills with an (unflagged) error.
 
-    fields: keys, bill_id, correct, p_min. Two aggregates: per bill, then per condition.
+    fields: keys, bill_id, correct, p_min. Two aggregates: per bill, then per condition. With records (keys, bill_id, columns
+    of record_counts, grand_cents, retake), also field, item and charge F1, the share of right totals and of images to take
+    again; conditions are those of the fields.
     """
     wrong, flag = F.col("correct") == 0, F.col("p_min") < threshold
     per = fields.groupBy(*keys, "bill_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(wrong).alias("w"), F.count_if(flag).alias("f"), F.count_if(wrong & flag).alias("wf"))
     a = per.groupBy(*keys).agg(F.count(F.lit(1)).alias("bills"), *(F.sum(c).alias(c) for c in ("n", "w", "f", "wf")), F.count_if(F.col("w") > 0).alias("bills_wrong"), F.count_if(F.col("w") > F.col("wf")).alias("bills_wrong_unflagged"))
+    a = a.join(auroc(fields, "p_min", keys).select(*keys, "auroc").hint("merge"), [*keys], "left")
     r4 = lambda x, name: F.round(x, 4).alias(name)
+    more = []
+    if records is not None:
+        s = lambda name: F.sum(F.coalesce(name, F.lit(0))).alias(name)
+        right = F.coalesce((F.col("pg") == F.col("grand_cents")).cast("int"), F.lit(0))
+        r = records.groupBy(*keys).agg(F.count(F.lit(1)).alias("records"), *(s(f"{k}_{m}") for k in "fic" for m in ("tp", "fp", "fn")), F.sum(right).alias("right"), F.count_if("retake").alias("again"))
+        a = a.join(r.hint("merge"), [*keys], "left")
+        f1 = lambda k: prf(F.col(f"{k}_tp"), F.col(f"{k}_fp"), F.col(f"{k}_fn"))[2]
+        more = [r4(f1("f"), "field_f1"), r4(f1("i"), "item_f1"), r4(f1("c"), "charge_f1"), r4(ratio(F.col("right"), F.col("records")), "grand_total_acc"), r4(ratio(F.col("again"), F.col("records")), "retake_share")]
     return a.select(
         *keys, "bills", F.col("n").alias("fields"), F.col("w").alias("wrong"), r4(ratio(F.col("f"), F.col("n")), "flagged"), r4(F.try_divide(F.col("wf"), F.col("w")), "errors_caught"),
-        r4(1 - ratio(F.col("w") - F.col("wf"), F.col("n") - F.col("f")), "unflagged_right"), "bills_wrong", "bills_wrong_unflagged", r4(ratio(F.col("f"), F.col("bills")), "flags_per_bill"),
+        r4(1 - ratio(F.col("w") - F.col("wf"), F.col("n") - F.col("f")), "unflagged_right"), r4(F.col("auroc"), "auroc"), "bills_wrong", "bills_wrong_unflagged", r4(ratio(F.col("f"), F.col("bills")), "flags_per_bill"), *more,
     )
 
 
@@ -188,12 +216,27 @@ def leaderboard(results: DataFrame) -> DataFrame:
     return results.groupBy("model").agg(F.round(F.avg("field_f1"), 4).alias("score")).orderBy(F.col("score").desc(), F.col("model").desc())
 
 
-def variant_matrix(readings: DataFrame) -> DataFrame:
-    """(variant, records, with_items, total_right) and a row `any` counted once for each record."""
+def exact_fields(read: DataFrame, truth: DataFrame, texts: Sequence[str], numbers: Sequence[str]) -> DataFrame:
+    """One row: records (by id) of both sides and how many read each field exactly: texts as letters and digits, numbers as money.
+
+    A missing text equals an empty one, two unreadable numbers are equal.
+    """
+    same = lambda f, c: f(F.col(f"r.{c}")).eqNullSafe(f(F.col(f"t.{c}")))
+    rows = read.alias("r").join(truth.alias("t").hint("merge"), F.col("r.id") == F.col("t.id"))
+    hits = [F.count_if(same(lambda x: norm_name(F.coalesce(x, F.lit(""))), c)).alias(f"{c}_exact") for c in texts] + [F.count_if(same(parse_money, c)).alias(f"{c}_exact") for c in numbers]
+    return rows.agg(F.count(F.lit(1)).alias("records"), *hits)
+
+
+def variant_matrix(readings: DataFrame, auxiliary: DataFrame | None = None) -> DataFrame:
+    """(variant, records, with_items, total_right) and a row `any` counted once for each record.
+
+    With auxiliary (a row of exact_fields), also a row `auxiliary` with its columns, null elsewhere.
+    """
     ok = lambda c: F.bool_or(c).cast("int")
     each = readings.groupBy("variant").agg(F.count(F.lit(1)).alias("records"), F.count_if("has_items").alias("with_items"), F.count_if("total_right").alias("total_right"))
-    any_ = readings.groupBy("id").agg(ok("has_items").alias("i"), ok("total_right").alias("t")).agg(F.lit("any").alias("variant"), F.count(F.lit(1)).alias("records"), F.sum("i").alias("with_items"), F.sum("t").alias("total_right"))
-    return each.unionByName(any_)
+    any_ = readings.groupBy("id").agg(ok("has_items").alias("i"), ok("total_right").alias("t")).agg(F.lit("any").alias("variant"), F.count(F.lit(1)).alias("records"), F.coalesce(F.sum("i"), F.lit(0)).alias("with_items"), F.coalesce(F.sum("t"), F.lit(0)).alias("total_right"))
+    rows = each.unionByName(any_)
+    return rows if auxiliary is None else rows.unionByName(auxiliary.withColumn("variant", F.lit("auxiliary")), allowMissingColumns=True)
 
 
 def run_parity(a: DataFrame, b: DataFrame) -> DataFrame:

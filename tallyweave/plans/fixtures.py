@@ -103,6 +103,10 @@ VIEWS: dict[str, str] = {
     "arrivals": """
         SELECT event_id, ts, user_id, event_type, value, CAST(least(2, floor((event_id + event_id * 7919 % 40 + CASE WHEN event_id % 97 = 5 THEN 600 ELSE 0 END) * 3 / n)) AS INT) AS part
         FROM events, (SELECT count(*) AS n FROM events) c""",
+    # Objects in objects and in lists, lists in lists, empty ones and nulls.
+    "nested_events": """
+        SELECT event_id, concat('{"kind":"', event_type, '","props":', props, ',"parts":[', props, ',{"t":', CAST(user_id AS STRING),
+               CASE WHEN user_id % 3 = 0 THEN ',"deep":[[{"z":null}],{},[]]' ELSE '' END, '}]}') AS body FROM events""",
     "headers": """
         SELECT o_orderkey AS id, c_name AS company, n_name AS address, CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS STRING) AS total,
                CASE o_orderkey % 9 WHEN 0 THEN '2018-03-12' WHEN 1 THEN '12/03/2018' WHEN 2 THEN '12-03-18' WHEN 3 THEN '12.03.2018'

@@ -124,9 +124,9 @@ def profile_flags(spark, d):
     return D.profile_flags(V.quality_gate(stats).join(stats.select("id", "skew"), "id"))
 
 
-@query("key_frequency", "SELECT key, count(*) AS n FROM (SELECT unnest(json_keys(props)) AS key FROM events) GROUP BY key")
+@query("key_frequency", r"""SELECT regexp_replace(substr(j.path, 3), '\[[0-9]+\]', '[]', 'g') AS level, j.key AS key, count(*) AS n FROM nested_events, json_tree(nested_events.body) j WHERE j.key IS NOT NULL AND j.fullkey NOT LIKE '%]' GROUP BY 1, 2""")
 def key_frequency(spark, d):
-    return D.key_frequency(view(spark, d, "events"), "props")
+    return D.key_frequency(view(spark, d, "nested_events"), "body")
 
 
 @query("charge_prevalence", "SELECT type, round(CAST(count(DISTINCT bill_id) AS DOUBLE) / (SELECT count(*) FROM bills), 4) AS share FROM bill_charges GROUP BY type")
@@ -134,13 +134,13 @@ def charge_prevalence(spark, d):
     return D.charge_prevalence(view(spark, d, "bills"), view(spark, d, "bill_charges"))
 
 
-@query("dataset_profile", f"""WITH {ISSUES}, i AS (SELECT bill_id, count(*) AS k, sum(qty) AS q, count(*) FILTER (WHERE qty > 1) AS m FROM bill_items GROUP BY bill_id)
+@query("dataset_profile", f"""WITH {ISSUES}, i AS (SELECT bill_id, count(*) AS k, sum(qty) AS q, count(*) FILTER (WHERE qty > 1) AS m, bool_or(part % 50 = 0) AS deep FROM bill_items GROUP BY bill_id)
   SELECT split, count(*) AS n, round(CAST(sum(k) AS DOUBLE) / count(*), 4) AS items_per_bill, round(CAST(count(k) AS DOUBLE) / count(*), 4) AS with_items,
-    round(CAST(count(k) FILTER (WHERE b.bill_id NOT IN (SELECT bill_id FROM issues WHERE severity = 'error')) AS DOUBLE) / count(k), 4) AS consistent, round(CAST(sum(q) AS DOUBLE) / CAST(sum(k) AS DOUBLE), 4) AS mean_qty, round(CAST(sum(m) AS DOUBLE) / CAST(sum(k) AS DOUBLE), 4) AS qty_over_one
+    round(CAST(count(k) FILTER (WHERE b.bill_id NOT IN (SELECT bill_id FROM issues WHERE severity = 'error')) AS DOUBLE) / count(k), 4) AS consistent, round(CAST(sum(q) AS DOUBLE) / CAST(sum(k) AS DOUBLE), 4) AS mean_qty, round(CAST(sum(m) AS DOUBLE) / CAST(sum(k) AS DOUBLE), 4) AS qty_over_one, round(CAST(count(*) FILTER (WHERE deep) AS DOUBLE) / count(*), 4) AS nested
   FROM bills b LEFT JOIN i ON b.bill_id = i.bill_id GROUP BY split""")
 def dataset_profile(spark, d):
     ok = V.is_consistent(view(spark, d, "pred_bills"), V.check_arithmetic(view(spark, d, "pred_bills"), view(spark, d, "read_items"), view(spark, d, "read_charges")))
-    return D.dataset_profile(view(spark, d, "bills"), view(spark, d, "bill_items"), ok)
+    return D.dataset_profile(view(spark, d, "bills"), view(spark, d, "bill_items").withColumn("nested", F.col("part") % 50 == 0), ok)
 
 
 KEYWORDS = ("THE", "DER", "LA", "TOTAL", "COPYRIGHT", "LICENSED", "TOKEN", "RIGHTS", "IDIOT")
@@ -207,8 +207,11 @@ def stage_breakdown(spark, d):
     return R.stage_breakdown(e.select(F.col("event_id").alias("req"), (F.col("value") * 0.1).alias("h2d"), (F.col("value") * 0.3).alias("enc"), (F.col("value") * gen).alias("gen"), (10 + F.col("event_id") % 50).alias("tokens")))
 
 
-@query("throughput", """SELECT user_id AS level, count(*) AS n, count(*) FILTER (WHERE event_type = 'error') AS errors, round(max(s + value) - min(s), 3) AS seconds, round(count(*) FILTER (WHERE event_type <> 'error') / (max(s + value) - min(s)), 4) AS per_second
-  FROM (SELECT user_id, event_type, value, CAST(epoch_us(ts) AS DOUBLE) / 1000000 AS s FROM events) GROUP BY user_id""")
+@query("throughput", """WITH e AS (SELECT user_id, event_type, value, CAST(epoch_us(ts) AS DOUBLE) / 1000000 AS s FROM events),
+  l AS (SELECT user_id, round((s + value) - s, 4) AS v, row_number() OVER (PARTITION BY user_id ORDER BY round((s + value) - s, 4)) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS k FROM e WHERE event_type <> 'error'),
+  q AS (SELECT user_id, max(v) FILTER (WHERE i = least(floor(k * 0.5), k - 1)) AS p50, max(v) FILTER (WHERE i = least(floor(k * 0.95), k - 1)) AS p95, round(avg(v), 4) AS mean, max(v) AS longest FROM l GROUP BY user_id),
+  t AS (SELECT user_id AS level, count(*) AS n, count(*) FILTER (WHERE event_type = 'error') AS errors, round(max(s + value) - min(s), 3) AS seconds, round(count(*) FILTER (WHERE event_type <> 'error') / (max(s + value) - min(s)), 4) AS per_second FROM e GROUP BY user_id)
+  SELECT t.*, p50, p95, mean, longest FROM t LEFT JOIN q ON t.level = q.user_id""")
 def throughput(spark, d):
     start = F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000
     return R.throughput(view(spark, d, "events").select(F.col("user_id").alias("level"), start.alias("start"), (start + F.col("value")).alias("end"), (F.col("event_type") != "error").alias("ok")), "level")

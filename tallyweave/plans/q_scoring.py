@@ -9,7 +9,7 @@ from tallyweave.operators import normalise as N
 from tallyweave.operators import scoring as S
 from tallyweave.operators import validate as V
 from tallyweave.plans.fixtures import view
-from tallyweave.plans.q_records import ISSUES, LEAVES, predicted, truth
+from tallyweave.plans.q_records import _PROBLEMS, ISSUES, LEAVES, predicted, truth
 from tallyweave.registry import query
 
 FLAT = f"""{LEAVES}, tf AS (SELECT bill_id, regexp_replace(path, '\\[[0-9]+\\]', '') AS path, value, count(*) AS n FROM truth_leaves GROUP BY 1, 2, 3), pf AS (SELECT bill_id, regexp_replace(path, '\\[[0-9]+\\]', '') AS path, value, count(*) AS n FROM pred_leaves GROUP BY 1, 2, 3),
@@ -109,11 +109,31 @@ def error_taxonomy(spark, d):
     return S.error_taxonomy(v("bill_items"), v("pred_items"), v("bill_charges"), v("pred_charges"), v("bills"), v("pred_bills"), V.low_confidence_fields(v("field_conf"), 0.7))
 
 
-@query("condition_report", f"""WITH p AS (SELECT bill_id % 3 AS level, bill_id, count(*) AS n, count(*) FILTER (WHERE correct = 0) AS w, count(*) FILTER (WHERE p_min < 0.7) AS f, count(*) FILTER (WHERE correct = 0 AND p_min < 0.7) AS wf FROM field_conf GROUP BY 1, 2)
-  SELECT level, count(*) AS bills, CAST(sum(n) AS BIGINT) AS fields, CAST(sum(w) AS BIGINT) AS wrong, {_div('sum(f)', 'sum(n)')} AS flagged, round(CAST(sum(wf) AS DOUBLE) / nullif(CAST(sum(w) AS DOUBLE), 0), 4) AS errors_caught,
-    round(1 - CAST(sum(w) - sum(wf) AS DOUBLE) / CAST(sum(n) - sum(f) AS DOUBLE), 4) AS unflagged_right, count(*) FILTER (WHERE w > 0) AS bills_wrong, count(*) FILTER (WHERE w > wf) AS bills_wrong_unflagged, {_div('sum(f)', 'count(*)')} AS flags_per_bill FROM p GROUP BY level""")
+def _auroc_sql(where: str = "", group: str = "") -> str:
+    g = f"{group}, " if group else ""
+    part = f"PARTITION BY {group} " if group else ""
+    return f"""SELECT {g}round(sum(pos * (below + neg / 2.0)) / (sum(pos) * sum(neg)), 4) AS auroc FROM (SELECT *, coalesce(sum(neg) OVER ({part}ORDER BY p_min ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below
+      FROM (SELECT {g}p_min, CAST(sum(correct) AS DOUBLE) AS pos, CAST(sum(1 - correct) AS DOUBLE) AS neg FROM field_conf {where} GROUP BY {g}p_min)) {'GROUP BY ' + group if group else ''}"""
+
+
+LEVELS = "lf AS (SELECT *, bill_id % 3 AS level FROM field_conf)"
+
+
+@query("condition_report", f"""WITH {FLAT}, {CHARGES}, {ITEMS}, {LEVELS}, p AS (SELECT level, bill_id, count(*) AS n, count(*) FILTER (WHERE correct = 0) AS w, count(*) FILTER (WHERE p_min < 0.7) AS f, count(*) FILTER (WHERE correct = 0 AND p_min < 0.7) AS wf FROM lf GROUP BY 1, 2),
+  ra AS ({_auroc_sql(group='level').replace('field_conf', 'lf')}),
+  rr AS (SELECT b.bill_id % 3 AS level, {_f1('sum(coalesce(ff.tp, 0))', 'sum(coalesce(ff.np, 0))', 'sum(coalesce(ff.nt, 0))')} AS field_f1, {_f1('sum(coalesce(im.tp, 0))', 'sum(coalesce(im.np, 0))', 'sum(coalesce(im.nt, 0))')} AS item_f1, {_f1('sum(coalesce(cf.tp, 0))', 'sum(coalesce(cf.np, 0))', 'sum(coalesce(cf.nt, 0))')} AS charge_f1,
+    {_div('count(*) FILTER (WHERE q.grand_cents = b.grand_cents)', 'count(*)')} AS grand_total_acc, {_div('count(*) FILTER (WHERE len(g.problems) > 0)', 'count(*)')} AS retake_share
+    FROM bills b JOIN pred_bills q ON b.bill_id = q.bill_id LEFT JOIN ff ON b.bill_id = ff.bill_id LEFT JOIN cf ON b.bill_id = cf.bill_id LEFT JOIN im ON b.bill_id = im.bill_id LEFT JOIN ({_PROBLEMS}) g ON g.id = b.bill_id GROUP BY 1),
+  rc AS (SELECT level, count(*) AS bills, CAST(sum(n) AS BIGINT) AS fields, CAST(sum(w) AS BIGINT) AS wrong, {_div('sum(f)', 'sum(n)')} AS flagged, round(CAST(sum(wf) AS DOUBLE) / nullif(CAST(sum(w) AS DOUBLE), 0), 4) AS errors_caught,
+    round(1 - CAST(sum(w) - sum(wf) AS DOUBLE) / CAST(sum(n) - sum(f) AS DOUBLE), 4) AS unflagged_right, count(*) FILTER (WHERE w > 0) AS bills_wrong, count(*) FILTER (WHERE w > wf) AS bills_wrong_unflagged, {_div('sum(f)', 'count(*)')} AS flags_per_bill FROM p GROUP BY level)
+  SELECT rc.*, auroc, field_f1, item_f1, charge_f1, grand_total_acc, retake_share FROM rc LEFT JOIN ra ON rc.level = ra.level LEFT JOIN rr ON rc.level = rr.level""")
 def condition_report(spark, d):
-    return S.condition_report(view(spark, d, "field_conf").withColumn("level", F.col("bill_id") % 3), ["level"], 0.7)
+    v = lambda n: view(spark, d, n)
+    pl, tl = flat(spark, d)
+    level = (F.col("bill_id") % 3).alias("level")
+    again = V.quality_gate(v("image_stats")).select(F.col("id").alias("bill_id"), "retake")
+    records = S.record_counts(v("bills"), v("pred_bills"), tl, pl, v("bill_items"), v("pred_items"), v("bill_charges"), v("pred_charges")).join(again, "bill_id", "left")
+    return S.condition_report(v("field_conf").select("*", level), ["level"], 0.7, records.select("*", level))
 
 
 @query("before_after", "WITH m AS (SELECT CASE WHEN user_id % 2 = 0 THEN 'old' ELSE 'new' END AS run, event_type AS metric, value FROM events), q AS (SELECT metric, quantile_cont(value, 0.5) FILTER (WHERE run = 'old') AS b, quantile_cont(value, 0.5) FILTER (WHERE run = 'new') AS a FROM m GROUP BY metric) SELECT metric, round(b, 4) AS before, round(a, 4) AS after, round(a - b, 4) AS delta FROM q")
@@ -141,10 +161,16 @@ def selection_score(spark, d):
 VARIANTS = "vr AS (SELECT id, variant, (id + variant) % 5 <> 0 AS has_items, (id * variant) % 3 <> 1 AS total_right FROM (SELECT o_orderkey AS id FROM orders), (VALUES (1), (2), (3)) v(variant))"
 
 
-@query("variant_matrix", f"WITH {VARIANTS} SELECT 'v' || CAST(variant AS VARCHAR) AS variant, count(*) AS records, count(*) FILTER (WHERE has_items) AS with_items, count(*) FILTER (WHERE total_right) AS total_right FROM vr GROUP BY variant UNION ALL SELECT 'any', count(*), count(*) FILTER (WHERE i), count(*) FILTER (WHERE t) FROM (SELECT id, bool_or(has_items) AS i, bool_or(total_right) AS t FROM vr GROUP BY id)")
+@query("variant_matrix", f"""WITH {VARIANTS} SELECT 'v' || CAST(variant AS VARCHAR) AS variant, count(*) AS records, count(*) FILTER (WHERE has_items) AS with_items, count(*) FILTER (WHERE total_right) AS total_right, NULL::BIGINT AS company_exact, NULL::BIGINT AS address_exact, NULL::BIGINT AS date_exact, NULL::BIGINT AS total_exact FROM vr GROUP BY variant
+  UNION ALL SELECT 'any', count(*), count(*) FILTER (WHERE i), count(*) FILTER (WHERE t), NULL, NULL, NULL, NULL FROM (SELECT id, bool_or(has_items) AS i, bool_or(total_right) AS t FROM vr GROUP BY id)
+  UNION ALL SELECT 'auxiliary', count(*), NULL, NULL, count(*), count(*) FILTER (WHERE id % 7 <> 0), count(*) FILTER (WHERE id % 10 <> 0 OR date = ''), count(*) FILTER (WHERE id % 6 <> 0 OR total = '1000.00') FROM headers""")
 def variant_matrix(spark, d):
     rows = view(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.explode(F.array(*map(F.lit, (1, 2, 3)))).alias("v"))
-    return S.variant_matrix(rows.select("id", F.concat(F.lit("v"), F.col("v").cast("string")).alias("variant"), ((F.col("id") + F.col("v")) % 5 != 0).alias("has_items"), ((F.col("id") * F.col("v")) % 3 != 1).alias("total_right")))
+    h = view(spark, d, "headers")
+    every = lambda n, x, other: F.when(F.col("id") % n == 0, x).otherwise(other)
+    read = h.select("id", every(5, F.upper("company"), F.concat("company", F.lit(" !"))).alias("company"), every(7, F.expr("substr(address, 2)"), F.col("address")).alias("address"), every(10, None, F.col("date")).alias("date"), every(6, F.lit("1,000"), F.concat(F.lit("Rs "), "total")).alias("total"))
+    aux = S.exact_fields(read, h, ["company", "address", "date"], ["total"])
+    return S.variant_matrix(rows.select("id", F.concat(F.lit("v"), F.col("v").cast("string")).alias("variant"), ((F.col("id") + F.col("v")) % 5 != 0).alias("has_items"), ((F.col("id") * F.col("v")) % 3 != 1).alias("total_right")), aux)
 
 
 @query("run_parity", f"WITH {LEAVES} SELECT (SELECT count(*) FROM bills) AS n, (SELECT count(*) FROM bills WHERE bill_id NOT IN (SELECT coalesce(p.bill_id, t.bill_id) FROM pred_leaves p FULL JOIN truth_leaves t ON p.bill_id = t.bill_id AND p.path = t.path WHERE p.value IS DISTINCT FROM t.value)) AS identical")
@@ -168,13 +194,6 @@ def ece(spark, d):
     return C.ece(view(spark, d, "field_conf"), "p_min").select(F.round("ece", 6).alias("ece"))
 
 
-def _auroc_sql(where: str = "", group: str = "") -> str:
-    g = f"{group}, " if group else ""
-    part = f"PARTITION BY {group} " if group else ""
-    return f"""SELECT {g}round(sum(pos * (below + neg / 2.0)) / (sum(pos) * sum(neg)), 4) AS auroc FROM (SELECT *, coalesce(sum(neg) OVER ({part}ORDER BY p_min ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below
-      FROM (SELECT {g}p_min, CAST(sum(correct) AS DOUBLE) AS pos, CAST(sum(1 - correct) AS DOUBLE) AS neg FROM field_conf {where} GROUP BY {g}p_min)) {'GROUP BY ' + group if group else ''}"""
-
-
 @query("auroc", _auroc_sql())
 def auroc(spark, d):
     return C.auroc(view(spark, d, "field_conf"), "p_min").select(F.round("auroc", 4).alias("auroc"))

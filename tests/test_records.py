@@ -1,3 +1,4 @@
+import json
 import random
 
 import numpy as np
@@ -164,3 +165,73 @@ def test_entities_and_receipts(spark):
     raw = '{"menu": {"nm": ["Es", "Teh"], "cnt": "2x", "price": "40.000"}, "sub_total": [{"discount_price": "2.000", "tax_price": "0"}], "total": {"total_price": "38.000"}}'
     b = nested_receipt(spark.createDataFrame([(1, raw), (2, "{}")], "bill_id long, raw string")).collect()
     assert len(b) == 1 and [tuple(i) for i in b[0].bill["items"]] == [("Es Teh", "2", "20000", "40000")] and [tuple(c) for c in b[0].bill["charges"]] == [("DISCOUNT", "-2000")] and b[0].bill["subtotal"] == "40000"
+
+
+def test_match_items_by_blocks_matches_difflib(spark):
+    """Greedy matches in truth's order, as the standard library's ratio decides; pairs it accepts pass the edit filter."""
+    from difflib import SequenceMatcher
+
+    r = random.Random(12)
+    words = ["tea", "masala", "paneer", "tikka", "rice", "", "x", "butter naan", "abcdefghij" * 30]
+    def name():
+        s = list(" ".join(r.choices(words, k=r.randrange(1, 4))))
+        for _ in range(r.randrange(4)):
+            if s:
+                s[r.randrange(len(s))] = r.choice("abcxyz")
+        return "".join(s)
+
+    truth, pred = [], []
+    for b in range(60):
+        t = [(b, i, name(), r.randrange(1, 3), r.choice([100, 200, None])) for i in range(r.randrange(0, 7))]
+        p = [(b, i, x[2][r.randrange(2):] + r.choice(["", "s", "!"]), x[3], x[4]) for i, x in enumerate(r.sample(t, len(t)) + t[:1])]
+        truth, pred = truth + t, pred + p + ([(b, 90, None, 1, 100)] if b % 5 == 0 else [])
+    schema = "bill_id long, item_idx int, name string, qty int, total_cents long"
+    got = {x.bill_id: (x.tp, x.fp, x.fn) for x in S.match_items(spark.createDataFrame(pred, schema), spark.createDataFrame(truth, schema)).collect()}
+    norm = lambda s: "".join(c for c in (s or "").lower() if c.isascii() and c.isalnum())
+    want = {}
+    for b in {x[0] for x in truth} | {x[0] for x in pred}:
+        t, p, used = [x for x in truth if x[0] == b], [x for x in pred if x[0] == b], set()
+        for g in t:
+            best, s = None, 0.0
+            for x in p:
+                ratio = SequenceMatcher(None, norm(x[2]), norm(g[2])).ratio() if x[2] is not None else 0
+                if x[1] not in used and ratio >= 0.8 and ratio > s and x[3] == g[3] and x[4] is not None and x[4] == g[4]:
+                    best, s = x[1], ratio
+            used |= {best} - {None}
+        want[b] = (len(used), len(p) - len(used), len(t) - len(used))
+    assert got == want and sum(x[0] for x in want.values()) > 30
+
+
+def test_keys_by_level_match_a_walk(spark):
+    texts = [
+        '{"a": {"b": [1, {"c": null, "d": {}}, [{"e": 1}, []]]}, "x": "{[{[\\" \\\\"}', '{"a": 5, "x": [[[[{"deep": {"er": "]}"}}]]]]}', "[1, 2]", "[]", "{}", "3", "null", '"{"', "garbage", "", None,
+        '{"q\\"{": {"`<": [{"z": true}]}}', '{"a": {"b": {"c": 1}}}',
+    ]
+    want = {}
+
+    def walk(v, level):
+        if isinstance(v, dict):
+            for k, x in v.items():
+                want[level, k] = want.get((level, k), 0) + 1
+                walk(x, f"{level}.{k}" if level else k)
+        elif isinstance(v, list):
+            for x in v:
+                walk(x, f"{level}[]")
+
+    for t in texts:
+        try:
+            walk(json.loads(t), "")
+        except (TypeError, ValueError):
+            pass
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert {(x.level, x.key): x.n for x in D.key_frequency(df, "t").collect()} == want
+    assert D.key_frequency(df.limit(0), "t").collect() == [] and D.key_frequency(df.where("t = '3'"), "t").collect() == []
+
+
+def test_exact_fields_and_latencies(spark):
+    read = spark.createDataFrame([(1, "A.B. Co", "1,200.00"), (2, None, "x"), (3, "a", "5"), (4, "a", "5")], "id long, company string, total string")
+    truth = spark.createDataFrame([(1, "ab co", "1200"), (2, "", "y"), (3, "b", "6")], "id long, company string, total string")
+    assert tuple(S.exact_fields(read, truth, ["company"], ["total"]).first()) == (3, 2, 2)
+    rows = spark.createDataFrame([("a", 0.0, 1.0, True), ("a", 0.5, 3.5, True), ("a", 1.0, 9.0, False), ("b", 1.0, 1.0, False)], "g string, start double, end double, ok boolean")
+    got = {x.g: tuple(x)[1:] for x in R.throughput(rows, "g").collect()}
+    assert got == {"a": (3, 1, 9.0, 0.2222, 3.0, 3.0, 2.0, 3.0), "b": (1, 1, 0.0, None, None, None, None, None)}
