@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from tallyweave.functions.money import canon_num, norm_name, parse_money, similarity
+from tallyweave.functions.trees import tree_accuracy
 from tallyweave.operators.calibration import auroc
 from tallyweave.operators.quantiles import exact_quantiles
 
@@ -106,6 +107,19 @@ def leaf_edit_similarity(pred: DataFrame, truth: DataFrame) -> DataFrame:
     return rows.agg(F.count(F.lit(1)).alias("leaves"), F.round(F.avg(F.coalesce(similarity(F.col("p"), F.col("t")), F.lit(0.0))), 4).alias("similarity"))
 
 
+def tree_edit_accuracy(pred: DataFrame, truth: DataFrame) -> DataFrame:
+    """(bill_id, accuracy): how near a predicted record (bill_id, bill) is to the true one as an ordered tree, 0 to 1.
+
+    A true record without a prediction has 0, predictions without a true record are left out. A record is bounded (200 items),
+    and so is the work on it, which grows with the product of both trees' sizes. As that is much work for few bytes, the join
+    keeps spark.sql.shuffle.partitions tasks, which adaptive execution would merge.
+    """
+    tasks = int(truth.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    text = lambda t, name: t.select("bill_id", F.to_json("bill").alias(name)).repartition(tasks, "bill_id")
+    rows = text(truth, "t").join(text(pred, "p").hint("merge"), "bill_id", "left")
+    return rows.select("bill_id", tree_accuracy("p", "t").alias("accuracy"))
+
+
 def match_fields(fields: DataFrame, truth: DataFrame) -> DataFrame:
     """(bill_id, path, correct): a predicted leaf is correct if truth still has its (path, value); earlier ones consume first.
 

@@ -80,6 +80,11 @@ def leaf_edit_similarity(spark, d):
     return S.leaf_edit_similarity(N.leaf_paths(predicted(spark, d)), N.leaf_paths(truth(spark, d)))
 
 
+@query("tree_edit_accuracy")
+def tree_edit_accuracy(spark, d):
+    return S.tree_edit_accuracy(predicted(spark, d), truth(spark, d)).select("bill_id", F.round("accuracy", 6).alias("accuracy"))
+
+
 @query("match_fields", f"""WITH {LEAVES}, p AS (SELECT bill_id, path, regexp_replace(path, '\\[[0-9]+\\]', '') AS k, CASE WHEN path LIKE '%name' THEN {_nn('value')} ELSE value END AS v, row_number() OVER (PARTITION BY bill_id ORDER BY path) AS ord FROM pred_leaves),
   q AS (SELECT *, row_number() OVER (PARTITION BY bill_id, k, v ORDER BY ord) AS rn FROM p), t AS (SELECT bill_id, k, v, count(*) AS c FROM (SELECT bill_id, regexp_replace(path, '\\[[0-9]+\\]', '') AS k, CASE WHEN path LIKE '%name' THEN {_nn('value')} ELSE value END AS v FROM truth_leaves) GROUP BY 1, 2, 3)
   SELECT q.bill_id, q.path, CASE WHEN rn <= c THEN 1 ELSE 0 END AS correct FROM q LEFT JOIN t ON q.bill_id = t.bill_id AND q.k = t.k AND q.v = t.v""")

@@ -235,3 +235,63 @@ def test_exact_fields_and_latencies(spark):
     rows = spark.createDataFrame([("a", 0.0, 1.0, True), ("a", 0.5, 3.5, True), ("a", 1.0, 9.0, False), ("b", 1.0, 1.0, False)], "g string, start double, end double, ok boolean")
     got = {x.g: tuple(x)[1:] for x in R.throughput(rows, "g").collect()}
     assert got == {"a": (3, 1, 9.0, 0.2222, 3.0, 3.0, 2.0, 3.0), "b": (1, 1, 0.0, None, None, None, None, None)}
+
+
+def random_record(r, depth=0):
+    kind = r.random()
+    if depth < 3 and kind < 0.45:
+        return {k: random_record(r, depth + 1) for k in r.sample(["a", "b", "items", "qty"], r.randrange(3))}
+    if depth < 3 and kind < 0.7:
+        return [random_record(r, depth + 1) for _ in range(r.randrange(3))]
+    return r.choice(["tea", "team", "", "12", "12.50", None, 3])
+
+
+def forest_distance(a, b):
+    """The distance by its definition: the last trees of two forests are taken out, put in or matched."""
+    from functools import lru_cache
+
+    @lru_cache(None)
+    def edits(x, y):
+        return max(len(x), len(y)) if not x or not y else min(edits(x[:-1], y) + 1, edits(x, y[:-1]) + 1, edits(x[:-1], y[:-1]) + (x[-1] != y[-1]))
+
+    @lru_cache(None)
+    def size(f):
+        return sum(1 + size(kids) for _, kids in f)
+
+    @lru_cache(None)
+    def go(f, g):
+        if not f or not g:
+            return size(f) + size(g)
+        (x, fx), (y, gy) = f[-1], g[-1]
+        same = edits(x, y) / max(len(x), len(y), 1)
+        return min(go(f[:-1] + fx, g) + 1, go(f, g[:-1] + gy) + 1, go(f[:-1], g[:-1]) + go(fx, gy) + same)
+
+    return go((a,), (b,))
+
+
+def as_node(v, label="root"):
+    kids = [as_node(v[k], k) for k in sorted(v)] if isinstance(v, dict) else [as_node(x, "[]") for x in v] if isinstance(v, list) else [(str(v), ())]
+    return label, tuple(kids)
+
+
+def test_tree_distance_matches_its_definition(spark):
+    from tallyweave.functions.trees import tree_accuracy
+
+    r = random.Random(3)
+    pairs = [(random_record(r), random_record(r)) for _ in range(150)]
+    pairs += [(p, p) for p, _ in pairs[:10]] + [({}, t) for _, t in pairs[:10]]
+    want = []
+    for p, t in pairs:
+        empty = forest_distance(as_node({}), as_node(t))
+        want.append(max(0.0, 1 - forest_distance(as_node(p), as_node(t)) / max(empty, 1e-9)))
+    rows = [(i, json.dumps(p), json.dumps(t)) for i, (p, t) in enumerate(pairs)] + [(1000, None, '{"a": 1}'), (1001, "broken", '{"a": 1}'), (1002, None, None)]
+    got = spark.createDataFrame(rows, "i int, p string, t string").repartition(3).select("i", tree_accuracy("p", "t").alias("x")).orderBy("i").collect()
+    assert [x.x for x in got] == pytest.approx(want + [0.0, 0.0, 1.0], abs=1e-9)
+
+
+def test_a_missing_prediction_is_no_accuracy(spark):
+    bill = "bill_id long, bill struct<items:array<struct<name:string,qty:string>>,grand_total:string>"
+    truth = spark.createDataFrame([(1, ([("tea", "2")], "10")), (2, ([], "5")), (3, None)], bill)
+    pred = spark.createDataFrame([(1, ([("team", "2")], "10")), (9, ([], ""))], bill)
+    got = {x.bill_id: x.accuracy for x in S.tree_edit_accuracy(pred, truth).collect()}
+    assert got == pytest.approx({1: 1 - 0.25 / 8, 2: 0.0, 3: 1.0})
