@@ -2,17 +2,29 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyweave.sources.readers import shared_path
 
 
-def exact_quantiles(rows: DataFrame, key: str, value: str, at: Sequence[float]) -> DataFrame:
+def between(n: Column, q: float) -> Column:
+    """Place q (n - 1), which may lie between two values."""
+    return F.lit(float(q)) * (n - 1)
+
+
+def index(n: Column, q: float) -> Column:
+    """Place floor(n q), the last value at most: always a value that occurs."""
+    return F.least(F.floor(n * F.lit(float(q))), n - 1).cast("double")
+
+
+def exact_quantiles(rows: DataFrame, key: str, value: str, at: Sequence[float], place: Callable[[Column, float], Column] = between) -> DataFrame:
     """(key, p): for each key its values' quantiles at each place, between neighbours in proportion; nulls and NaN left out.
 
+    `place` gives the place in the sorted values, from 0, of a quantile of n values.
+
     Values are counted, then dealt out in ranges of the whole order (key, value), so a key with very many values lies over
     many ranges. Each range's count tells which ranges hold the wanted places, and only those are read again, each summed
     up within itself. Keys are not null.
@@ -28,7 +40,7 @@ def exact_quantiles(rows: DataFrame, key: str, value: str, at: Sequence[float])
     own = Window.partitionBy("key")  # a row for each range that holds the key
     held = ranges.groupBy("key", "part").agg(F.sum("k").alias("in_part")).withColumn("n", F.sum("in_part").over(own))
     held = held.withColumn("before", F.sum("in_part").over(own.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("in_part"))
-    places = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), (F.lit(float(q)) * (F.col("n") - 1)).alias("r")) for i, q in enumerate(at)))).alias("w")
+    places = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), place(F.col("n"), q).alias("r")) for i, q in enumerate(at)))).alias("w")
     wanted = held.select("key", "part", "before", "in_part", places).select("key", "part", "before", "in_part", "w.i", "w.r")
     inside = lambda r: (F.col("before") <= r) & (r < F.col("before") + F.col("in_part"))
     low, high = F.floor("r"), F.ceil("r")

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyweave.operators.quantiles import exact_quantiles, index
 from tallyweave.operators.scans import before, in_ranges
 
 
@@ -96,14 +97,14 @@ def stall_gaps(beats: DataFrame, limit_s: int) -> DataFrame:
 def latency_stats(rows: DataFrame, group: Sequence[str], value: str) -> DataFrame:
     """(group, n, p50, p95, mean, longest) with percentiles by place floor(n q) in the sorted values.
 
-    Values are counted first, so the window runs over distinct values of a group.
+    Nulls and NaN don't count, and a group without other values has no row. Places are found by ranges of all values, so a
+    group may have more values than a task can take.
     """
-    by = rows.groupBy(*group, value).agg(F.count(F.lit(1)).alias("k"))
-    w = Window.partitionBy(*group)
-    by = by.withColumn("upto", F.sum("k").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))).withColumn("n", F.sum("k").over(w))
-    at = lambda q: F.min(F.when(F.col("upto") > F.least(F.floor(F.col("n") * q), F.col("n") - 1), F.col(value)))
-    a = by.groupBy(*group).agg(F.max("n").alias("n"), at(0.5).alias("p50"), at(0.95).alias("p95"), F.round(F.sum(F.col(value) * F.col("k")) / F.sum("k"), 4).alias("mean"), F.max(value).alias("longest"))
-    return a.select(*group, "n", F.round("p50", 4).alias("p50"), F.round("p95", 4).alias("p95"), "mean", F.round("longest", 4).alias("longest"))
+    v = rows.select(F.struct(*group).alias("of"), F.col(value).cast("double").alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
+    a = v.groupBy("of").agg(F.count(F.lit(1)).alias("n"), exact_mean("v", 4).alias("mean"), F.max("v").alias("longest"))
+    p = exact_quantiles(v, "of", "v", (0.5, 0.95), index)
+    a = a.join(p.hint("merge"), "of")
+    return a.select("of.*", "n", F.round(F.col("p")[0], 4).alias("p50"), F.round(F.col("p")[1], 4).alias("p95"), "mean", F.round("longest", 4).alias("longest"))
 
 
 def stage_breakdown(rows: DataFrame, warmup: int = 2) -> DataFrame:

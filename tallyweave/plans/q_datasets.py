@@ -188,8 +188,8 @@ def run_guards(spark, d):
     return R.run_guards(view(spark, d, "run_log"))
 
 
-@query("latency_stats", """WITH s AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events)
-  SELECT event_type, count(*) AS n, round(max(value) FILTER (WHERE i = least(floor(n * 0.5), n - 1)), 4) AS p50, round(max(value) FILTER (WHERE i = least(floor(n * 0.95), n - 1)), 4) AS p95, round(avg(value), 4) AS mean, round(max(value), 4) AS longest FROM s GROUP BY event_type""")
+@query("latency_stats", f"""WITH s AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events)
+  SELECT event_type, count(*) AS n, round(max(value) FILTER (WHERE i = least(floor(n * 0.5), n - 1)), 4) AS p50, round(max(value) FILTER (WHERE i = least(floor(n * 0.95), n - 1)), 4) AS p95, {mean_sql('value', 4)} AS mean, round(max(value), 4) AS longest FROM s GROUP BY event_type""")
 def latency_stats(spark, d):
     return R.latency_stats(view(spark, d, "events"), ["event_type"], "value")
 
@@ -199,7 +199,7 @@ STAGES = """st AS (SELECT event_id AS req, value * 0.1 AS h2d, value * 0.3 AS en
   sr AS (SELECT stage, round(v, 6) AS v, row_number() OVER (PARTITION BY stage ORDER BY v) - 1 AS i, count(*) OVER (PARTITION BY stage) AS n FROM sl)"""
 
 
-@query("stage_breakdown", f"""WITH {STAGES.replace('0.1 AS', '0.1::DOUBLE AS').replace('0.3 AS', '0.3::DOUBLE AS').replace('THEN 0.2 ELSE 0.9', 'THEN 0.2::DOUBLE ELSE 0.9::DOUBLE')} SELECT stage, count(*) AS n, round(max(v) FILTER (WHERE i = least(floor(n * 0.5), n - 1)), 4) AS p50, round(max(v) FILTER (WHERE i = least(floor(n * 0.95), n - 1)), 4) AS p95, round(avg(v), 4) AS mean, round(max(v), 4) AS longest,
+@query("stage_breakdown", f"""WITH {STAGES.replace('0.1 AS', '0.1::DOUBLE AS').replace('0.3 AS', '0.3::DOUBLE AS').replace('THEN 0.2 ELSE 0.9', 'THEN 0.2::DOUBLE ELSE 0.9::DOUBLE')} SELECT stage, count(*) AS n, round(max(v) FILTER (WHERE i = least(floor(n * 0.5), n - 1)), 4) AS p50, round(max(v) FILTER (WHERE i = least(floor(n * 0.95), n - 1)), 4) AS p95, {mean_sql('v', 4)} AS mean, round(max(v), 4) AS longest,
   CASE WHEN stage = 'decode' THEN (SELECT round(sum(decode) * 1000 / sum(tokens), 4) FROM sd) END AS ms_per_token FROM sr GROUP BY stage""")
 def stage_breakdown(spark, d):
     e = view(spark, d, "events")
@@ -207,9 +207,9 @@ def stage_breakdown(spark, d):
     return R.stage_breakdown(e.select(F.col("event_id").alias("req"), (F.col("value") * 0.1).alias("h2d"), (F.col("value") * 0.3).alias("enc"), (F.col("value") * gen).alias("gen"), (10 + F.col("event_id") % 50).alias("tokens")))
 
 
-@query("throughput", """WITH e AS (SELECT user_id, event_type, value, CAST(epoch_us(ts) AS DOUBLE) / 1000000 AS s FROM events),
+@query("throughput", f"""WITH e AS (SELECT user_id, event_type, value, CAST(epoch_us(ts) AS DOUBLE) / 1000000 AS s FROM events),
   l AS (SELECT user_id, round((s + value) - s, 4) AS v, row_number() OVER (PARTITION BY user_id ORDER BY round((s + value) - s, 4)) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS k FROM e WHERE event_type <> 'error'),
-  q AS (SELECT user_id, max(v) FILTER (WHERE i = least(floor(k * 0.5), k - 1)) AS p50, max(v) FILTER (WHERE i = least(floor(k * 0.95), k - 1)) AS p95, round(avg(v), 4) AS mean, max(v) AS longest FROM l GROUP BY user_id),
+  q AS (SELECT user_id, max(v) FILTER (WHERE i = least(floor(k * 0.5), k - 1)) AS p50, max(v) FILTER (WHERE i = least(floor(k * 0.95), k - 1)) AS p95, {mean_sql('v', 4)} AS mean, max(v) AS longest FROM l GROUP BY user_id),
   t AS (SELECT user_id AS level, count(*) AS n, count(*) FILTER (WHERE event_type = 'error') AS errors, round(max(s + value) - min(s), 3) AS seconds, round(count(*) FILTER (WHERE event_type <> 'error') / (max(s + value) - min(s)), 4) AS per_second FROM e GROUP BY user_id)
   SELECT t.*, p50, p95, mean, longest FROM t LEFT JOIN q ON t.level = q.user_id""")
 def throughput(spark, d):

@@ -31,8 +31,53 @@ def read_bill_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def whole_files(spark: SparkSession, path: str) -> DataFrame:
-    """(path, value): the files below a folder, each as one text."""
-    return spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("path"), "value")
+    """(path, value): the files below a folder, each as one text; paths as they are named, without URL escapes."""
+    return spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(_unescaped(F.col("_metadata.file_path")).alias("path"), "value")
+
+
+def _unescaped(x: Column) -> Column:
+    return F.coalesce(F.try_url_decode(F.replace(x, F.lit("+"), F.lit("%2B"))), x)
+
+
+BUNDLE = "path STRING, value STRING"
+
+
+def write_documents(rows: DataFrame, path: str, single: Column) -> str:
+    """Documents (path, value) below a folder: `files` has a file for each that `single` holds for, `bundles` all others.
+
+    A file of its own costs a listing entry and an open; bundles are JSON lines of (path, value), which Spark splits and packs
+    by size, so only a bounded number of documents should be single. A null text is written as an empty one.
+    """
+    rows = rows.select("path", F.coalesce("value", F.lit("")).alias("value"), F.coalesce(single, F.lit(False)).alias("__single"))
+    rows.where("__single").select(stem(F.col("path")).alias("stem"), "value").write.partitionBy("stem").text(f"{path}/files")
+    rows.where("NOT __single").select("path", "value").write.json(f"{path}/bundles")
+    return path
+
+
+def read_documents(spark: SparkSession, path: str) -> DataFrame:
+    """(path, value) of a folder with single files and bundles, as write_documents lays it out."""
+    return whole_files(spark, f"{path}/files").unionByName(spark.read.schema(BUNDLE).json(f"{path}/bundles").select("path", "value"))
+
+
+def list_documents(spark: SparkSession, path: str) -> DataFrame:
+    """(path) of a folder's single files, which are not opened, and of the documents in its bundles."""
+    names = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"{path}/files").select("path")
+    return names.unionByName(spark.read.schema("path STRING").json(f"{path}/bundles").select("path"))
+
+
+def first_folder(spark: SparkSession, base: str, names: Sequence[str]) -> str | None:
+    """The first of these folders below base that exists; datasets name the same folder differently."""
+    for name in names:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{base}/{name}")
+        if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+            return f"{base}/{name}"
+    return None
+
+
+def with_sibling(rows: DataFrame, listing: DataFrame, name: str = "sibling") -> DataFrame:
+    """rows (stem, ...) with the path of the file of the same stem in a listing (path); null without one, the least of several."""
+    other = listing.groupBy(stem(F.col("path")).alias("stem")).agg(F.min("path").alias(name))
+    return rows.join(other.hint("merge"), "stem", "left")
 
 
 def bill_records(files: DataFrame) -> DataFrame:
@@ -44,9 +89,9 @@ def bill_records(files: DataFrame) -> DataFrame:
 
 
 def stem(path: Column) -> Column:
-    """The value of the last key=value folder, or the file's name without its ending."""
+    """The value of the last key=value folder (its escapes taken back), or the file's name without its ending."""
     folder = F.regexp_extract(path, "=([^/=]+)/[^/]+$", 1)
-    return F.when(folder != "", folder).otherwise(F.regexp_extract(path, r"([^/]+?)(\.[^./]*)?$", 1))
+    return F.when(folder != "", _unescaped(folder)).otherwise(F.regexp_extract(path, r"([^/]+?)(\.[^./]*)?$", 1))
 
 
 def read_entities(spark: SparkSession, path: str) -> DataFrame:

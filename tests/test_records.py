@@ -153,6 +153,58 @@ def test_files_of_small_documents(spark, tmp_path):
     assert [r.stem for r in whole.collect()] == ["1"] and sorted(r.stem for r in part.collect()) == ["2", "3"]
 
 
+def test_documents_as_files_and_bundles(spark, tmp_path):
+    """Every document comes back once, whatever its name, as a file of its own or in a bundle; siblings and folders are found."""
+    names = ["a/1.json", "a/my bill.json", "a/50%.json", "a/x+y.json", "a/2.json", "a/2.json", "a/k=v.json"]
+    rows = spark.createDataFrame([(n, f"line {i}\n\nend" if i else None, i) for i, n in enumerate(names)], "path string, value string, i int")
+    for k, single in enumerate([F.lit(True), F.lit(False), F.col("i") % 2 == 0, F.lit(None).cast("boolean")]):
+        at = S2.write_documents(rows, f"file://{tmp_path}/w{k}", single)
+        got = sorted((r.s, r.value.rstrip("\n")) for r in S2.read_documents(spark, at).select(S2.stem(F.col("path")).alias("s"), "value").collect())
+        assert got == sorted((n[2:].rsplit(".", 1)[0], f"line {i}\n\nend" if i else "") for i, n in enumerate(names))
+        assert sorted(r.s for r in S2.list_documents(spark, at).select(S2.stem(F.col("path")).alias("s")).collect()) == [s for s, _ in got]
+    none = S2.write_documents(rows.limit(0), f"file://{tmp_path}/none", F.lit(True))
+    assert S2.read_documents(spark, none).collect() == [] and S2.list_documents(spark, none).collect() == []
+
+    listing = spark.createDataFrame([("img/2.jpg",), ("img/1.png",), ("img/1.jpg",), ("img/9.jpg",)], "path string")
+    have = S2.with_sibling(spark.createDataFrame([("1",), ("2",), ("3",), (None,)], "stem string"), listing, "image")
+    assert {r.stem: r.image for r in have.collect()} == {"1": "img/1.jpg", "2": "img/2.jpg", "3": None, None: None}
+    assert S2.first_folder(spark, f"file://{tmp_path}", ["absent", "w1", "w0"]) == f"file://{tmp_path}/w1" and S2.first_folder(spark, f"file://{tmp_path}", ["absent"]) is None
+
+    (tmp_path / "named").mkdir()
+    for name in ("my bill.txt", "50%.txt", "x+y.txt", "ü.txt"):
+        (tmp_path / "named" / name).write_text("Company: X")
+    want = {"my bill", "50%", "x+y", "ü"}
+    assert {r.stem for r in S2.read_entities(spark, f"file://{tmp_path}/named").collect()} == want
+    assert {r.stem for r in S2.pair_files(spark, {"a": f"file://{tmp_path}/named"})[0].collect()} == want
+
+
+def test_manifest_sink_prunes_by_folder(spark, tmp_path):
+    rows = spark.createDataFrame([(i, f"s{i % 3}", ("train", "val", "test")[i % 3 - i % 2]) for i in range(30)], "id long, source string, split string")
+    back = spark.read.schema("id BIGINT, split STRING, source STRING").json(S2.write_manifest(rows, f"file://{tmp_path}/m"))
+    val = back.where("split = 'val' AND source = 's1'")
+    assert sorted(r.id for r in val.collect()) == sorted(r.id for r in rows.where("split = 'val' AND source = 's1'").collect()) and back.count() == 30
+    filters = val._jdf.queryExecution().executedPlan().toString().split("PartitionFilters: [")[1].split("], PushedFilters")[0]
+    assert "= val" in filters and "= s1" in filters and val.count() > 0
+
+
+def test_latency_places_match_sorted_lists(spark):
+    """Percentiles are the values at floor(n q) of the sorted list, also for a group that lies over many ranges."""
+    r = random.Random(5)
+    rows = [("hot", r.random() * 100) for _ in range(2000)] + [("even", float(i % 4)) for i in range(40)] + [("one", 7.0), ("odd", None), ("odd", float("nan")), ("odd", 2.5), ("none", None), (None, 3.0), (None, 1.0)]
+    got = {x.g: x for x in R.latency_stats(spark.createDataFrame(rows, "g string, v double").repartition(7), ["g"], "v").collect()}
+    want = {}
+    for g, v in rows:
+        if v is not None and v == v:
+            want.setdefault(g, []).append(v)
+    assert set(got) == set(want)
+    for g, v in want.items():
+        v, n = sorted(v), len(v)
+        at = lambda q: round(v[min(int(n * q), n - 1)], 4)  # noqa: E731, B023
+        assert (got[g].n, got[g].p50, got[g].p95, got[g].longest) == (n, at(0.5), at(0.95), round(v[-1], 4)), g
+        assert abs(got[g]["mean"] - sum(v) / n) < 1e-4
+    assert R.latency_stats(spark.createDataFrame([], "g string, v double"), ["g"], "v").collect() == []
+
+
 def test_means_do_not_depend_on_the_order_of_adding(spark):
     rows = spark.createDataFrame([(x,) for x in [0.4197, 0.4196, 0.4197, 0.4196, 0.4198, 0.4195, 0.4197, 0.4197]], "x double")
     assert rows.agg(R.exact_mean("x").alias("m")).first().m == 0.419663 and rows.limit(0).agg(R.exact_mean("x").alias("m")).first().m is None
