@@ -123,10 +123,14 @@ def low_confidence_fields(conf: DataFrame, threshold: float, score: str = "p_min
     return conf.where(F.col(score) < threshold)
 
 
-def flag_join(leaves: DataFrame, conf: DataFrame, threshold: float) -> DataFrame:
-    """Every leaf with its flag: (bill_id, path, value, flagged)."""
-    rows = leaves.join(conf.select("bill_id", "path", "p_min").hint("merge"), ["bill_id", "path"], "left")
-    return rows.select("bill_id", "path", "value", F.coalesce(F.col("p_min") < threshold, F.lit(False)).alias("flagged"))
+def flag_join(records: DataFrame, conf: DataFrame, threshold: float) -> DataFrame:
+    """Every leaf of the records (bill_id, bill) with its flag: (bill_id, path, value, flagged). Joined by bill: only flagged paths are listed."""
+    from tallyweave.operators.normalise import leaf_list
+
+    low = conf.where(F.col("p_min") < threshold).groupBy("bill_id").agg(F.collect_set("path").alias("low"))  # one bill's paths
+    rows = records.select("bill_id", "bill").join(low.hint("merge"), "bill_id", "left")
+    rows = rows.select("bill_id", "low", F.explode(leaf_list(F.col("bill"))).alias("l"))
+    return rows.select("bill_id", "l.path", "l.value", F.coalesce(F.array_contains("low", F.col("l.path")), F.lit(False)).alias("flagged"))
 
 
 def quality_gate(stats: DataFrame) -> DataFrame:
@@ -161,10 +165,14 @@ def pick_showcase(bills: DataFrame, items: DataFrame, charges: DataFrame) -> Dat
 
 
 def corrections_diff(read: DataFrame, truth: DataFrame) -> DataFrame:
-    """(bill_id, path, was, now) of leaves that differ: names without case, numbers by value. Inputs as leaf_paths."""
+    """(bill_id, path, was, now) of leaves that differ between records (bill_id, bill): names without case, numbers by value."""
     from tallyweave.functions.money import parse_money
+    from tallyweave.operators.normalise import leaves_apart
 
-    rows = read.select("bill_id", "path", F.col("value").alias("was")).join(truth.select("bill_id", "path", F.col("value").alias("now")).hint("merge"), ["bill_id", "path"], "full")
+    rows = leaves_apart(read, truth).where("size(was) > 0 OR size(now) > 0")
+    paths = F.array_union(F.col("was.path"), F.col("now.path"))
+    value = lambda side, x: F.get(F.filter(side, lambda l: l["path"] == x), F.lit(0))["value"]
+    rows = rows.select("bill_id", F.explode(F.transform(paths, lambda x: F.struct(x.alias("path"), value("was", x).alias("was"), value("now", x).alias("now")))).alias("l")).select("bill_id", "l.*")
     name = F.col("path").endswith(".name") | F.col("path").endswith(".type")
     same = F.when(name, F.lower("was").eqNullSafe(F.lower("now"))).otherwise(parse_money(F.col("was")).eqNullSafe(parse_money(F.col("now"))) & F.col("was").isNotNull().eqNullSafe(F.col("now").isNotNull()))
     return rows.where(~same)

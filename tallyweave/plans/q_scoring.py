@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyweave.operators import calibration as C
-from tallyweave.operators import normalise as N
 from tallyweave.operators import scoring as S
 from tallyweave.operators import validate as V
 from tallyweave.plans.fixtures import view
@@ -24,13 +23,9 @@ _f1 = lambda tp, np_, nt: f"coalesce(round(2.0::DOUBLE * CAST({tp} AS DOUBLE) /
 _div = lambda a, b: f"coalesce(round(CAST({a} AS DOUBLE) / nullif(CAST({b} AS DOUBLE), 0), 4), 0)"
 
 
-def flat(spark, d):
-    return N.flatten_leaves(predicted(spark, d)), N.flatten_leaves(truth(spark, d))
-
-
 @query("field_f1", f"WITH {FLAT} SELECT {_div('sum(tp)', 'sum(np)')} AS precision, {_div('sum(tp)', 'sum(nt)')} AS recall, {_f1('sum(tp)', 'sum(np)', 'sum(nt)')} AS f1 FROM ff")
 def field_f1(spark, d):
-    return S.field_f1(*flat(spark, d))
+    return S.field_f1(predicted(spark, d), truth(spark, d))
 
 
 @query("charge_f1", f"WITH {CHARGES} SELECT {_f1('sum(tp)', 'sum(np)', 'sum(nt)')} AS f1 FROM cf")
@@ -69,15 +64,14 @@ def total_accuracy(spark, d):
     {_f1('sum(ctp)', 'sum(cnp)', 'sum(cnt)')} AS charge_f1, {_div('sum(g)', 'count(*)')} AS grand_total_acc, {_div('sum(s)', 'count(*)')} AS subtotal_acc, {_div('sum(ok)', 'count(*)')} AS consistent FROM r GROUP BY ROLLUP(source)""")
 def evaluate_records(spark, d):
     v = lambda n: view(spark, d, n)
-    pl, tl = flat(spark, d)
     ok = V.is_consistent(v("pred_bills"), V.check_arithmetic(v("pred_bills"), v("pred_items"), v("pred_charges")))
-    return S.evaluate_records(v("bills"), v("pred_bills"), tl, pl, v("bill_items"), v("pred_items"), v("bill_charges"), v("pred_charges"), ok)
+    return S.evaluate_records(v("bills"), v("pred_bills"), truth(spark, d), predicted(spark, d), v("bill_items"), v("pred_items"), v("bill_charges"), v("pred_charges"), ok)
 
 
 @query("leaf_edit_similarity", f"""WITH {LEAVES} SELECT count(*) AS leaves, round(avg(CASE WHEN p.value IS NULL OR t.value IS NULL THEN 0.0::DOUBLE WHEN greatest(length(p.value), length(t.value)) = 0 THEN 1.0::DOUBLE
   ELSE 1.0::DOUBLE - CAST(levenshtein(p.value, t.value) AS DOUBLE) / greatest(length(p.value), length(t.value)) END), 4) AS similarity FROM pred_leaves p FULL JOIN truth_leaves t ON p.bill_id = t.bill_id AND p.path = t.path""")
 def leaf_edit_similarity(spark, d):
-    return S.leaf_edit_similarity(N.leaf_paths(predicted(spark, d)), N.leaf_paths(truth(spark, d)))
+    return S.leaf_edit_similarity(predicted(spark, d), truth(spark, d))
 
 
 @query("tree_edit_accuracy")
@@ -89,10 +83,7 @@ def tree_edit_accuracy(spark, d):
   q AS (SELECT *, row_number() OVER (PARTITION BY bill_id, k, v ORDER BY ord) AS rn FROM p), t AS (SELECT bill_id, k, v, count(*) AS c FROM (SELECT bill_id, regexp_replace(path, '\\[[0-9]+\\]', '') AS k, CASE WHEN path LIKE '%name' THEN {_nn('value')} ELSE value END AS v FROM truth_leaves) GROUP BY 1, 2, 3)
   SELECT q.bill_id, q.path, CASE WHEN rn <= c THEN 1 ELSE 0 END AS correct FROM q LEFT JOIN t ON q.bill_id = t.bill_id AND q.k = t.k AND q.v = t.v""")
 def match_fields(spark, d):
-    from pyspark.sql import Window
-
-    fields = N.leaf_paths(predicted(spark, d)).withColumn("ord", F.row_number().over(Window.partitionBy("bill_id").orderBy("path")))
-    return S.match_fields(fields, N.leaf_paths(truth(spark, d)))
+    return S.match_fields(predicted(spark, d), truth(spark, d))
 
 
 @query("multiset_intersect", "SELECT bill_id, type, amount_cents FROM bill_charges INTERSECT ALL SELECT bill_id, type, amount_cents FROM pred_charges")
@@ -134,10 +125,9 @@ LEVELS = "lf AS (SELECT *, bill_id % 3 AS level FROM field_conf)"
   SELECT rc.*, auroc, field_f1, item_f1, charge_f1, grand_total_acc, retake_share FROM rc LEFT JOIN ra ON rc.level = ra.level LEFT JOIN rr ON rc.level = rr.level""")
 def condition_report(spark, d):
     v = lambda n: view(spark, d, n)
-    pl, tl = flat(spark, d)
     level = (F.col("bill_id") % 3).alias("level")
     again = V.quality_gate(v("image_stats")).select(F.col("id").alias("bill_id"), "retake")
-    records = S.record_counts(v("bills"), v("pred_bills"), tl, pl, v("bill_items"), v("pred_items"), v("bill_charges"), v("pred_charges")).join(again, "bill_id", "left")
+    records = S.record_counts(v("bills"), v("pred_bills"), truth(spark, d), predicted(spark, d), v("bill_items"), v("pred_items"), v("bill_charges"), v("pred_charges")).join(again, "bill_id", "left")
     return S.condition_report(v("field_conf").select("*", level), ["level"], 0.7, records.select("*", level))
 
 

@@ -16,3 +16,35 @@ def test_percentages_at_a_tie_are_rounded_away_from_zero(spark, pre, charge, net
     assert f"({net} of A's subtotal)" in text[1]
     if pre == 9_296_000:
         assert "is 100.0% of" in text[1]
+
+
+def _records(spark, rows):
+    return spark.createDataFrame(rows, "bill_id long, bill struct<items:array<struct<name:string,qty:string,unit_price:string,total:string>>,charges:array<struct<type:string,amount:string>>,subtotal:string,grand_total:string>")
+
+
+@pytest.mark.parametrize("name", ["corrections_diff", "match_fields", "flag_join"])
+def test_leaves_of_two_readings_are_compared_without_shuffling_them(spark, sf_dir, name):
+    from tallyweave import plans  # noqa: F401
+    from tallyweave.registry import QUERIES
+
+    plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    found = [x.strip() for x in plan.splitlines() if "Exchange " in x and "BroadcastExchange" not in x]
+    assert not found
+
+
+def test_leaves_match_as_multisets_and_earlier_paths_consume_first(spark):
+    from tallyweave.operators import scoring as S
+    from tallyweave.operators import validate as V
+
+    item = lambda name, qty: (name, qty, "5", "5")
+    want = [(1, ([item("Tea", "1")] + [item("Cake", "2")] * 11, [("TAX", "1.0")], "", "9")), (2, ([], [], "1", "1"))]
+    read = [(1, ([item("TEA!", "1")] + [item("Tea", "3")] * 11, [], "", "10")), (3, ([item("x", "1")], [], "", ""))]
+    p, t = _records(spark, read), _records(spark, want)
+    got = {(r.bill_id, r.path): r.correct for r in S.match_fields(p, t).collect()}
+    assert got[1, "items[0].name"] == 1 and sum(v for (b, k), v in got.items() if b == 1 and k.endswith("name")) == 1
+    assert got[1, "items[0].qty"] == 1 and got[1, "items[10].qty"] == 0 and got[1, "items[11].total"] == 1 and got[1, "subtotal"] == 1 and got[1, "grand_total"] == 0
+    assert not any(v for (b, _), v in got.items() if b == 3)
+    counts = {r.bill_id: (r.tp, r.fp, r.fn) for r in S.field_counts(p, t).collect()}
+    assert counts[1] == (27, 23, 25) and counts[2] == (0, 0, 2) and counts[3] == (0, 6, 0)
+    diff = {(r.bill_id, r.path): (r.was, r.now) for r in V.corrections_diff(p, t).collect()}
+    assert diff[1, "items[0].name"] == ("TEA!", "Tea") and diff[1, "charges[0].amount"] == (None, "1.0") and (1, "items[0].qty") not in diff and diff[3, "subtotal"] == ("", None)
