@@ -186,7 +186,7 @@ def score_drift(readings: DataFrame, thresholds: DataFrame, size: str = "6 hours
 class _Guard(StatefulProcessor):
     """Holds back a run's records until the watermark has passed them, then applies the rules in order of epochs."""
 
-    fresh = (0, float("inf"), float("nan"), 0, -1)  # bad epochs in a row, least and last finite loss, whether by_epoch came, last event time
+    fresh = (0, float("inf"), float("nan"), 0, -1)  # bad epochs in a row, least and last finite loss, whether by_epoch came, last event time done
 
     def __init__(self, streak: int, factor: float, jump: float, by_epoch: int, least: float, forget_ms: int):
         self.rules = (streak, factor, jump, by_epoch, least)
@@ -194,34 +194,44 @@ class _Guard(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.held = handle.getMapState("held", "epoch int", "at long, loss double, score double")
-        self.past = handle.getValueState("past", "in_row int, low double, before double, seen int, done long, last long")
+        self.held = handle.getListState("held", "epoch int, at long, loss double, score double")
+        self.past = handle.getValueState("past", "in_row int, low double, before double, seen int, done long, last long, due long")
+
+    def _wait(self, old: int, new: int) -> int:
+        """One timer a run, at its earliest record held: when it expires all records that are due are taken."""
+        if new != old:
+            if old >= 0:
+                self.handle.deleteTimer(old)
+            if new >= 0:
+                self.handle.registerTimer(new)
+        return new
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        past = self.past.get() if self.past.exists() else (*self.fresh, -1)
-        last = past[5]
+        new: list[tuple] = []
         for frame in rows:
             at = frame["ts"].astype("datetime64[ms]").astype("int64").tolist()
-            for epoch, t, loss, score in zip(frame["epoch"].tolist(), at, frame["loss"].tolist(), frame["score"].tolist()):
-                self.held.updateValue((int(epoch),), (t, loss, score))
-            for t in set(at):
-                self.handle.registerTimer(t)
-            last = max(last, *at)
-        if last != past[5]:
-            if past[5] >= 0:
-                self.handle.deleteTimer(past[5] + self.forget_ms + 2)
-            self.handle.registerTimer(last + self.forget_ms + 2)
-            self.past.update((*past[:5], last))
+            new += [(int(epoch), t, loss, score) for epoch, t, loss, score in zip(frame["epoch"].tolist(), at, frame["loss"].tolist(), frame["score"].tolist())]
+        if new:
+            past = self.past.get() if self.past.exists() else (*self.fresh, -1, -1)
+            self.held.appendList(new)
+            first, last = min(r[1] for r in new), max(past[5], *(r[1] for r in new))
+            if last != past[5]:
+                if past[5] >= 0:
+                    self.handle.deleteTimer(past[5] + self.forget_ms + 2)
+                self.handle.registerTimer(last + self.forget_ms + 2)
+            due = self._wait(past[6], first if past[6] < 0 else min(past[6], first))  # after that, as the times may be the same
+            self.past.update((*past[:5], last, due))
         yield pd.DataFrame({"run": pd.Series(dtype="int64"), "epoch": pd.Series(dtype="int32"), "rule": pd.Series(dtype="str")})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs()
-        due = sorted((k[0], v) for k, v in self.held.iterator() if v[0] <= now)
         out = []
         if self.past.exists():
-            in_row, low, before, seen, done, last = self.past.get()
+            in_row, low, before, seen, done, last, wait = self.past.get()
+            held = {r[0]: tuple(r) for r in self.held.get()} if self.held.exists() else {}  # the later of an epoch's records
+            due = sorted(r for r in held.values() if r[1] <= now)
             streak, factor, jump, by_epoch, least = self.rules
-            for epoch, (at, loss, score) in due:
+            for epoch, at, loss, score in due:
                 if done >= 0 and at - done > self.forget_ms:  # whether or not the state was cleared in between
                     in_row, low, before, seen, done = self.fresh
                 done, found = max(done, at), []
@@ -236,11 +246,17 @@ class _Guard(StatefulProcessor):
                     found += ["not_learning"] * (not seen and score is not None and score < least)
                     seen = 1
                 out += [(key[0], epoch, rule) for rule in found]
-                self.held.removeKey((epoch,))
+            left = [r for r in held.values() if r[1] > now]
+            if due and left:
+                self.held.put(left)
+            elif due:
+                self.held.clear()
+            fired = expiredTimerInfo.getExpiryTimeInMs()
+            wait = self._wait(-1 if wait == fired else wait, min((r[1] for r in left), default=-1))
             if last + self.forget_ms < now:
                 self.past.clear()
-            elif due:
-                self.past.update((in_row, float(low), float(before), seen, done, last))
+            else:
+                self.past.update((in_row, float(low), float(before), seen, done, last, wait))
         yield pd.DataFrame(out, columns=["run", "epoch", "rule"]).astype({"run": "int64", "epoch": "int32"})
 
     def close(self) -> None:
