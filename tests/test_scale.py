@@ -181,3 +181,70 @@ def test_isotonic_by_ranges_matches_pooling(spark, ranges):
         at, fitted = pooled([(s, c, n) for (key, s), (c, n) in points.items() if key == k])
         assert [got[k][s] for s in asked] == pytest.approx(np.interp(asked, at, fitted).tolist(), abs=1e-12), k
     assert C.isotonic_values(rows, C.isotonic_knots(counts.limit(0), ["k"], ranges), ["k"], ranges).where("p IS NOT NULL").count() == 0
+
+
+def leaves_by_hand(stream, lists=("items", "charges"), stop=("</s>", "<pad>")):
+    """(path, value, first, mean, least) of (token, prob) pairs in order."""
+    out, key, part, depth, seps = [], None, [], dict.fromkeys(lists, 0), dict.fromkeys(lists, 0)
+    named = lambda t, head: t[len(head) : -1] if t.startswith(head) and t.endswith(">") and len(t) > len(head) + 1 else None
+    for token, p in stream:
+        if token is None:
+            continue
+        if token in stop:
+            break
+        opened, closed = named(token, "<s_"), named(token, "</s_")
+        if opened is None and closed is None and token != "<sep/>":
+            part.append((token, p))
+            continue
+        inside = [k for k in lists if depth[k] > 0][-1:]
+        if closed is not None and closed == key and part:
+            value, ps = "".join(t for t, _ in part), [p for _, p in part if p is not None]
+            value = value[1:-2] if value.startswith("<") and value.endswith("/>") else value
+            path = f"{inside[0]}[{seps[inside[0]]}].{key}" if inside else key
+            out.append((path, value.strip(" "), part[0][1], sum(ps) / len(ps) if ps else None, min(ps, default=None)))
+        if token == "<sep/>" and inside:
+            seps[inside[0]] += 1
+        key, part = opened or key, []
+        for k in lists:
+            depth[k] += (opened == k) - (closed == k)
+    return out
+
+
+def test_token_streams_match_a_walk_by_hand(spark):
+    """Well and ill formed streams, as rows in any order and as arrays; a record of thousands of leaves."""
+    from tallyweave.operators import runs as R
+
+    r = random.Random(12)
+    odd = ["<s_items>", "</s_items>", "<s_charges>", "</s_charges>", "<sep/>", "<s_name>", "</s_name>", "<s_qty>", "</s_qty>", "a", " b ", "<TAX/>", "<s_>", "</s_>", "", None, "<s_a>b>", "</s_a>b>", "</s>", "<pad>"]
+    item = lambda i: ["<sep/>"] * (i > 0) + ["<s_name>", f"n{i}", " x", "</s_name>", "<s_qty>", "</s_qty>", "<s_total>", str(i), "</s_total>"]
+    record = lambda n: ["<s_items>", *(t for i in range(n) for t in item(i)), "</s_items>", "<s_charges>", "<s_type>", "<", "TAX", "/>", "</s_type>", "</s_charges>", "<s_subtotal>", "9", "</s_subtotal>", "</s>", "<s_name>", "late", "</s_name>"]
+    streams = [r.choices(odd, weights=[4] * 18 + [1, 1], k=r.randrange(0, 40)) for _ in range(400)] + [record(n) for n in (0, 1, 2, 33, 200, 2500)]
+    streams = {i: [(t, r.choice([None, 1.0, r.randrange(9) / 8])) for t in s] for i, s in enumerate(streams)}
+    want = {i: leaves_by_hand(s) for i, s in streams.items()}
+    assert len(want[405]) == 5002 and want[405][-2][:2] == ("charges[0].type", "TAX") and sum(map(len, want.values())) > 5500
+    rows = [(i, pos, t, p) for i, s in streams.items() for pos, (t, p) in enumerate(s)]
+    r.shuffle(rows)
+    rows = spark.createDataFrame([*rows, (None, 0, "<s_name>", 0.5), (None, 1, "x", 0.5), (None, 2, "</s_name>", 0.5)], "bill_id long, pos int, token string, prob double").repartition(5)
+    arrays = spark.createDataFrame([*streams.items(), (-1, None)], "bill_id long, tokens array<struct<token:string,prob:double>>")
+    six = lambda x: x if x is None else round(x, 6)
+    expected = sorted(repr((i, path, value, *map(six, ps))) for i, x in want.items() for path, value, *ps in x)
+    for form in (rows, arrays):
+        assert sorted(repr(tuple(x)) for x in R.fields_from_tokens(form).collect()) == expected
+
+
+def test_tokens_are_not_shuffled(spark, sf_dir):
+    """A record's tokens stay in its row: no exchange and no sort by token in the query, one exchange for tokens in rows."""
+    from tallyweave.operators import runs as R
+    from tallyweave.plans.q_datasets import fields_from_tokens
+
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        for k, v in zip(before, ("false", "-1")):
+            spark.conf.set(k, v)
+        plan = fields_from_tokens(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange " not in plan and "Window" not in plan and "pos#" not in plan
+        rows = spark.createDataFrame([(1, 0, "a", 0.5)], "bill_id long, pos int, token string, prob double")
+        assert R.fields_from_tokens(rows)._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
