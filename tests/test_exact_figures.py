@@ -67,3 +67,31 @@ def test_tree_distance_by_bounds_is_the_tables_and_needs_few_of_them(monkeypatch
     bill = lambda name, price, n: {"items": [{"name": name if i == 3 else f"n{i}", "qty": "1", "unit_price": price if i == 60 else "2", "total": "2"} for i in range(n)], "grand_total": name}
     assert T.forest_distance((T.node_of(bill("tea", "5", 200)),), (T.node_of(bill("sea", "6", 200)),), {}) == pytest.approx(2 / 3 + 1)
     assert not calls
+
+
+@pytest.mark.parametrize("name", ["split_message", "explain_split", "charge_matrix"])
+def test_a_split_is_told_without_shuffling_it(spark, sf_dir, name):
+    """Texts and lines of a bill are made inside its row, from tables in buckets of bill_id."""
+    from tallyweave import plans  # noqa: F401
+    from tallyweave.registry import QUERIES
+
+    plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in plan.splitlines() if "Exchange hashpartitioning" in x]
+
+
+def test_shares_of_many_units_are_reduced(spark):
+    from pyspark.sql import functions as F
+
+    from tallyweave.functions.money import share_label
+
+    rows = spark.createDataFrame([(200, 400), (121, 1331), (1_000_003, 3_000_009), (34, 89), (1, 4)], "u int, t long").select(share_label(F.col("u"), F.col("t")).alias("s"))
+    assert [r.s for r in rows.collect()] == ["1/2 share", "1/11 share", "1/3 share", "34/89 share", "1/4 share"]
+
+
+@pytest.mark.parametrize("total, weights", [(10**15, [10**6, 3, 10**9]), (-(10**16), [10**14, 7 * 10**14, 1]), (5, [0, 0]), (100, [5, -1]), (-7, [3, 5, 9])])
+def test_shares_in_a_row_are_those_of_the_window(spark, total, weights):
+    """In whole longs and, where a product doesn't fit in one, in decimals."""
+    rows = spark.createDataFrame([(1, total, [(w, i) for i, w in enumerate(weights)])], "b int, total long, parts array<struct<w:long,ord:int>>")
+    got = rows.selectExpr("array(struct(total, parts)) AS g").select(L._shared("g")[0].alias("v")).first().v
+    flat = spark.createDataFrame([(1, i, total, w) for i, w in enumerate(weights)], "b int, i int, t long, w long")
+    assert got == [r.part for r in L.largest_remainder(flat, ["b"], "t", "w", "i", "part").orderBy("i").collect()] and sum(got) == total
