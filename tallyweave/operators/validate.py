@@ -180,9 +180,11 @@ def corrections_diff(read: DataFrame, truth: DataFrame) -> DataFrame:
 
 def apply_corrections(records: DataFrame, edits: DataFrame) -> DataFrame:
     """Records (bill_id, bill) with edits (bill_id, path, seq, value) put in: the last edit of a path wins, unknown paths are ignored."""
-    from tallyweave.operators.normalise import leaf_paths, nest_leaves
+    from tallyweave.operators.normalise import corrected
 
-    return nest_leaves(correct_leaves(leaf_paths(records), edits))
+    own = edits.groupBy("bill_id").agg(F.collect_list(F.struct("path", "seq", "value")).alias("edits"))  # one bill's edits
+    rows = records.select("bill_id", "bill").where("bill.items IS NOT NULL AND bill.charges IS NOT NULL").join(own.hint("merge"), "bill_id", "left")
+    return rows.select("bill_id", corrected(F.col("bill"), F.col("edits")).alias("bill"))
 
 
 def correct_leaves(leaves: DataFrame, edits: DataFrame) -> DataFrame:
