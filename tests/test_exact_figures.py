@@ -137,3 +137,52 @@ def test_shares_in_a_row_are_those_of_the_window(spark, total, weights):
     got = rows.selectExpr("array(struct(total, parts)) AS g").select(L._shared("g")[0].alias("v")).first().v
     flat = spark.createDataFrame([(1, i, total, w) for i, w in enumerate(weights)], "b int, i int, t long, w long")
     assert got == [r.part for r in L.largest_remainder(flat, ["b"], "t", "w", "i", "part").orderBy("i").collect()] and sum(got) == total
+
+
+def test_confidences_read_the_predicted_items_once(spark, sf_dir):
+    """Not once for each of a line's four fields: their items and their last places."""
+    from tallyweave.plans.fixtures import view
+
+    plan = view(spark, sf_dir, "field_conf")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet spark_catalog.default.item_base") <= 2
+
+
+def test_a_dump_of_predictions_is_written_compressed(spark, sf_dir, monkeypatch):
+    import os
+
+    from tallyweave.plans import q_sources
+    from tallyweave.registry import QUERIES
+
+    paths, own = [], q_sources.S.shared_path
+    monkeypatch.setattr(q_sources.S, "shared_path", lambda spark, name: paths.append(own(spark, name)) or paths[-1])
+    QUERIES["src_predictions"](spark, sf_dir)
+    dump = next(p for p in paths if "/dump-" in p).removeprefix("file://")
+    assert all(f.endswith(".json.gz") for f in os.listdir(dump) if f.startswith("part-"))
+
+
+def test_texts_without_a_number_are_null(spark):
+    from pyspark.sql import functions as F
+
+    from tallyweave.functions.money import parse_money
+
+    rows = spark.createDataFrame([("",), (None,), ("  ",), ("x",), ("5",), ("(1,250.50)",)], "t string").select(parse_money(F.col("t")).alias("v")).collect()
+    assert [None if r.v is None else float(r.v) for r in rows] == [None, None, None, None, 5.0, -1250.5]
+
+
+@pytest.mark.parametrize("name", ["calibration_report", "src_predictions", "threshold_for_precision"])
+def test_a_first_query_finds_the_tables_it_has_just_stored(spark, sf_dir, monkeypatch, name):
+    """In a new session a view stores several tables; storing one drops the names of others, in whatever order they come."""
+    from tallyweave.plans import fixtures
+    from tallyweave.registry import QUERIES
+
+    own = fixtures._store
+
+    def store(*args):
+        table = own(*args)
+        for n in fixtures.STORED:
+            spark.catalog.dropTempView(n)
+        return table
+
+    monkeypatch.setattr(fixtures, "_stored", {})
+    monkeypatch.setattr(fixtures, "_store", store)
+    assert QUERIES[name](spark, sf_dir).limit(1).count() == 1
